@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat_format, quality_rules, secrets, sentencepiece_codec, token_files
+from . import chat_format, near_dedup, quality_rules, secrets, sentencepiece_codec, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(chat_format.with_probe(spark, table(spark, sf_dir, "conversations"))))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_token_files": op4_token_files,
     "op5_chat_format": op5_chat_format,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
