@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat_format, decontaminate, near_dedup, quality_rules, secrets, sentencepiece_codec, token_files, toxicity
+from . import chat_format, decontaminate, lm_score, near_dedup, quality_rules, secrets, sentencepiece_codec, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_stupid_backoff": op9_stupid_backoff,
     "op10_secret_scan": op10_secret_scan,
 }
 
