@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat_format, decontaminate, lm_score, near_dedup, quality_rules, secrets, sentencepiece_codec, token_files, toxicity
+from . import chat_format, decontaminate, kneser_ney, lm_score, near_dedup, quality_rules, secrets, sentencepiece_codec, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_chat_format": op5_chat_format,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_quality_rules": op8_quality_rules,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op10_secret_scan": op10_secret_scan,
