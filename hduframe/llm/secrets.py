@@ -212,6 +212,31 @@ def scan(df: DataFrame, text: str = "text", spans: str = "secrets", rules: tuple
     return df.mapInArrow(run, T.StructType([*keep, T.StructField(spans, SPAN)]))
 
 
+MARK = "[REDACTED]"
+
+
+def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, block: int = 512) -> DataFrame:
+    """The texts with each secret, or run of overlapping ones, replaced by MARK; all other texts and columns as they are."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(rules)
+        for part in slices(batches, block):
+            texts = part.column(text).to_pylist()
+            for i, spans in enumerate(scanner.block(texts)):
+                if not spans:
+                    continue
+                out, end = [], 0
+                for a, _, b in spans:
+                    if a >= end:
+                        out += [texts[i][end:a], MARK]
+                    end = max(end, b)
+                texts[i] = "".join(out) + texts[i][end:]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else part.column(n) for n in names], names=names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def digests(df: DataFrame) -> DataFrame:
     """op10: counts and digests of the spans."""
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
