@@ -4,13 +4,13 @@ Partial sums combine: a sum over a range that starts off a multiple of four is r
 added.  So large data are summed range by range and the parts added up, in any order.
 """
 
-from __future__ import annotations
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ChecksumMismatch
+from ..session import ship
 from ..sources.cards import Header
 
 MOD = 0xFFFFFFFF
@@ -40,7 +40,7 @@ class Checksum:
     def __init__(self):
         self.total, self.length = 0, 0
 
-    def update(self, data: bytes) -> Checksum:
+    def update(self, data: bytes) -> "Checksum":
         self.total = combine(self.total, checksum(data, self.length))
         self.length += len(data)
         return self
@@ -135,10 +135,10 @@ def decode_expr(text: str | Column) -> Column:
 
 def encode_checksums(df: DataFrame, value: str, out: str, complement: bool = False) -> DataFrame:
     """Adds the text of a bigint column's values."""
-    from pyspark.sql.functions import pandas_udf
+    ship(df.sparkSession)
 
-    @pandas_udf("string")
-    def text(values):
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None or v != v else encode(int(v), complement))
 
     return df.withColumn(out, text(F.col(value)))

@@ -1,0 +1,90 @@
+"""Forward transform and an encoder for tests: written from the published description."""
+import numpy as np
+from hduframe.operators.codecs import hcompress as hc
+
+CODE = {v: (c, n) for n, t in hc.HUFFMAN.items() for c, v in t.items()}
+
+
+def forward(img):
+    nx, ny = img.shape
+    a = img.astype(np.int64).copy()
+    depth = hc.levels(max(nx, ny))
+    x, y, shift, prnd, prnd2 = nx, ny, 0, 1, 2
+    for _ in range(depth):
+        ex, ey = x - x % 2, y - y % 2
+        p = a[:x, :y].copy()
+        up = lambda v: np.where(v >= 0, v + prnd, v) & (-2 * prnd)
+        top = lambda v: np.where(v >= 0, v + prnd2, v + prnd2 - 1) & (-2 * prnd2)
+        a00, a01, a10, a11 = p[0:ex:2, 0:ey:2], p[0:ex:2, 1:ey:2], p[1:ex:2, 0:ey:2], p[1:ex:2, 1:ey:2]
+        h0, hx, hy, hcc = (a11 + a10 + a01 + a00) >> shift, (a11 + a10 - a01 - a00) >> shift, (a11 - a10 + a01 - a00) >> shift, (a11 - a10 - a01 + a00) >> shift
+        q = p.copy()
+        q[1:ex:2, 1:ey:2], q[1:ex:2, 0:ey:2], q[0:ex:2, 1:ey:2], q[0:ex:2, 0:ey:2] = hcc, up(hx), up(hy), top(h0)
+        if y % 2:
+            u, v = p[0:ex:2, -1], p[1:ex:2, -1]
+            q[0:ex:2, -1], q[1:ex:2, -1] = top((v + u) << (1 - shift)), up((v - u) << (1 - shift))
+        if x % 2:
+            u, v = p[-1, 0:ey:2], p[-1, 1:ey:2]
+            q[-1, 0:ey:2], q[-1, 1:ey:2] = top((v + u) << (1 - shift)), up((v - u) << (1 - shift))
+        if x % 2 and y % 2:
+            q[-1, -1] = top(p[-1:, -1] << (2 - shift))[0]
+        q = np.concatenate([q[0::2], q[1::2]])
+        q = np.concatenate([q[:, 0::2], q[:, 1::2]], 1)
+        a[:x, :y] = q
+        x, y = (x + 1) // 2, (y + 1) // 2
+        shift, prnd, prnd2 = 1, prnd2, prnd2 * 2
+    return a
+
+
+def nodes_of(bits):
+    x, y = bits.shape
+    p = np.zeros((x + x % 2, y + y % 2), np.int64)
+    p[:x, :y] = bits
+    return p[0::2, 0::2] * 8 + p[0::2, 1::2] * 4 + p[1::2, 0::2] * 2 + p[1::2, 1::2]
+
+
+def quadrant(m, planes, huffman):
+    out = []
+    nx, ny = m.shape
+    if not nx or not ny:
+        return out
+    sides = hc.tree_sides(nx, ny)
+    for plane in range(planes - 1, -1, -1):
+        level = nodes_of(m >> plane & 1)
+        if not huffman:
+            out += [0] * 4 + [int(b) for v in level.reshape(-1) for b in f"{v:04b}"]
+            continue
+        tree = [level]
+        for x, y in sides[1:-1][::-1]:
+            assert tree[0].shape == (x, y)
+            tree.insert(0, nodes_of((tree[0] != 0).astype(np.int64)))
+        out += [1] * 4
+        put = lambda v: [int(b) for b in f"{CODE[v][0]:0{CODE[v][1]}b}"]
+        out += put(int(tree[0].reshape(-1)[0]))
+        for above, here in zip(tree[:-1], tree[1:], strict=True):
+            there = hc.spread(above, *here.shape).reshape(-1)
+            for k in np.flatnonzero(there)[::-1].tolist():
+                out += put(int(here.reshape(-1)[k]))
+    return out
+
+
+def encode(img, huffman=True, scale=0):
+    a = forward(img)
+    if scale > 1:
+        a = np.where(a > 0, a + (scale >> 1) - (0), a - (scale >> 1)) // scale if False else np.sign(a) * ((np.abs(a) + (scale >> 1)) // scale)
+    nx, ny = a.shape
+    total = int(a[0, 0])
+    m = np.abs(a)
+    m[0, 0] = 0
+    x, y = (nx + 1) // 2, (ny + 1) // 2
+    quads = [m[:x, :y], m[:x, y:], m[x:, :y], m[x:, y:]]
+    top = [int(q.max(initial=0)).bit_length() for q in quads]
+    planes = [top[0], max(top[1], top[2]), top[3]]
+    bits = []
+    for q, p in zip(quads, (planes[0], planes[1], planes[1], planes[2]), strict=True):
+        bits += quadrant(q, p, huffman)
+    bits += [0] * 4
+    bits += [0] * (-len(bits) % 8)
+    flat, signs = m.reshape(-1), a.reshape(-1)
+    bits += [int(signs[k] < 0) for k in np.flatnonzero(flat)]
+    head = hc.MAGIC + b"".join(int(v).to_bytes(4, "big", signed=True) for v in (nx, ny, scale)) + total.to_bytes(8, "big", signed=True) + bytes(planes)
+    return head + np.packbits(np.array(bits, np.uint8)).tobytes()
