@@ -20,7 +20,9 @@ def _flat(col: pa.Array, code: str) -> np.ndarray:
     """Elements of one code as big-endian numbers; nulls become 0, or NaN for floats."""
     if code in "CM":
         re, im = (_flat(col.field(k), "E" if code == "C" else "D") for k in (0, 1))
-        return np.stack([re, im], 1).reshape(-1)
+        out = np.empty(2 * len(re), re.dtype)  # stacking would give native byte order
+        out[0::2], out[1::2] = re, im
+        return out
     if code == "L":
         return np.where(_filled(col, False).to_numpy(zero_copy_only=False).astype(bool), ord("T"), ord("F")).astype(np.uint8)
     if pa.types.is_timestamp(col.type):

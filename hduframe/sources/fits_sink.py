@@ -280,6 +280,7 @@ class FitsBuilder:
         fs, name = filesystem(path)
         own = f"{name}.building-{uuid.uuid4().hex}"
         head = path[: len(path) - len(name)]
+        fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
         with fs.open_output_stream(own) as out:
             if not (self.parts and self.parts[0][1].get("primary")):
                 out.write(primary(checksum))
