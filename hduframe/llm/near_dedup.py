@@ -7,11 +7,11 @@ differing symbols (pigeonhole), so the index keys are, for each chunk, all ways
 within that distance share a key.  At a similarity of 0.75 a pair lies beyond the distance, or is missed by the
 index, with a probability of about one in a million (binomial tails), and less above.
 
-Rows of a key are compared in blocks of bounded size by a longer signature of 8-bit symbols, vectorised.  The pairs of a key
-are never all put out: first only a spanning forest of the likeliest links, which is confirmed on the full
-sets; then, for keys that still hold several components, the pairs between different components whose longer signature is not
-five deviations below the threshold.  So no link that could join two components stays unconfirmed, and copies are never
-expanded into pairs.
+Rows of a key are compared in blocks of bounded size by a longer signature of 8-bit symbols, vectorised; pairs five
+deviations below the threshold can't be links.  The pairs of a key are never all put out: first only a spanning forest of
+the likeliest links, which is confirmed on the full sets; then the keys that still hold several components get the full
+sets of their rows, pairs between different components are confirmed in place, each under the first key that it shares, and
+only links come out.  So no link that could join two components stays unconfirmed, and copies are never expanded into pairs.
 
 Null and empty texts have empty sets and stand alone; a text of fewer than five words is one shingle; equal rows are
 copies of one another; null doc_ids can't be named in a result and are dropped.
@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Cache, Scratch, slices
@@ -36,7 +36,7 @@ CHUNKS, WIDTH, ERRORS = 10, 3, 1
 INDEXED, LONG = CHUNKS * WIDTH, 256
 #: Least share of equal symbols of the longer signature: 0.75 less five deviations of a binomial of LONG draws.
 LEAST = 0.75 - 5 * (0.75 * 0.25 / LONG) ** 0.5
-BLOCK = 2048
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 32, INDEXED + LONG, dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, INDEXED + LONG, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -102,69 +102,129 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, idx array<int>, est binary")
 
 
-def keys(reps: DataFrame) -> DataFrame:
-    """(key, doc): the index entries, each of WIDTH - ERRORS symbols and the number of the way they were chosen."""
-    ways = [[c * WIDTH + x for x in way] for c in range(CHUNKS) for way in combinations(range(WIDTH), WIDTH - ERRORS)]
-    entry = F.array(*(F.xxhash64(F.lit(k), *(F.col("idx")[x] for x in way)) for k, way in enumerate(ways)))
-    return reps.select(F.explode(entry).alias("key"), F.col("doc_id").alias("doc"))
-
-
-def _pairs(rows: DataFrame, forest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of rows (key, bi, bj, mine, doc, comp, n, est), each group sorted into one partition.
+#: The places of the symbols that each of a document's keys is made of.
+WAYS = [[c * WIDTH + x for x in way] for c in range(CHUNKS) for way in combinations(range(WIDTH), WIDTH - ERRORS)]
 
-    forest: of each group a spanning forest of its likeliest pairs; else all pairs between different components."""
 
-    def of_groups(group: np.ndarray, t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        last = np.append(np.flatnonzero(group[1:] != group[:-1]), len(group) - 1)
+def keys(reps: DataFrame) -> DataFrame:
+    """(way, key, doc): the index entries, each of WIDTH - ERRORS symbols and the number of the way they were chosen."""
+    entry = F.array(*(F.xxhash64(F.lit(k), *(F.col("idx")[x] for x in way)) for k, way in enumerate(WAYS)))
+    return reps.select(F.posexplode(entry).alias("way", "key"), F.col("doc_id").alias("doc"))
+
+
+class Groups:
+    """Rows of whole groups (one key and pair of blocks each) as arrays."""
+
+    def __init__(self, table: pa.Table):
+        self.t = {c: table.column(c).to_numpy() for c in ("key", "way", "bi", "bj", "mine", "doc", "comp", "n")}
+        for c, kind in (("est", np.uint8), ("idx", np.int32)):
+            if c in table.column_names:
+                raw = table.column(c).combine_chunks()
+                flat = b"".join(raw.to_pylist()) if c == "est" else raw.flatten().to_numpy()
+                self.t[c] = (np.frombuffer(flat, kind) if c == "est" else flat).reshape(len(self.t["key"]), -1)
+        self.shingles = table.column("shingles") if "shingles" in table.column_names else None
+        new = np.ones(len(self.t["key"]), bool)
+        new[1:] = np.logical_or.reduce([self.t[c][1:] != self.t[c][:-1] for c in ("key", "bi", "bj")])
+        self.group = np.cumsum(new)
+
+    def likely(self, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of the first rows that can be links between components, and their equal symbols; some at a time."""
+        t, group = self.t, self.group[:rows]
+        last = np.append(np.flatnonzero(group[1:] != group[:-1]), rows - 1)
         end = np.repeat(last, np.diff(np.concatenate([[-1], last])))
-        a_all, b_all, s_all = [], [], []
-        step, row = 1, np.arange(len(group))
+        step, row = 1, np.arange(rows)
         while True:
             row = row[row + step <= end[row]]  # rows whose group goes on so far
             if not len(row):
-                break
-            for at in range(0, len(row), 1 << 16):
-                a = row[at : at + (1 << 16)]
+                return
+            for at in range(0, len(row), 1 << 15):
+                a = row[at : at + (1 << 15)]
                 b = a + step
                 ok = (t["comp"][a] != t["comp"][b]) & ((t["bi"][a] == t["bj"][a]) | (t["mine"][a] != t["mine"][b]))
                 ok &= DENOMINATOR * np.minimum(t["n"][a], t["n"][b]) >= NUMERATOR * np.maximum(t["n"][a], t["n"][b])
                 a, b = a[ok], b[ok]
                 same = (t["est"][a] == t["est"][b]).sum(1)
                 ok = same >= LEAST * LONG
-                a_all.append(a[ok])
-                b_all.append(b[ok])
-                s_all.append(same[ok])
+                if ok.any():
+                    yield a[ok], b[ok], same[ok]
             step += 1
-        if not a_all:
-            return
-        a, b, s = np.concatenate(a_all), np.concatenate(b_all), np.concatenate(s_all)
-        if forest:
-            a, b = spanning(len(group), a, b, s)
-        for at in range(0, len(a), 1 << 16):
-            x, y = t["doc"][a[at : at + (1 << 16)]], t["doc"][b[at : at + (1 << 16)]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    def arrays(table: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        t = {c: table.column(c).to_numpy() for c in ("key", "bi", "bj", "mine", "doc", "comp", "n")}
-        t["est"] = np.frombuffer(b"".join(table.column("est").to_pylist()), np.uint8).reshape(-1, LONG)
-        new = np.ones(len(t["key"]), bool)
-        new[1:] = (t["key"][1:] != t["key"][:-1]) | (t["bi"][1:] != t["bi"][:-1]) | (t["bj"][1:] != t["bj"][:-1])
-        return np.cumsum(new), t
+
+
+def _named(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(x), 1 << 16):
+        a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def forest(g: Groups, rows: int) -> Iterator[pa.RecordBatch]:
+    """Of each group a spanning forest of its likeliest pairs."""
+    found = list(g.likely(rows))
+    if found:
+        a, b = spanning(rows, *(np.concatenate(x) for x in zip(*found, strict=True)))
+        yield from _named(g.t["doc"][a], g.t["doc"][b])
+
+
+def links(g: Groups, rows: int) -> Iterator[pa.RecordBatch]:
+    """The links between different components, except within what they have joined by then."""
+    idx, way = g.t["idx"], g.t["way"]
+    root = np.arange(rows)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return int(x)
+
+    pairs = []
+    for a, b, _ in g.likely(rows):
+        same = idx[a] == idx[b]
+        shared = np.logical_and.reduce([same[:, [w[k] for w in WAYS]] for k in range(WIDTH - ERRORS)])
+        first = shared.argmax(1) == way[a]  # a pair is looked at under the first key that it shares
+        pairs.append((a[first], b[first]))
+    if not pairs:
+        return
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    docs, out = g.t["doc"], []
+    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
+        if not len(part):
+            continue
+        x = int(a[part[0]])
+        own = np.frombuffer(g.shingles[x].as_py(), np.uint64)
+        mine = find(x)
+        for y in b[part].tolist():
+            theirs = find(y)
+            if mine == theirs:
+                continue
+            other = np.frombuffer(g.shingles[y].as_py(), np.uint64)
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            both = int((own[at] == other).sum())
+            if DENOMINATOR * both >= NUMERATOR * (len(own) + len(other) - both):
+                root[max(mine, theirs)] = mine = min(mine, theirs)
+                out.append((x, y))
+    if out:
+        x, y = np.array(out).T
+        yield from _named(docs[x], docs[y])
+
+
+def _grouped(rows: DataFrame, of_groups) -> DataFrame:
+    """of_groups over rows (key, bi, bj, ...), each group in one partition; some whole groups at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows < 20_000:
+            if held.num_rows < 20_000 and held.nbytes < 32 << 20:
                 continue
-            group, t = arrays(held)
-            whole = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+            g = Groups(held)
+            whole = int(np.searchsorted(g.group, g.group[-1]))  # the last group may go on in the next batch
             if whole:
-                yield from of_groups(group[:whole], {k: v[:whole] for k, v in t.items()})
+                yield from of_groups(g, whole)
                 held = held.slice(whole)
         if held is not None and held.num_rows:
-            yield from of_groups(*arrays(held))
+            yield from of_groups(Groups(held), held.num_rows)
 
     return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(run, "a long, b long").distinct()
 
@@ -236,28 +296,33 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     count = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = scratch.write(entries.join(count, "key"), "shared")
     scratch.drop("keys")
-    known = scratch.write(f.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "est").dropDuplicates(["doc"]), "known")
+    known = f.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    known = scratch.write(known.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "est", "idx").dropDuplicates(["doc"]), "known")
 
-    def blocks(rows: DataFrame) -> DataFrame:
-        """Rows (key, doc, size, comp) dealt to pairs of blocks of at most about BLOCK rows of a key."""
-        many = F.ceil(F.col("size") / BLOCK).cast("int")
+    def blocks(rows: DataFrame, many: Column, *more: str) -> DataFrame:
+        """Rows (way, key, doc, comp) dealt to pairs of a key's blocks, of which there are ``many``."""
         mine = F.pmod(F.xxhash64("doc"), many).cast("int")
         other = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-        return other.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "doc", "comp").join(known, "doc")
+        return other.select("way", "key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "doc", "comp", *more)
 
-    first = scratch.write(_pairs(blocks(shared.withColumn("comp", F.col("doc"))), True), "pairs-1")
-    # what later pairs can ask for lies among the documents that share a key and are like another
-    texts = docs.select("doc_id", "text").join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    by_rows = F.ceil(F.col("size") / BLOCK).cast("int")
+    first = blocks(shared.withColumn("comp", F.col("doc")), by_rows).join(known.drop("idx"), "doc")
+    first = scratch.write(_grouped(first, forest), "pairs-1")
+    # what later pairs can ask for lies among the documents that are like another
     likely = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    whole = scratch.write(sets(texts.join(likely, "doc_id", "left_semi")).dropDuplicates(["doc"]), "sets")
-    links = scratch.write(confirmed(first, whole), "links-1")
-    comps = components(scratch, links, "comps-1")
-
-    labelled = shared.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    labelled = scratch.write(labelled.join(likely.select(F.col("doc_id").alias("doc")), "doc", "left_semi"), "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    second = _pairs(blocks(labelled.join(open_keys, "key", "left_semi")), False).join(first, ["a", "b"], "left_anti")
-    more = scratch.write(confirmed(scratch.write(second, "pairs-2"), whole), "links-2")
+    texts = docs.select("doc_id", "text").join(likely, "doc_id", "left_semi")
+    whole = scratch.write(sets(texts).dropDuplicates(["doc"]), "sets")
+    sure = scratch.write(confirmed(first, whole), "links-1")
+    comps = components(scratch, sure, "comps-1")
+
+    labelled = shared.select("way", "key", "doc").join(likely.select(F.col("doc_id").alias("doc")), "doc", "left_semi")
+    labelled = labelled.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    labelled = scratch.write(labelled.join(known, "doc"), "labelled")
+    # keys of several components; their blocks are bounded in rows and in the bytes of full sets
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total")).where("low < high")
+    by_bytes = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") * 8 / BLOCK_BYTES)).cast("int")
+    opened = blocks(labelled.join(open_keys.select("key", "size", "total"), "key"), by_bytes, "n", "est", "idx").join(whole, "doc")
+    more = scratch.write(_grouped(opened, links).select(F.col("a").alias("u"), F.col("b").alias("v")), "links-2")
     if more.isEmpty():
         final = comps
     else:
