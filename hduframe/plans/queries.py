@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from ..functions import cardexpr, scaling, wcs
 from ..functions.checksum import combine_expr, decode_expr, encode_checksums, words_checksum
 from ..operators import quantize as quant
+from ..operators.rows import with_index
 from ..operators.tiles import Compress, Geometry, cut, encode_tiles, grid, read_compressed, tile_pixels, write_compressed
 from ..operators.tiles import check as options_for
 from ..session import ship
@@ -255,7 +256,7 @@ WIDTH = 100
 
 def lines_of(df: DataFrame, order: list[str], value: F.Column | str, width: int = WIDTH) -> DataFrame:
     """Whole lines of an image from a table's values in order; the rest beyond the last whole line is left out by the queries' SQL too."""
-    ranked = df.withColumn("_n", F.row_number().over(W.orderBy(*order)) - 1)
+    ranked = with_index(df, order, scratch(df.sparkSession, "ranked"), "_n")
     cells = ranked.select(F.floor(F.col("_n") / width).cast("long").alias("row_index"), (F.col("_n") % width).alias("x"), F.expr(value).alias("v") if isinstance(value, str) else value.alias("v"))
     lines = cells.groupBy("row_index").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("c")).where(F.size("c") == width)
     return lines.select("row_index", F.col("c.v").alias("values"))
@@ -401,7 +402,7 @@ RICE_K = f"SELECT line, b, n, total, CASE WHEN total = 0 THEN -1 ELSE min(k) END
 def mapped(spark, sf_dir) -> DataFrame:
     """Zig-zag mapped differences along lines, by built-in functions."""
     li = table(spark, sf_dir, "lineitem").select(*ORDER)
-    n = li.withColumn("n", F.row_number().over(W.orderBy(*ORDER)) - 1)
+    n = with_index(li, ORDER, scratch(spark, "ranked"), "n")
     whole = li.count() // WIDTH * WIDTH
     lines = n.where(F.col("n") < whole).select(F.floor(F.col("n") / WIDTH).cast("long").alias("line"), (F.col("n") % WIDTH).alias("x"), F.col("l_partkey").alias("v"))
     d = F.col("v") - F.coalesce(F.lag("v").over(W.partitionBy("line").orderBy("x")), F.col("v"))
@@ -512,7 +513,7 @@ def quantize_dither_error(spark, sf_dir):
 def unquantize_blank_zero(spark, sf_dir):
     """One line for each row: NaN and exact zeros survive dithering of the second kind."""
     li = table(spark, sf_dir, "lineitem").select(*ORDER, "l_quantity")
-    n = li.withColumn("row_index", (F.row_number().over(W.orderBy(*ORDER)) - 1).cast("long"))
+    n = with_index(li, ORDER, scratch(spark, "ranked"))
     special = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).when(F.col("l_linenumber") == 2, F.lit(0.0)).otherwise(F.col("l_quantity") + 1)
     lines = n.select("row_index", F.array(special, F.lit(7.0), F.lit(1.0), F.lit(60.0)).alias("values"))
     path = scratch(spark, "b.fits")
