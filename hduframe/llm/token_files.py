@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -36,7 +35,8 @@ INDEX = np.dtype([("doc", "<i8"), ("null", "u1"), ("n", "<u8")])
 FRAME_BYTES = 1 << 18
 #: White space of the tokenizer's split pattern; Python counts four control characters more as such.
 CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The tokenizer's split pattern for characters below U+0250, where these eight are the only numbers but the digits.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -53,8 +53,8 @@ class Encoder:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in set(plain)]
         self.table = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(other)}
-        self.word = Cache(self._word, 200_000)
-        self.chunk = Cache(self._chunk, 300_000)
+        self.word = Cache(self._word, 400_000)
+        self.chunk = Cache(self._chunk, 700_000)
 
     def _word(self, word: str) -> bytes:
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.table))
@@ -62,7 +62,11 @@ class Encoder:
 
     def _chunk(self, chunk: str) -> bytes:
         # beyond these letters the two regex libraries could hold different Unicode versions
-        if (chunk.isascii() or max(chunk) < "ɐ") and not ODD.search(chunk):
+        if chunk.isascii() or max(chunk) < "ɐ":
+            if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+                return self._word(chunk)
+            if ODD.search(chunk):
+                return self.whole(chunk)
             return b"".join([self.word[w] for w in SPLIT.findall(chunk)])
         return self.whole(chunk)
 
