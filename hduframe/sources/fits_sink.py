@@ -165,7 +165,7 @@ class FitsWriter(DataSourceArrowWriter):
                 _remove(fs, path, there)
             fs.create_dir(path, recursive=True)
             tag = uuid.uuid4().hex[:8]
-            for p in pieces:
+            for p in [p for p in pieces if p.nrows] or pieces[:1]:  # a table without rows is one file
                 fs.move(p.path, f"{path}/{p.path.rsplit('/', 1)[1].removesuffix('.fits')}-{tag}.fits")
         fs.delete_dir(work)
 
