@@ -7,7 +7,8 @@ with a backslash (and the backslash itself by one), so that a text can't open or
 A conversation is one row of the result, so its turns come together in one row by definition; turns are ordered by
 turn, then role, then text, and repeated rows stay.  Null texts and roles count as empty; a null conv_id is a
 conversation of its own.  Conversations that break the order of turns are formatted too, with ``valid`` false and
-``bad_turn`` the place (from 0) of the first turn that the machine doesn't accept (the number of turns if it ends early).
+``bad_turn`` the place (from 0) of the first turn that the machine doesn't accept (the number of turns if it ends early; -1 if
+all is well).
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def format_chats(df: DataFrame, template: Template = INSTRUCT, conv: str = "conv
             "segments",
             F.array_join(F.col("segments.text"), "").alias("formatted"),
             F.col("m.state").isin(*t.ends).alias("valid"),
-            F.when(~F.col("m.state").isin(*t.ends), F.col("m.good").cast("long")).alias("bad_turn"),
+            F.when(F.col("m.state").isin(*t.ends), F.lit(-1)).otherwise(F.col("m.good")).cast("long").alias("bad_turn"),
         )
     )
 

@@ -74,4 +74,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# ---- SQL ----------------------------------------------------------------------------------------------------------
+
+
+def _escaped(column: str) -> str:
+    """The template's escapes as nested replacements."""
+    out = f"replace({column}, '\\', '\\b')"
+    for k, s in enumerate(chat_format.INSTRUCT.controls()):
+        out = f"replace({out}, '{s}', '\\{k};')"
+    return out
+
+
+def _role_chars() -> str:
+    t = chat_format.INSTRUCT
+    cases = " ".join(f"WHEN '{name}' THEN {len(r.open) + len(r.close)}" for name, r in t.roles.items())
+    return f"CASE role {cases} ELSE {len(t.other.open) + 1 + len(t.other.close)} + length({_escaped('role')}) END"
+
+
+CHATS = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '{chat_format.PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{chat_format.PROBE}'),
+ n AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n, lag(role, 1, '') OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+ m AS (SELECT *, CASE role WHEN 'system' THEN k = 1 WHEN 'user' THEN k = 1 OR before IN ('system', 'assistant') WHEN 'assistant' THEN before = 'user' ELSE false END AS fits FROM n),
+ g AS (SELECT conv_id, any_value(n) AS n_turns, min(CASE WHEN NOT fits THEN k - 1 END) AS first_bad, max_by(role, k) AS last_role, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS turns,
+  coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss, sum(length({_escaped('text')}) + {_role_chars()}) AS chars FROM m GROUP BY conv_id)
+ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars, first_bad IS NULL AND last_role = 'assistant' AS valid,
+  CASE WHEN first_bad IS NOT NULL THEN first_bad WHEN last_role <> 'assistant' THEN n_turns ELSE -1 END::BIGINT AS bad_turn FROM g"""
+
+_SIGNALS = {"symbols_per_word": "n_symbols / n_words", "chars_per_word": "word_chars / n_words", "repeated_words": "n_repeat_words / n_words", "dup_lines": "n_dup_lines::DOUBLE"}
+
+
+def _quality_sql() -> str:
+    each = quality_rules.rules()
+    a, delta = quality_rules.ALPHA / len(each), quality_rules.DELTA
+    grid = ", ".join(f"('{r}', {j}, {c})" for r, (_, cuts) in each.items() for j, c in enumerate(cuts))
+    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {x}" for r, x in _SIGNALS.items()) + " END"
+    over = " OR ".join(f"coalesce({x} > (SELECT cutoff FROM best WHERE rule = '{r}' AND stratum IS NOT DISTINCT FROM f.lang), false)" for r, x in _SIGNALS.items())
+    return rf"""WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+ i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3),
+ d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM i),
+ r AS (SELECT doc_id, sum(step)::BIGINT AS n_repeat_words FROM (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS step FROM d WHERE n > 1) GROUP BY doc_id),
+ l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM w),
+ f AS (SELECT w.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l.l) - len(list_distinct(l.l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w JOIN l ON w.doc_id = l.doc_id LEFT JOIN r ON w.doc_id = r.doc_id),
+ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+ good AS (SELECT b.* FROM b JOIN labels ON b.doc_id = labels.doc_id WHERE quality = 1 AND NOT base_failed),
+ grid AS (SELECT * FROM (VALUES {grid}) g(rule, step, cutoff)),
+ k AS (SELECT lang AS stratum, rule, step, cutoff, count(*) AS n, sum(({value} > cutoff)::INT) AS k FROM good, grid GROUP BY lang, rule, step, cutoff),
+ p AS (SELECT stratum, rule, step, cutoff, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a}) + (n - j) * ln(1 - {a}))) FROM (SELECT unnest(range(0, k::BIGINT + 1)) AS j)) AS tail, (SELECT count(DISTINCT stratum) + max((stratum IS NULL)::INT) FROM k) AS strata FROM k),
+ e AS (SELECT *, min(CASE WHEN NOT tail <= {delta} / (strata * {len(each)}) THEN step END) OVER (PARTITION BY stratum, rule) AS fails FROM p),
+ best AS (SELECT stratum, rule, cutoff FROM e WHERE step = coalesce(fails - 1, (SELECT max(g.step) FROM grid g WHERE g.rule = e.rule)))
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept, lang FROM b f"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": CHATS, "op8_quality_rules": _quality_sql()}
