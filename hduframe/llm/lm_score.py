@@ -9,7 +9,8 @@ sends them, sorted, to the shard that their hash names: a row for each block and
 n-gram.  A shard is a hash partition of the count table: it merges what the blocks sent, adds the counts and joins
 them back to each block's n-grams.  The block then holds a count for each of its n-grams and sums up scores by document.
 Common n-grams reach a shard once for each block, so none is hot; the number of shards and blocks grows with the
-corpus, so that no task holds more than a bounded part.  Nothing but the number of words goes to the driver.
+corpus, so that no task holds more than a bounded part.  Shards are dealt with in WAVES, one after another, so that only
+a part of all n-grams lies on disk at a time.  Nothing but the number of words goes to the driver.
 
 Null and empty texts have no words and get a score of 0 over 0 words; equal rows are scored alike, each for itself;
 words are runs without white space.  A null doc_id stays null.
@@ -27,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, Scratch
+from .common import Cache, Scratch, free_shuffles
 from .near_dedup import mix
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
-BLOCK_WORDS, SHARD_GRAMS = 1_000_000, 4_000_000
+BLOCK_WORDS, SHARD_GRAMS, WAVES = 1_000_000, 3_000_000, 3
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,15 +47,29 @@ def unpack(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).reshape(-1).view(kind)
 
 
+def pack_words(words: np.ndarray) -> bytes:
+    """Hashes as places in the block's words, the frequent first."""
+    distinct, place, count = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    head, body = pack(distinct[order]), pack(rank[place], 3)
+    return len(head).to_bytes(8, "little") + head + body
+
+
+def unpack_words(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    return unpack(raw[8 : 8 + n], "<u8")[unpack(raw[8 + n :], "<u4")]
+
+
 def grams(words: np.ndarray, lens: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1 to order: n-gram hashes and the places of their last words; words of all documents in a row."""
+    """For n = 1 to order: a hash for each word, of the n-gram that it ends, and the words that have n - 1 words before them."""
     place = np.arange(len(words)) - np.repeat(np.cumsum(lens) - lens, lens)
-    at = np.arange(len(words))
-    out = [(mix(words + np.uint64(1)), at)]
+    out = [(mix(words + np.uint64(1)), np.arange(len(words)))]
     for n in range(2, order + 1):
-        at = at[place[at] >= n - 1]
-        context = out[-1][0][np.searchsorted(out[-1][1], at - 1)]
-        out.append((mix(context * STEP + mix(words[at] + np.uint64(n))), at))
+        h = np.zeros_like(words)
+        h[1:] = mix(out[-1][0][:-1] * STEP + mix(words[1:] + np.uint64(n)))  # from the context's hash
+        out.append((h, np.flatnonzero(place >= n - 1)))
     return out
 
 
@@ -71,7 +86,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             lens = [len(w) for w in words]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([pack(np.concatenate(words) if held else np.empty(0, np.uint64), 3)], pa.binary())],
+                [pa.array([part << 32 | k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([pack_words(np.concatenate(words) if held else np.empty(0, np.uint64))], pa.binary())],
                 names=["block", "doc_ids", "lens", "words"],
             )
 
@@ -97,24 +112,30 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _block_grams(row: dict, order: int) -> tuple[np.ndarray, list]:
-    """The block's n-grams of all orders together, and by order."""
-    words = unpack(row["words"], "<u8")
-    each = grams(words, np.array(row["lens"], np.int64), order)
-    return np.concatenate([h for h, _ in each]), each
+def _block_grams(row: dict, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return grams(unpack_words(row["words"]), np.array(row["lens"], np.int64), order)
+
+
+def _first_hash(shard: int, shards: int) -> int:
+    return (shard << 64) // shards
 
 
-def sent(blocks: DataFrame, shards: int, order: int) -> DataFrame:
-    """(shard, block, grams, counts): each block's distinct n-grams of a shard as differences, and how often they occur."""
+def sent(blocks: DataFrame, low: int, high: int, shards: int, order: int) -> DataFrame:
+    """(shard, block, grams, counts) of the shards from low to high - 1: each block's distinct n-grams of a shard as differences, and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([_first_hash(s, shards) for s in range(low + 1, high)], np.uint64)
+        least, most = np.uint64(_first_hash(low, shards)), np.uint64(_first_hash(high, shards) - 1)
         for row in _each(batches):
-            every, _ = _block_grams(row, order)
-            distinct, count = np.unique(every, return_counts=True)
-            edges = np.searchsorted(distinct, [(s << 64) // shards for s in range(1, shards)]) if shards > 1 else np.empty(0, np.int64)
-            for s, (g, c) in enumerate(zip(np.split(distinct, edges), np.split(count, edges), strict=True)):
+            every = np.concatenate([h[at] for h, at in _block_grams(row, order)])
+            every = np.sort(every[(every >= least) & (every <= most)])
+            start = np.flatnonzero(np.diff(every, prepend=every[:1] - np.uint64(1))) if len(every) else np.empty(0, np.int64)
+            distinct, count = every[start], np.diff(np.append(start, len(every))).astype(np.uint32)
+            del every
+            cuts = np.searchsorted(distinct, edges)
+            for s, (g, c) in enumerate(zip(np.split(distinct, cuts), np.split(count, cuts), strict=True), low):
                 if len(g):
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "block": pa.array([row["block"]], pa.int64()), "grams": pa.array([pack(np.diff(g, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([pack(c.astype(np.uint32))], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "block": pa.array([row["block"]], pa.int64()), "grams": pa.array([pack(np.diff(g, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([pack(c)], pa.binary())})
 
     return blocks.mapInArrow(run, "shard int, block long, grams binary, counts binary")
 
@@ -154,25 +175,28 @@ def scores(blocks: DataFrame, replies: DataFrame, n_words: int, order: int, back
         sums: list = []
         for row in left.to_pylist():
             lens = np.array(row["lens"], np.int64)
-            every, each = _block_grams(row, order)
+            each = _block_grams(row, order)
             ids += row["doc_ids"]
             lens_out += row["lens"]
-            if not len(every):
+            if not len(each[0][0]):
                 sums += [0.0] * len(lens)
                 continue
-            distinct = np.unique(every)
-            counts = np.concatenate([unpack(c, "<u8") for c in right.sort_by("shard").column("counts").to_pylist()]).astype(np.float64)
-            c = [counts[np.searchsorted(distinct, h)] for h, _ in each]
-            best = c[0] / n_words
-            for n in range(1, order):
-                at = each[n][1]
-                if not len(at):
-                    break
-                context = c[n - 1][np.searchsorted(each[n - 1][1], at - 1)]
-                own = np.where(c[n] >= least, c[n] / context, backoff * best[at])
-                best[at] = own
-            ends = np.repeat(np.arange(len(lens)), lens)
-            sums += np.bincount(ends, np.log(best), len(lens)).tolist()
+            counts = np.concatenate([unpack(c, "<u8") for c in right.sort_by("shard").column("counts").to_pylist()])
+            found = np.empty(sum(len(at) for _, at in each), np.int64)
+            every = np.concatenate([h[at] for h, at in each])
+            sort = np.argsort(every)
+            ordered = every[sort]
+            found[sort] = counts[np.cumsum(np.diff(ordered, prepend=ordered[:1]) != 0)]
+            del every, ordered, sort
+            parts = np.split(found, np.cumsum([len(at) for _, at in each])[:-1])
+            context = parts[0].astype(np.float64)  # of each word the count of its (n - 1)-gram
+            best = context / n_words
+            for (_, at), c in zip(each[1:], parts[1:], strict=True):
+                before = context[at - 1]
+                best[at] = np.where(c >= least, c / before, backoff * best[at])
+                context[at] = c
+            rows = np.repeat(np.arange(len(lens)), lens)
+            sums += np.bincount(rows, np.log(best), len(lens)).tolist()
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(lens_out, pa.int64()), "score": pa.array(sums, pa.float64())})
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(of_block, "doc_id long, n_words long, score double")
@@ -184,7 +208,12 @@ def lm_scores(spark: SparkSession, docs: DataFrame, order: int = ORDER, backoff:
     b = scratch.write(blocks(docs), "blocks")
     n_words = b.select(F.explode("lens").alias("n")).agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(n_words) * order // SHARD_GRAMS))
-    rows = sent(b, shards, order).repartition(max(1, min(shards, 20_000)), "shard")
-    replies = scratch.write(counted(rows), "replies")
+    replies, edges = None, sorted({shards * k // WAVES for k in range(WAVES + 1)})
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        rows = sent(b, low, high, shards, order).repartition(min(high - low, 20_000), "shard")
+        part = scratch.write(counted(rows), f"replies-{k}")
+        replies = part if replies is None else replies.unionByName(part)
+        del rows, part
+        free_shuffles(spark)
     out = scores(b, replies, max(1, int(n_words)), order, backoff, least)
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
