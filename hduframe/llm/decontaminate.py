@@ -128,7 +128,7 @@ class Index:
             q, r = (len(x & near) / len(x) for x in (item.question, item.answer))
             if q >= OVERLAP and r >= OVERLAP and share > best.get(self.item_of[segment], {"score": 0.0})["score"]:
                 best[self.item_of[segment]] = {"item_id": item.item_id, "score": share, "question": q, "answer": r}
-        return [best[k] for k in sorted(best, key=lambda k: (self.items[k].item_id, k))]
+        return [best[k] for k in sorted(best)]
 
 
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("question", T.DoubleType()), T.StructField("answer", T.DoubleType())])
