@@ -55,15 +55,20 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+#: Signals and their cutoffs from lenient to strict; a document is rejected over the cutoff.
+GRIDS: dict[str, list[float]] = {
+    "symbols_per_word": [3.0, 2.5, 2.0, 1.5, 1.2, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1],
+    "chars_per_word": [20.0, 18.0, 16.0, 14.0, 13.0, 12.0, 11.0, 10.0, 9.0, 8.0],
+    "repeated_words": [0.48, 0.44, 0.4, 0.36, 0.32, 0.28, 0.24, 0.2],
+    "dup_lines": [64.0, 32.0, 16.0, 8.0, 6.0, 4.0, 3.0, 2.0, 1.0],
+}
+
+
 def rules() -> dict[str, tuple[Column, list[float]]]:
-    """Signals and their grids from lenient to strict; a document is rejected over the cutoff."""
+    """Each rule's signal as a column, and its cutoffs."""
     n = F.col("n_words")
-    return {
-        "symbols_per_word": (F.col("n_symbols") / n, [3.0, 2.5, 2.0, 1.5, 1.2, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1]),
-        "chars_per_word": (F.col("word_chars") / n, [20.0, 18.0, 16.0, 14.0, 13.0, 12.0, 11.0, 10.0, 9.0, 8.0]),
-        "repeated_words": (F.col("n_repeat_words") / n, [0.48, 0.44, 0.4, 0.36, 0.32, 0.28, 0.24, 0.2]),
-        "dup_lines": (F.col("n_dup_lines").cast("double"), [64.0, 32.0, 16.0, 8.0, 6.0, 4.0, 3.0, 2.0, 1.0]),
-    }
+    signal = {"symbols_per_word": F.col("n_symbols") / n, "chars_per_word": F.col("word_chars") / n, "repeated_words": F.col("n_repeat_words") / n, "dup_lines": F.col("n_dup_lines").cast("double")}
+    return {r: (signal[r], grid) for r, grid in GRIDS.items()}
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:

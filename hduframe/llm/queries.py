@@ -104,9 +104,9 @@ _SIGNALS = {"symbols_per_word": "n_symbols / n_words", "chars_per_word": "word_c
 
 
 def _quality_sql() -> str:
-    each = quality_rules.rules()
+    each = quality_rules.GRIDS
     a, delta = quality_rules.ALPHA / len(each), quality_rules.DELTA
-    grid = ", ".join(f"('{r}', {j}, {c})" for r, (_, cuts) in each.items() for j, c in enumerate(cuts))
+    grid = ", ".join(f"('{r}', {j}, {c})" for r, cuts in each.items() for j, c in enumerate(cuts))
     value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {x}" for r, x in _SIGNALS.items()) + " END"
     over = " OR ".join(f"coalesce({x} > (SELECT cutoff FROM best WHERE rule = '{r}' AND stratum IS NOT DISTINCT FROM f.lang), false)" for r, x in _SIGNALS.items())
     return rf"""WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
