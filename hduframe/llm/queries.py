@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 from . import chat_format, decontaminate, kneser_ney, lm_score, near_dedup, quality_rules, secrets, sentencepiece_codec, token_files, toxicity
@@ -54,7 +55,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(spark, table(spark, sf_dir, "documents"))
+    scores = lm_score.lm_scores(spark, table(spark, sf_dir, "documents"))
+    # decimals that don't depend on the order in which a document's terms are added up
+    return scores.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,4 +131,39 @@ def _quality_sql() -> str:
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept, lang FROM b f"""
 
 
-ORACLE_SQL: dict[str, str] = {"op5_chat_format": CHATS, "op8_quality_rules": _quality_sql()}
+def _secrets_sql() -> str:
+    """Places of matches from the lengths of the texts between them."""
+    parts = []
+    for k, r in enumerate(secrets.RULES):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.base} AS base, {r.least} AS least, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {r.group}) AS g, string_split_regex(text, {p}) AS s FROM t WHERE regexp_matches(text, {p})")
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ a AS ({' UNION ALL '.join(parts)}),
+ b AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a),
+ c AS (SELECT doc_id, k, kind, base, length(m[i]) AS n, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM b WHERE length(g[i]) >= least),
+ d AS (SELECT doc_id, k, a, kind, base, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS span FROM c),
+ e AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY a, k) FILTER (base) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM d GROUP BY doc_id)
+ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN e ON t.doc_id = e.doc_id"""
+
+
+NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS fp FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+ e AS (SELECT x AS u, y AS v FROM l UNION SELECT y, x FROM l),
+ r(node, reach) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.node, e.v FROM r JOIN e ON r.reach = e.u),
+ m AS (SELECT node, min(reach) AS low FROM r GROUP BY node),
+ f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS rep FROM n)
+ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, low AS component_id, low = w.doc_id AS kept, coalesce(rep, w.doc_id) AS rep FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN m ON m.node = w.doc_id LEFT JOIN f ON f.doc_id = w.doc_id"""
+
+BACKOFF = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ t AS (SELECT doc_id, i, w[i] AS a, w[i - 1] AS b, w[i - 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+ c1 AS (SELECT a, count(*) AS n1 FROM t GROUP BY a), c2 AS (SELECT a, b, count(*) AS n2 FROM t WHERE i >= 2 GROUP BY a, b), c3 AS (SELECT a, b, c, count(*) AS n3 FROM t WHERE i >= 3 GROUP BY a, b, c),
+ u AS (SELECT doc_id, i, a, b, c, n1 / (SELECT count(*) FROM t) AS s1 FROM t JOIN c1 USING (a)),
+ v AS (SELECT u.*, CASE WHEN i < 2 THEN s1 WHEN n2 >= {lm_score.LEAST} THEN n2 / p.n1 ELSE {lm_score.BACKOFF} * s1 END AS s2 FROM u LEFT JOIN c2 ON u.a = c2.a AND u.b = c2.b LEFT JOIN c1 p ON u.b = p.a),
+ x AS (SELECT v.doc_id, CASE WHEN i < 3 THEN s2 WHEN n3 >= {lm_score.LEAST} THEN n3 / q.n2 ELSE {lm_score.BACKOFF} * s2 END AS s3 FROM v LEFT JOIN c3 ON v.a = c3.a AND v.b = c3.b AND v.c = c3.c LEFT JOIN c2 q ON v.b = q.a AND v.c = q.b),
+ y AS (SELECT doc_id, sum(ln(s3)) AS score FROM x GROUP BY doc_id)
+ SELECT w.doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS score, round(score / len(w), 6) AS mean_score FROM w LEFT JOIN y ON w.doc_id = y.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op6_minhash_dedup": NEAR, "op9_stupid_backoff": BACKOFF, "op10_secret_scan": _secrets_sql(), "op5_chat_format": CHATS, "op8_quality_rules": _quality_sql()}
