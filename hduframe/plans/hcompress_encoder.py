@@ -1,11 +1,16 @@
-"""Forward transform and an encoder for tests: written from the published description."""
+"""Forward transform and a plain encoder of HCOMPRESS_1, for queries and tests of the decoder: the package writes no such files."""
+
+from __future__ import annotations
+
 import numpy as np
-from hduframe.operators.codecs import hcompress as hc
+
+from ..operators.codecs import hcompress as hc
 
 CODE = {v: (c, n) for n, t in hc.HUFFMAN.items() for c, v in t.items()}
 
 
-def forward(img):
+def forward(img: np.ndarray) -> np.ndarray:
+    """Sums and differences of two by two, level by level; bits that can be told from others are dropped."""
     nx, ny = img.shape
     a = img.astype(np.int64).copy()
     depth = hc.levels(max(nx, ny))
@@ -35,14 +40,14 @@ def forward(img):
     return a
 
 
-def nodes_of(bits):
+def nodes_of(bits: np.ndarray) -> np.ndarray:
     x, y = bits.shape
     p = np.zeros((x + x % 2, y + y % 2), np.int64)
     p[:x, :y] = bits
     return p[0::2, 0::2] * 8 + p[0::2, 1::2] * 4 + p[1::2, 0::2] * 2 + p[1::2, 1::2]
 
 
-def quadrant(m, planes, huffman):
+def quadrant(m: np.ndarray, planes: int, huffman: bool) -> list[int]:
     out = []
     nx, ny = m.shape
     if not nx or not ny:
@@ -67,10 +72,10 @@ def quadrant(m, planes, huffman):
     return out
 
 
-def encode(img, huffman=True, scale=0):
+def encode(img: np.ndarray, huffman: bool = True, scale: int = 0) -> bytes:
     a = forward(img)
     if scale > 1:
-        a = np.where(a > 0, a + (scale >> 1) - (0), a - (scale >> 1)) // scale if False else np.sign(a) * ((np.abs(a) + (scale >> 1)) // scale)
+        a = np.sign(a) * ((np.abs(a) + (scale >> 1)) // scale)
     nx, ny = a.shape
     total = int(a[0, 0])
     m = np.abs(a)

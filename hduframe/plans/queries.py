@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -479,6 +481,26 @@ def plio_decode_mask(spark, sf_dir):
     return tile_pixels(read_compressed(spark, path), Geometry((WIDTH, n), (WIDTH, 1)))
 
 
+@query(PIXELS.format("(l_orderkey * 100)::INT"))
+def hcompress_decode(spark, sf_dir):
+    """Tiles of 20 by 5 pixels, encoded only for this query."""
+    from .hcompress_encoder import encode
+
+    lines = lineitem_lines(spark, sf_dir, IMAGES["i32"][1])
+    n = lines.count()
+    g = Geometry((WIDTH, n), (20, 5))
+
+    def run(batches):
+        for batch in batches:
+            index, values = batch.column("tile_index").to_pylist(), batch.column("values").to_pylist()
+            packed = [encode(np.array(v, np.int64).reshape(g.dims(k)[::-1])) for k, v in zip(index, values, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("tile_index"), pa.array(packed, pa.binary())], names=["tile_index", "COMPRESSED_DATA"])
+
+    path = scratch(spark, "h.fits")
+    _tiles_file(spark, path, cut(lines, g).mapInArrow(run, "tile_index long, COMPRESSED_DATA binary"), "1PB", _cards("HCOMPRESS_1", 32, [WIDTH, n], [20, 5]))
+    return tile_pixels(read_compressed(spark, path), g)
+
+
 HALF_AWAY = "(CASE WHEN q >= 0 THEN floor(q + 0.5) ELSE ceil(q - 0.5) END)::INT"
 
 

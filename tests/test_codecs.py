@@ -1,11 +1,11 @@
 import numpy as np
 import pytest
-from hcompress_encoder import encode as hcompress_encode
 
 from hduframe.errors import CompressionError, UnsupportedCompression
 from hduframe.operators import quantize as quant
 from hduframe.operators.codecs import gz, hcompress, plio, rice
 from hduframe.operators.tiles import Compress, Geometry, check, decode_tiles, options_of
+from hduframe.plans.hcompress_encoder import encode as hcompress_encode
 from hduframe.sources.cards import Card, Header
 
 

@@ -84,3 +84,12 @@ def test_typed_values(spark):
     cards = spark.createDataFrame([(0, "A", 5, None, None, None), (1, "a", 6, None, None, None), (2, "S", None, None, "x", None)], "card_index int, name string, v_int long, v_float double, v_str string, v_bool boolean")
     r = cards.agg(cardexpr.typed_value("a", "int").alias("i"), cardexpr.typed_value("A", "float").alias("f"), cardexpr.typed_value("s", "string").alias("s"), cardexpr.typed_value("zz", "int").alias("z")).first()
     assert (r.i, r.f, r.s, r.z) == (5, 5.0, "x", None)
+
+
+def test_bits(spark):
+    from hduframe.functions import bits
+
+    values = [0, -1, 1, -2, 5, (1 << 63) - 1, -(1 << 63)]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", bits.zigzag("v").alias("z"), bits.unzigzag(bits.zigzag("v")).alias("u"), bits.sign_extend("v", 8).alias("s"), bits.unsigned_word("v").alias("w")).collect()
+    assert [r.z for r in rows[:5]] == [0, 1, 2, 3, 10] and all(r.u == r.v for r in rows)
+    assert [r.s for r in rows] == [0, -1, 1, -2, 5, -1, 0] and [r.w for r in rows] == [v & 0xFFFFFFFF for v in values]
