@@ -26,7 +26,7 @@ from .tform import arrow_type
 HDUS = "path string, hdu_index int, kind string, extname string, bitpix int, axes array<bigint>, nrows bigint, ncols int, pcount bigint, gcount bigint, header_offset bigint, data_offset bigint, data_bytes bigint, zimage boolean, datasum_status string, checksum_ok boolean"
 CARDS = "path string, hdu_index int, card_index int, name string, value_type string, v_bool boolean, v_int bigint, v_float double, v_str string, v_re double, v_im double, comment string, raw string"
 TILES = "path string, hdu_index int, tile_index bigint, payload binary, words array<smallint>, raw binary, zscale double, zzero double, zblank int"
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES, MOST_PARTS = 16 << 20, 4096
 
 
 @dataclass
@@ -95,10 +95,11 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         mode, out = self.options.get("mode", "table"), []
-        for path in files(self.options["path"]):
-            if mode in ("hdus", "cards"):
-                out.append(Part(path, -1, 0, 0))
-                continue
+        found = files(self.options["path"])
+        if mode in ("hdus", "cards"):  # some files for each task
+            each = max(1, -(-len(found) // MOST_PARTS))
+            return [Part("\n".join(found[k : k + each]), -1, 0, 0) for k in range(0, len(found), each)] or [Part("", -2, 0, 0)]
+        for path in found:
             source = Source(path)
             if mode == "tiles" and "hdu" not in self.options and "extname" not in self.options:
                 h = next((x for x in index(source) if x.zimage), None)
@@ -118,14 +119,14 @@ class Reader(DataSourceReader):
         if part.hdu == -2:
             return
         mode = self.options.get("mode", "table")
+        if mode in ("hdus", "cards"):
+            for path in part.path.split("\n"):
+                source = Source(path)
+                yield from (self._hdus if mode == "hdus" else self._cards)(source, path)
+                source.close()
+            return
         source = Source(part.path)
         try:
-            if mode == "hdus":
-                yield from self._hdus(source, part.path)
-                return
-            if mode == "cards":
-                yield from self._cards(source, part.path)
-                return
             h = find(source, part.hdu)
             if mode == "tiles":
                 from ..operators.tiles import read_tiles

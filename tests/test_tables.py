@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from hduframe.errors import InvalidFormat, InvalidTable, UnsupportedExtension
 from hduframe.operators.from_bytes import schema_of, tables
 from hduframe.operators.rows import with_index
+from hduframe.operators.scan import scan
 from hduframe.operators.tiles import Compress, read_compressed, tile_pixels, write_compressed
 from hduframe.sources.cards import Card, Header
 from hduframe.sources.decode import columns
@@ -187,3 +188,16 @@ def test_folders_and_streams(spark, tmp_path):
 def test_with_index(spark, tmp_path):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(5)
     assert with_index(df, ["x"], str(tmp_path / "r")).where("x <> row_index").count() == 0
+
+
+def test_scan_by_catalog(spark, tmp_path):
+    write(spark.range(500).withColumn("s", F.col("id").cast("string")).repartition(4), str(tmp_path / "c"))
+    catalog = read(spark, str(tmp_path / "c"), mode="hdus").where("kind = 'bintable'")
+    back = scan(catalog, read(spark, str(tmp_path / "c")).schema, range_bytes=512)
+    assert back.columns == ["path", "hdu_index", "id", "s"] and sorted(r.id for r in back.collect()) == list(range(500))
+    lines = spark.range(6).select(F.col("id").alias("row_index"), F.array(F.col("id"), F.col("id") * 10).alias("values"))
+    write(lines.coalesce(1), str(tmp_path / "i.fits"), hdu="image", axes="2,3,2")
+    images = read(spark, str(tmp_path / "i.fits"), mode="hdus")
+    for mode in ("rows", "pixels"):
+        want = read(spark, str(tmp_path / "i.fits"), mode=mode)
+        assert sorted(map(str, scan(images, want.schema, range_bytes=20).drop("path").collect())) == sorted(map(str, want.collect()))
