@@ -1,8 +1,8 @@
 """Connected components by contraction, in tables of the shared folder: nothing is gathered on the driver.
 
-In each round every node points to the smallest of itself and its neighbours, pointers are followed twice, edges are
-moved to where their ends point, and loops and repeats go.  The tables of edges shrink until none is left; then the
-rounds' pointers are put together, the last first.
+In each round every node points to the smallest of itself and its neighbours; pointers are followed, twice as far each time,
+until they end; edges are moved to where their ends point, and loops and repeats go.  Each round at least halves the nodes that
+still have edges, and a chain in order of its nodes ends in one.  At last the rounds' pointers are put together, the last first.
 """
 
 from __future__ import annotations
@@ -21,9 +21,16 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     while not ends.isEmpty():
         k = len(pointers)
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        first = scratch.write(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("to")), f"{name}-first-{k}")
-        twice = _follow(first, first)
-        to = scratch.write(twice, f"{name}-to-{k}")
+        least = F.least(F.col("node"), F.min("v"))
+        to, step = scratch.write(both.groupBy(F.col("u").alias("node")).agg(least.alias("to")), f"{name}-to-{k}-0"), 0
+        while True:
+            step += 1
+            further = scratch.write(_follow(to, to), f"{name}-to-{k}-{step}")
+            done = further.where("moved").isEmpty()
+            scratch.drop(f"{name}-to-{k}-{step - 1}")
+            to = further.select("node", "to")
+            if done:
+                break
         pointers.append(to)
         moved = _move(_move(ends, to, "u"), to, "v")
         moved = moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
@@ -32,14 +39,15 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         return ends.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     last = pointers[-1]
     for k in range(len(pointers) - 2, -1, -1):
-        last = scratch.write(_follow(pointers[k], last), f"{name}-end-{k}")
+        last = scratch.write(_follow(pointers[k], last).select("node", "to"), f"{name}-end-{k}")
     return last.select("node", F.col("to").alias("comp"))
 
 
 def _follow(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a's pointers, moved on to where b points from there."""
+    """a's pointers, moved on to where b points from there, and whether that is elsewhere."""
     far = b.select(F.col("node").alias("to"), F.col("to").alias("far"))
-    return a.join(far, "to", "left").select("node", F.coalesce("far", "to").alias("to"))
+    end = F.coalesce("far", "to")
+    return a.join(far, "to", "left").select("node", end.alias("to"), (end != F.col("to")).alias("moved"))
 
 
 def _move(edges: DataFrame, to: DataFrame, end: str) -> DataFrame:

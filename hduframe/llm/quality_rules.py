@@ -17,6 +17,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -91,8 +92,8 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
         F.count("*").alias("n"),
         F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(j).alias("step"), F.lit(c).alias("cutoff"), F.sum((x > c).cast("long")).alias("k")) for r, (x, grid) in each.items() for j, c in enumerate(grid))).alias("tests"),
     )
-    strata = counts.agg(F.count("*").alias("strata"))
-    tests = counts.crossJoin(F.broadcast(strata)).select("stratum", "n", "strata", F.explode("tests").alias("t")).select("stratum", "n", "strata", "t.*")  # one row beside each
+    strata = F.count("*").over(W.partitionBy(F.lit(0)))  # over a row for each stratum
+    tests = counts.withColumn("strata", strata).select("stratum", "n", "strata", F.explode("tests").alias("t")).select("stratum", "n", "strata", "t.*")
     passed = tests.withColumn("ok", binomial_tail(F.col("k"), F.col("n"), a) <= delta / (F.col("strata") * len(each)))
     # fixed sequence: steps before the first that fails
     ends = passed.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("step"))).alias("fails"), F.max_by("step", "step").alias("last"), F.collect_list(F.struct("step", "cutoff", "k", "n")).alias("all"))
