@@ -36,13 +36,14 @@ FRAME_BYTES = 1 << 18
 #: White space of the tokenizer's split pattern; Python counts four control characters more as such.
 CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: The tokenizer's split pattern for characters below U+0250, where these eight are the only numbers but the digits.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-ODD = re.compile("[\x1c-\x1f]")
+SPLIT = re.compile(r" ?[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: All others: beyond them the two regex libraries could hold different Unicode versions, and four count as white space in one alone.
+ODD = re.compile("[^\x00-\x1b\x20-\u024f]")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Byte-level BPE of the tokenizers library; ids of white-space-led chunks and of their words are kept."""
+    """Byte-level BPE of the tokenizers library; ids of words are kept, and of white-space-led chunks of texts with odd characters."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -53,22 +54,15 @@ class Encoder:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in set(plain)]
         self.table = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(other)}
-        self.word = Cache(self._word, 400_000)
-        self.chunk = Cache(self._chunk, 700_000)
+        self.word = Cache(self._word, 800_000)
+        self.chunk = Cache(self._chunk, 200_000)
 
     def _word(self, word: str) -> bytes:
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.table))
         return b"".join([t.id.to_bytes(4, "little") for t in tokens])
 
     def _chunk(self, chunk: str) -> bytes:
-        # beyond these letters the two regex libraries could hold different Unicode versions
-        if chunk.isascii() or max(chunk) < "ɐ":
-            if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-                return self._word(chunk)
-            if ODD.search(chunk):
-                return self.whole(chunk)
-            return b"".join([self.word[w] for w in SPLIT.findall(chunk)])
-        return self.whole(chunk)
+        return self.whole(chunk) if ODD.search(chunk) else b"".join(map(self.word.__getitem__, SPLIT.findall(chunk)))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.all.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -78,7 +72,9 @@ class Encoder:
             return b""
         if any(s in text for s in self.special):
             return self.whole(text)
-        return b"".join(map(self.chunk.__getitem__, CHUNK.findall(text)))
+        if ODD.search(text):
+            return b"".join(map(self.chunk.__getitem__, CHUNK.findall(text)))
+        return b"".join(map(self.word.__getitem__, SPLIT.findall(text)))
 
 
 def encoder(file: str) -> Encoder:
