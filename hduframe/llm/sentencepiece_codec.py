@@ -61,12 +61,17 @@ class Codec:
         self.pairs = Cache(self.compatible, 1_000_000)
         inside = {c for p in self.id for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in inside)
-        cls = f" {MARK}{alone}"
-        self.chunks = re.compile(f"[ {MARK}]*[^{cls}]+|[ {MARK}]+" + (f"|[{alone}]" if alone else ""))
+        letters = r"[^\W\d_]"
+        others = f"(?:[^\\w {MARK}{alone}]|[\\d_])"
+        if any(re.search(f"{letters}[^\\w{MARK}]|{letters}[\\d_]|(?:[^\\w{MARK}]|[\\d_]){letters}", p) for p in self.id):
+            word = f"[^ {MARK}{alone}]+"
+        else:  # no piece holds letters beside other characters, so that these are chunks of their own
+            word = f"(?:{letters}+|{others}+)"
+        self.chunks = re.compile(f"[ {MARK}]*{word}|[ {MARK}]+" + (f"|[{alone}]" if alone else ""))
         self.pack = [i.to_bytes(4, "little") for i in range(n)]
         self.utf8 = {self.pack[i]: bytes([self.byte_of[i]]) if i in self.byte_of else self.piece[i].encode() for i in range(n)}
-        self.ids = Cache(lambda chunk: b"".join(map(self.pack.__getitem__, self.encode_chunk(chunk.replace(" ", MARK)))), 300_000)
-        self.text = Cache(self.decode_bytes, 300_000)
+        self.ids = Cache(lambda chunk: b"".join(map(self.pack.__getitem__, self.encode_chunk(chunk.replace(" ", MARK)))), 500_000)
+        self.text = Cache(self.decode_bytes, 500_000)
 
     def merge(self, text: str) -> list[str]:
         """The merges as the model defines them: the best score first, the leftmost of equals."""
