@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 
 from ..errors import InvalidTable, MissingKeyword
@@ -68,16 +69,22 @@ def heap_at(h: Header) -> int:
     return h.get_int("THEAP") or h.require_int("NAXIS1") * h.require_int("NAXIS2")
 
 
+def _text(data: bytes | np.ndarray, ends: np.ndarray, n: int) -> pa.Array:
+    """Texts that lie one behind the other, without a copy."""
+    offsets = np.zeros(n + 1, np.int32)
+    offsets[1:] = ends
+    text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    try:
+        text.validate(full=True)
+    except pa.ArrowInvalid as e:
+        raise InvalidTable("a text cell isn't UTF-8") from e
+    return text
+
+
 def _strings(raw: np.ndarray) -> pa.Array:
     """Rows of bytes, right-trimmed."""
     n, w = raw.shape
-    if not w:
-        return pa.array([""] * n, pa.string())
-    flat = np.ascontiguousarray(raw).tobytes()
-    try:
-        return pa.array([flat[k : k + w].decode("utf-8").rstrip() for k in range(0, n * w, w)], pa.string())
-    except UnicodeDecodeError as e:
-        raise InvalidTable("a text cell isn't UTF-8") from e
+    return pc.utf8_rtrim_whitespace(_text(np.ascontiguousarray(raw), w * np.arange(1, n + 1), n))
 
 
 def _lists(values: pa.Array, n: int, each: int) -> pa.Array:
@@ -158,35 +165,31 @@ def _variable(pairs: np.ndarray, c: Column, heap: Heap | None, scale: bool) -> p
     size = -(-count // 8) if code == "X" else count * WIDTH[code]
     raw = heap.ranges(begin, size) if heap else b""
     if code in "XAB" and not (code == "B" and scale and c.scaled):
-        ends = np.cumsum(size)
-        cells = [raw[e - s : e] for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
-        return pa.array([x.decode("utf-8") for x in cells], pa.string()) if code == "A" else pa.array(cells, pa.binary())
+        if code == "A":
+            return _text(raw, np.cumsum(size), len(size))
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
     flat = np.frombuffer(raw, NUMPY[code])
     values = _scaled(flat, c) if scale and c.scaled and code in "BIJKED" else _values(flat, code)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), values)
 
 
-def _number_text(raw: np.ndarray) -> list[str]:
-    w = raw.shape[1]
-    flat = np.ascontiguousarray(raw).tobytes().decode("ascii", "replace")
-    return [flat[k : k + w].strip() for k in range(0, len(flat), w)] if w else []
-
-
 def decode_ascii(rows: np.ndarray, cols: list[Column]) -> list[pa.Array]:
     out = []
     for c in cols:
-        part = rows[:, c.at : c.at + c.form.width]
+        text = _strings(rows[:, c.at : c.at + c.form.width])
         if c.form.code == "A":
-            out.append(_strings(part))
+            out.append(text)
             continue
-        text = _number_text(part)
+        text = pc.utf8_ltrim_whitespace(text)
         try:
             if c.form.code == "I":
-                value = [int(t) for t in text]
-                out.append(pa.array(value, pa.int64()) if not c.scaled else pa.array(np.trunc(c.zero + c.scale * np.array(value, np.float64)).astype(np.int64)))
+                value = pc.replace_substring_regex(text, r"^\+", "").cast(pa.int64())
+                out.append(value if not c.scaled else pa.array(np.trunc(c.zero + c.scale * value.to_numpy().astype(np.float64)).astype(np.int64)))
             else:
-                out.append(pa.array(c.zero + c.scale * np.array([float(t.replace("D", "E").replace("d", "e")) for t in text], np.float64)))
-        except ValueError as e:
+                plain = pc.replace_substring_regex(pc.replace_substring(pc.replace_substring(text, "D", "E"), "d", "e"), r"^\+", "")
+                out.append(pa.array(c.zero + c.scale * plain.cast(pa.float64()).to_numpy()))
+        except pa.ArrowInvalid as e:
             raise InvalidTable(f"no number in column {c.name}: {e}") from e
     return out
 

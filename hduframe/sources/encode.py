@@ -36,10 +36,18 @@ def _flat(col: pa.Array, code: str) -> np.ndarray:
     return values.astype(kind)
 
 
-def _fixed(cells: list[bytes], width: int, name: str, pad: bytes) -> np.ndarray:
-    if any(len(c) > width for c in cells):
+def _fixed(col: pa.Array, width: int, name: str, text: bool) -> np.ndarray:
+    """Cells of one width: texts filled with blanks, bytes with zeros."""
+    col = _filled(col, "" if text else b"")
+    longest = pc.max(pc.binary_length(col)).as_py() or 0
+    if longest > width:
         raise InvalidTable(f"a value of {name} is longer than {width} bytes")
-    return np.frombuffer(b"".join(c.ljust(width, pad) for c in cells), np.uint8).reshape(len(cells), width)
+    if text:  # counts bytes, as is wanted
+        cells = pc.ascii_rpad(col, width)
+        flat = np.frombuffer(b"".join(pc.cast(cells, pa.binary()).to_pylist()), np.uint8) if cells.offset else np.frombuffer(cells.buffers()[2] or b"", np.uint8)[: len(col) * width]
+    else:
+        flat = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in col.to_pylist()), np.uint8)
+    return flat.reshape(len(col), width)
 
 
 def _cells(col: pa.Array) -> list[bytes]:
@@ -73,9 +81,9 @@ def encode_rows(batch: pa.RecordBatch, forms: list[Binary], heap_base: int = 0)
             heap.append(raw)
             at += len(raw)
         elif f.code == "A":
-            parts.append(_fixed(_cells(col), f.size, name, b" "))
+            parts.append(_fixed(col, f.size, name, True))
         elif f.code == "X" or f.code == "B" and pa.types.is_binary(col.type):
-            parts.append(_fixed(_cells(col), f.size, name, b"\0"))
+            parts.append(_fixed(col, f.size, name, False))
         else:
             if pa.types.is_list(col.type):
                 wrong = pc.any(pc.not_equal(pc.fill_null(pc.list_value_length(col), -1), f.repeat)).as_py()
