@@ -29,3 +29,10 @@ def sign_extend(value: str | Column, bits: int) -> Column:
 def unsigned_word(value: str | Column) -> Column:
     """A 32-bit integer's bits as a number of at least 0, as checksums add them up."""
     return _col(value).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def booleans(value: str | Column, n: int) -> Column:
+    """The first n bits of a binary column (a bit array, TFORM X), the highest of each byte first."""
+    digits = F.hex(_col(value))
+    nibble = lambda i: F.conv(F.substring(digits, F.floor(i / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.call_function("shiftright", nibble(i), 3 - i % 4).bitwiseAND(F.lit(1)) == 1)

@@ -115,8 +115,8 @@ def _scaled(flat: np.ndarray, c: Column) -> pa.Array:
     return pa.array(value)
 
 
-def decode_rows(rows: np.ndarray, cols: list[Column], heap: Heap | None, scale: bool) -> list[pa.Array]:
-    """rows: a matrix of bytes, a row of the table in each."""
+def decode_rows(rows: np.ndarray, cols: list[Column], heap: Heap | None, scale: bool, null_logical: bool = False) -> list[pa.Array]:
+    """rows: a matrix of bytes, a row of the table in each.  null_logical: logical bytes of 0 are null instead of false."""
     n, out = len(rows), []
     for c in cols:
         f = c.form
@@ -130,6 +130,8 @@ def decode_rows(rows: np.ndarray, cols: list[Column], heap: Heap | None, scale:
         else:
             flat = _raw(rows, c.at, f)
             values = _scaled(flat, c) if scale and c.scaled and f.code in "BIJKED" else _values(flat, f.code)
+            if f.code == "L" and null_logical:
+                values = pa.array(flat == ord("T"), mask=flat == 0)
             out.append(values if f.repeat == 1 else _lists(values, n, f.repeat))
     return out
 
@@ -194,7 +196,7 @@ def decode_ascii(rows: np.ndarray, cols: list[Column]) -> list[pa.Array]:
     return out
 
 
-def read_table(source: Source, hdu: Hdu, first: int, last: int, schema: T.StructType, scale: bool, batch_bytes: int = 1 << 24):
+def read_table(source: Source, hdu: Hdu, first: int, last: int, schema: T.StructType, scale: bool, null_logical: bool = False, batch_bytes: int = 1 << 24):
     """Record batches of rows first to last - 1 with the schema's columns; others aren't decoded."""
     h = hdu.header
     width = h.require_int("NAXIS1")
@@ -209,7 +211,7 @@ def read_table(source: Source, hdu: Hdu, first: int, last: int, schema: T.Struct
         if len(raw) < n * width:
             raise InvalidTable("the table is truncated")
         rows = np.frombuffer(raw, np.uint8).reshape(n, width)
-        arrays = decode_ascii(rows, cols) if hdu.kind == "table" else decode_rows(rows, cols, heap, scale)
+        arrays = decode_ascii(rows, cols) if hdu.kind == "table" else decode_rows(rows, cols, heap, scale, null_logical)
         got = dict(zip((c.name for c in cols), arrays, strict=True))
         if "_row_index" in wanted:
             got["_row_index"] = pa.array(np.arange(a, a + n))

@@ -1,7 +1,7 @@
 """The ``fits`` data source: catalogs, tables, images and compressed tiles of FITS files, and writing them.
 
 Options of reading: mode (table, rows, pixels, hdus, cards, tiles), hdu or extname (else the first HDU with data), columns (a list
-by commas: others aren't decoded), scale (apply TSCAL/TZERO to binary tables), rowIndex, strict (truncated extensions raise),
+by commas: others aren't decoded), scale (apply TSCAL/TZERO to binary tables), nullLogical (bytes of 0 are null, not false), rowIndex, strict (truncated extensions raise),
 verify (hdus: sum up the data), partitionBytes, pushdown (see ``read``).
 Headers are stepped through once when a scan is planned; data are cut into ranges of rows.
 """
@@ -133,7 +133,7 @@ class Reader(DataSourceReader):
 
                 yield from read_tiles(source, h, part.path, part.first, part.last, self.wanted)
             elif h.kind in ("table", "bintable"):
-                yield from read_table(source, h, part.first, part.last, self.wanted, flag(self.options, "scale"))
+                yield from read_table(source, h, part.first, part.last, self.wanted, flag(self.options, "scale"), flag(self.options, "nulllogical"))
             else:
                 yield from read_image(source, h, part.first, part.last, self.wanted, mode)
         finally:

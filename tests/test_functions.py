@@ -93,3 +93,12 @@ def test_bits(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", bits.zigzag("v").alias("z"), bits.unzigzag(bits.zigzag("v")).alias("u"), bits.sign_extend("v", 8).alias("s"), bits.unsigned_word("v").alias("w")).collect()
     assert [r.z for r in rows[:5]] == [0, 1, 2, 3, 10] and all(r.u == r.v for r in rows)
     assert [r.s for r in rows] == [0, -1, 1, -2, 5, -1, 0] and [r.w for r in rows] == [v & 0xFFFFFFFF for v in values]
+    flags = spark.createDataFrame([(b"\xa5\x80",)], "b binary").select(bits.booleans("b", 9).alias("x")).first().x
+    assert flags == [True, False, True, False, False, True, False, True, True]
+
+
+def test_from_raster(spark):
+    grey = spark.createDataFrame([(0,), (255,), (65535,)], "g int")
+    column, scale, zero = scaling.from_raster("g", 16)
+    assert [r[0] * scale + zero for r in grey.select(column).collect()] == [0.0, 255.0, 65535.0]
+    assert scaling.from_raster("g", 8)[1:] == (1.0, 0.0)

@@ -201,3 +201,10 @@ def test_scan_by_catalog(spark, tmp_path):
     for mode in ("rows", "pixels"):
         want = read(spark, str(tmp_path / "i.fits"), mode=mode)
         assert sorted(map(str, scan(images, want.schema, range_bytes=20).drop("path").collect())) == sorted(map(str, want.collect()))
+
+
+def test_null_logicals(spark, tmp_path):
+    p = tmp_path / "l.fits"
+    p.write_bytes(hand_made(b"T\0F", [Card("NAXIS1", 1), Card("NAXIS2", 3), Card("PCOUNT", 0), Card("GCOUNT", 1), Card("TFIELDS", 1), Card("TFORM1", "L")]))
+    assert [r[0] for r in read(spark, str(p)).collect()] == [True, False, False]
+    assert [r[0] for r in read(spark, str(p), nullLogical=True).collect()] == [True, None, False]
