@@ -116,26 +116,30 @@ def _block_grams(row: dict, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return grams(unpack_words(row["words"]), np.array(row["lens"], np.int64), order)
 
 
-def _first_hash(shard: int, shards: int) -> int:
-    return (shard << 64) // shards
+def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    """By the upper half of a hash, in the order of hashes; at most 2**32 shards."""
+    return ((grams >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
 def sent(blocks: DataFrame, low: int, high: int, shards: int, order: int) -> DataFrame:
-    """(shard, block, grams, counts) of the shards from low to high - 1: each block's distinct n-grams of a shard as differences, and how often they occur."""
+    """(shard, block, grams, counts) of the shards from low to high - 1: each block's distinct n-grams of a shard as differences, and how often
+    they occur.  There is a row only where a block has n-grams of a shard, so there are never more rows than these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([_first_hash(s, shards) for s in range(low + 1, high)], np.uint64)
-        least, most = np.uint64(_first_hash(low, shards)), np.uint64(_first_hash(high, shards) - 1)
         for row in _each(batches):
             every = np.concatenate([h[at] for h, at in _block_grams(row, order)])
-            every = np.sort(every[(every >= least) & (every <= most)])
-            start = np.flatnonzero(np.diff(every, prepend=every[:1] - np.uint64(1))) if len(every) else np.empty(0, np.int64)
+            shard = shard_of(every, shards)
+            every = np.sort(every[(shard >= low) & (shard < high)])
+            if not len(every):
+                continue
+            start = np.flatnonzero(np.diff(every, prepend=every[:1] - np.uint64(1)))
             distinct, count = every[start], np.diff(np.append(start, len(every))).astype(np.uint32)
+            shard = shard_of(distinct, shards)
             del every
-            cuts = np.searchsorted(distinct, edges)
-            for s, (g, c) in enumerate(zip(np.split(distinct, cuts), np.split(count, cuts), strict=True), low):
-                if len(g):
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "block": pa.array([row["block"]], pa.int64()), "grams": pa.array([pack(np.diff(g, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([pack(c)], pa.binary())})
+            cuts = np.flatnonzero(np.diff(shard)) + 1
+            names = shard[np.concatenate([[0], cuts])].tolist()
+            for s, g, c in zip(names, np.split(distinct, cuts), np.split(count, cuts), strict=True):
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "block": pa.array([row["block"]], pa.int64()), "grams": pa.array([pack(np.diff(g, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([pack(c)], pa.binary())})
 
     return blocks.mapInArrow(run, "shard int, block long, grams binary, counts binary")
 
