@@ -333,5 +333,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         over = components(scratch, joined, "comps-2").select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         lone = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))
         final = comps.unionByName(lone).join(over, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    for name in ("features", "shared", "known", "pairs-1", "sets", "links-1", "labelled"):  # the result doesn't read these
+        scratch.drop(name)
     out = member.join(final.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("comp", "rep")).alias("kept"), "rep")
