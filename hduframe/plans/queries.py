@@ -261,7 +261,9 @@ def lines_of(df: DataFrame, order: list[str], value: F.Column | str, width: int
     ranked = with_index(df, order, scratch(df.sparkSession, "ranked"), "_n")
     cells = ranked.select(F.floor(F.col("_n") / width).cast("long").alias("row_index"), (F.col("_n") % width).alias("x"), F.expr(value).alias("v") if isinstance(value, str) else value.alias("v"))
     lines = cells.groupBy("row_index").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("c")).where(F.size("c") == width)
-    return lines.select("row_index", F.col("c.v").alias("values"))
+    path = scratch(df.sparkSession, "lines")  # callers count the lines, then read them again
+    lines.select("row_index", F.col("c.v").alias("values")).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def sorted_lines(lines: DataFrame) -> DataFrame:
