@@ -39,16 +39,25 @@ def either(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
 
+#: Between the lines of a key: white space, or line ends as they are written in quoted strings.
+GAP = r"""(?:[\x20\t\r\n>"']|\\+[nr])+"""
+#: A private key from its first line to its END line; where that is missing, to the end of the base64 lines.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[^-]*(?:-[^-]+)*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{GAP}(?:Proc-Type|DEK-Info):\x20?[A-Za-z0-9,-]+)*(?:{GAP}[A-Za-z0-9+/=]{{16,}})+(?:{GAP}[A-Za-z0-9+/=]+)?|)"
+)
+
 #: The contract's rules in their order, then further ones: fixed formats of public services.
 RULES = (
     Rule("assign", rf"""({'|'.join(map(either, ('password', 'passwd', 'secret', 'token')))}|{either('api')}_?{either('key')})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,200}"),
+    Rule("private_key", PRIVATE_KEY),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,200}"),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
