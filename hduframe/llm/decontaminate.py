@@ -7,7 +7,10 @@ in blocks, and for each term the index keeps its largest impact anywhere and in
 whose terms' largest impacts don't add up to the threshold are left out, then blocks whose block maxima don't, and only
 the rest is scored; all bounds are upper bounds, so everything above the threshold is retrieved.  A retrieved item is confirmed by
 its question and its answer (the last sentence, or the last third where there is one sentence; five words at least): of the
-5-word runs of each, at least OVERLAP must occur around the passage.
+5-word runs of each, at least OVERLAP must occur around the passage.  One edit takes up to five runs, which may be all that a part of
+fewer than LONG words has; such a part is also confirmed if a share of at least ALIGN of its words stands there in their order, within
+a stretch of at most SLACK words more than the part has.  The larger of the two shares is given.  Items of fewer than RUN words
+must be there word by word.  A last sentence of one word is judged with the four words before it, so its question alone is found too.
 
 Items are indexed in shards of at most about SHARD items, each with statistics of its own, so what is sent to executors is
 bounded; documents are scanned once for each shard.  Null and empty items match nothing; null and empty texts hold nothing.
@@ -34,6 +37,7 @@ WORDS = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 SEGMENT = STEP = 32
 LEAST, OVERLAP, RUN = 0.6, 0.5, 5
+LONG, ALIGN, SLACK = 14, 0.75, 2  # parts of LONG words have ten runs, of which one edit leaves half
 SHARD, BLOCK = 2048, 8
 K1, B = 1.2, 0.75
 
@@ -46,6 +50,23 @@ def runs(words: list[str], size: int) -> set[tuple]:
     return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
 
 
+def aligned(part: list[str], text: list[str]) -> float:
+    """The share of part's words that come in their order in a stretch of text, SLACK words longer at most; 0 under ALIGN."""
+    known, width, best = set(part), len(part) + SLACK, 0
+    least = ALIGN * len(part)
+    hits = np.concatenate([[0], np.cumsum([w in known for w in text])])
+    for k in range(len(text)):
+        if hits[min(k + width, len(text))] - hits[k] < max(least, best + 1) or text[k] not in known:
+            continue
+        row = [0] * (len(part) + 1)  # longest common subsequence
+        for w in text[k : k + width]:
+            before = 0
+            for j, x in enumerate(part, 1):
+                before, row[j] = row[j], before + 1 if w == x else max(row[j], row[j - 1])
+        best = max(best, row[-1])
+    return best / len(part) if best >= least else 0.0
+
+
 @dataclass
 class Item:
     item_id: int
@@ -53,6 +74,7 @@ class Item:
     run: int  # RUN, or the words of a shorter item
     question: set[tuple]
     answer: set[tuple]
+    short: tuple[list[str] | None, list[str] | None]  # words of question and answer, where one edit could take half of the runs
 
 
 class Index:
@@ -68,7 +90,8 @@ class Index:
             cut = len(words) - len(sentences[-1]) if len(sentences) > 1 else max(1, 2 * len(words) // 3)
             size = min(RUN, len(words))  # parts of fewer words are lengthened to that many
             question, answer = words[: max(cut, size)], words[min(cut, len(words) - size) :]
-            self.items.append(Item(item_id, len(words), size, runs(question, size), runs(answer, size)))
+            short = tuple(p if RUN <= len(p) < LONG else None for p in (question, answer))
+            self.items.append(Item(item_id, len(words), size, runs(question, size), runs(answer, size), short))
             parts = -(-len(words) // SEGMENT)
             edges = [len(words) * k // parts for k in range(parts + 1)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -124,8 +147,13 @@ class Index:
         for p, segment, share in found:
             item = self.items[self.item_of[segment]]
             a, b = (p - first) * STEP - item.n_words, (p - first + 2) * STEP + item.n_words
-            near = runs(words[max(0, a) : b], item.run)
+            text = words[max(0, a) : b]
+            near = runs(text, item.run)
             q, r = (len(x & near) / len(x) for x in (item.question, item.answer))
+            if item.short[0] and q < OVERLAP:
+                q = max(q, aligned(item.short[0], text))
+            if item.short[1] and r < OVERLAP <= q:
+                r = max(r, aligned(item.short[1], text))
             if q >= OVERLAP and r >= OVERLAP and share > best.get(self.item_of[segment], {"score": 0.0})["score"]:
                 best[self.item_of[segment]] = {"item_id": item.item_id, "score": share, "question": q, "answer": r}
         return [best[k] for k in sorted(best)]

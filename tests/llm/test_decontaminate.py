@@ -82,3 +82,28 @@ def test_odd(spark):
     assert sorted({x.doc_id for x in got}) == [8, 9] and {x.item_id for x in got} == {4, None}
     assert dc.leaked(spark, documents(spark, []), bench).count() == 0
     assert dc.leaked(spark, odd_frame(spark), spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_finds_edited_items(spark):
+    """One changed, inserted, missing or misspelt word anywhere among the last words, or the first, hides no item."""
+    r = random.Random(5)
+    items, texts, want = [], [], []
+    for k in range(40):
+        w, last = words(r, 24 + k % 5), 3 + k % 12
+        w[-last - 1] += "."
+        items.append(" ".join(w) + ".")
+        for at in (len(w) - 1 - k % last, len(w) - 3, len(w) - 5, 1 + k % 9):
+            for edit in ([], ["zzother"], [w[at], "zzother"], [w[at][:-1] + "q"]):
+                texts.append(" ".join(words(r, 30) + w[:at] + edit + w[at + 1 :] + words(r, 30)))
+                want.append((len(texts) - 1, k))
+        texts.append(" ".join(words(r, 30) + w[: -max(last, 5)] + words(r, 30)))  # without the answer
+    bench = spark.createDataFrame(list(enumerate(items)), ITEMS)
+    got = sorted((x.doc_id, x.item_id) for x in dc.leaked(spark, documents(spark, texts), bench).collect())
+    assert got == want
+
+
+def test_alignment():
+    part = "a b c d e".split()
+    assert dc.aligned(part, "x a b c d e".split()) == 1 and dc.aligned(part, "x a b q c d e".split()) == 1
+    assert dc.aligned(part, "a b q d e x".split()) == 0.8 and dc.aligned(part, "b c d e".split()) == 0.8
+    assert dc.aligned(part, "e d c b a".split()) == dc.aligned(part, "a b x x x x c d e".split()) == dc.aligned(part, []) == 0
