@@ -184,6 +184,18 @@ def test_classifier(spark):
     assert kn.classify(spark, documents(spark, []), labels).count() == 0
 
 
+@pytest.mark.parametrize("long", [4000, 1900])
+def test_long_text_does_not_empty_the_sample(spark, monkeypatch, long):
+    """The first document in hash order is over the bound on the sample, or fills it almost."""
+    monkeypatch.setattr(kn, "TRAIN_CHARS", 2000)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], LABELS)
+    docs = documents(spark, ["x" * 50] * 60)
+    f = kn.F
+    first = docs.where(f.pmod(f.xxhash64("doc_id"), f.lit(kn.KEPT_BACK)) != 0).orderBy(f.xxhash64("doc_id")).first().doc_id
+    ids = [r.doc_id for r in kn.training_ids(documents(spark, ["x" * (long if k == first else 50) for k in range(60)]), labels).collect()]
+    assert len(ids) == len(set(ids)) == 40 and first not in ids
+
+
 # ---- quality rules
 
 
