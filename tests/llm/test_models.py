@@ -196,6 +196,17 @@ def test_long_text_does_not_empty_the_sample(spark, monkeypatch, long):
     assert len(ids) == len(set(ids)) == 40 and first not in ids
 
 
+def test_odd_documents_set_no_cutoff(spark):
+    """Two outliers of 100 held-out documents: the cutoff is the next value; a language with few takes that of all."""
+    rows = [(k, "de", 1e7 if k < 2 else float(k)) for k in range(100)] + [(100 + k, "fr", 5.0) for k in range(10)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, perplexity double")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], LABELS)
+    got = {(r.stratum, r["all"]): r.threshold for r in kn.cutoffs(scored, labels, scored.select("doc_id").where("false")).collect()}
+    assert got == {("de", False): 99.0, (None, True): 99.0}
+    few = {(r.stratum, r["all"]): r.threshold for r in kn.cutoffs(scored.where("doc_id >= 100"), labels, scored.select("doc_id").where("false")).collect()}
+    assert few == {(None, True): 5.0}
+
+
 # ---- quality rules
 
 
