@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -226,14 +227,23 @@ def card_format(spark, sf_dir):
     return c.select("c_custkey", cardexpr.card_of(F.lit("custkey"), F.col("c_custkey").cast("string"), F.col("c_mktsegment")).alias("card"), cardexpr.commentary_card(F.lit("comment"), F.col("c_name")).alias("note"))
 
 
+HEADER_ROWS = 10_000
+
+
+def long_strings(spark, rows: DataFrame, folder: str) -> DataFrame:
+    """(item_id, t): all strings as CONTINUE cards of as many files' headers as they take, joined again."""
+    parts = batched(rows.select("item_id", "t").orderBy("item_id").toLocalIterator(), HEADER_ROWS)
+    for k, part in enumerate(chain([next(parts, ())], parts)):
+        write(spark.range(1), f"{folder}/{k}.fits", single=True, cards=[(f"T{r[0]}", r[1], None) for r in part])
+    cards = read(spark, folder, mode="cards").where("hdu_index = 1 AND name RLIKE '^T[0-9]+$'")
+    return cards.select(F.substring("name", 2, 7).cast("long").alias("item_id"), F.col("v_str").alias("t"))
+
+
 @query("SELECT item_id, rtrim(substr(regexp_replace(text, '[^ -~]', '?', 'g'), 1, 200)) AS v_str FROM benchmark")
 def card_long_string(spark, sf_dir):
-    """Long strings as CONTINUE cards of one header, joined again."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.rtrim(F.substring(F.regexp_replace("text", "[^ -~]", "?"), 1, 200)).alias("t")).orderBy("item_id").limit(10_000).collect()
-    path = scratch(spark, "long.fits")
-    write(spark.range(1), path, single=True, cards=[(f"T{r[0]}", r[1], None) for r in rows])
-    cards = read(spark, path, mode="cards").where("hdu_index = 1 AND name RLIKE '^T[0-9]+$'")
-    return cards.select(F.substring("name", 2, 7).cast("long").alias("item_id"), "v_str")
+    """Whole texts as CONTINUE cards, joined again; only the result is cut, as the SQL has it."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.rtrim(F.regexp_replace("text", "[^ -~]", "?")).alias("t"))
+    return long_strings(spark, rows, scratch(spark, "long")).select("item_id", F.rtrim(F.substring("t", 1, 200)).alias("v_str"))
 
 
 @query("SELECT doc_id, ((n_chars + 2879) // 2880 * 2880)::BIGINT AS padded FROM documents")
