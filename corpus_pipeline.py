@@ -21,10 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; documents without words or without an id all stay."""
+    """Of each group of near copies the document with the smallest doc_id; documents without words all stay."""
     table(spark, sf_dir, "documents")
-    copies = near_dedup.near_dedup(spark, docs).where("not kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return near_dedup.survivors(spark, docs)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but space and \t \n \v \f \r.
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -56,6 +58,26 @@ class Scratch:
             pass
 
 
+#: A key of more than one in HOT of a table's rows is hot, so there are fewer than HOT of them.
+HOT, HOT_LEAST = 200, 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", sizes: DataFrame | None = None) -> DataFrame:
+    """left (a written table) joined to right, which has one row for each key; how is left or inner.
+
+    Rows of a hot key meet their one row by broadcast (fewer than HOT rows), where they lie; the others are shuffled, and none of
+    their keys has more than one in HOT of the rows.  A null key finds nothing.  sizes: (key, size) of left's keys, if known.
+    """
+    sizes = sizes or left.groupBy(key).agg(F.count("*").alias("size"))
+    least = F.greatest(F.lit(left.count() // HOT), F.lit(HOT_LEAST))
+    hot = [r[0] for r in sizes.where(F.col(key).isNotNull() & (F.col("size") > least)).select(key).collect()]  # fewer than HOT
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(reduce(lambda a, b: a | b, (F.col(key) == F.lit(bytes(h) if isinstance(h, bytearray) else h) for h in hot)), F.lit(False))
+    few = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
+    return left.where(~is_hot).join(right, key, how).unionByName(few)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nobody holds any more; else it does so when the driver happens to collect garbage."""
     gc.collect()
@@ -70,13 +92,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 class Cache(dict):
-    """A dict that computes what it lacks and starts afresh at a bound, so that memory stays bounded."""
+    """A dict that computes what it lacks and starts afresh at a bound of entries; texts over ``longest`` are computed each time
+    and never kept, so that memory is bounded in bytes too."""
 
-    def __init__(self, compute, bound: int = 250_000):
+    def __init__(self, compute, bound: int = 250_000, longest: int = 256):
         super().__init__()
-        self.compute, self.bound = compute, bound
+        self.compute, self.bound, self.longest = compute, bound, longest
 
     def __missing__(self, key):
+        if isinstance(key, (str, bytes)) and len(key) > self.longest:
+            return self.compute(key)
         if len(self) >= self.bound:
             self.clear()
         value = self[key] = self.compute(key)

@@ -3,6 +3,7 @@
 In each round every node points to the smallest of itself and its neighbours; pointers are followed, twice as far each time,
 until they end; edges are moved to where their ends point, and loops and repeats go.  Each round at least halves the nodes that
 still have edges, and a chain in order of its nodes ends in one.  At last the rounds' pointers are put together, the last first.
+A node with very many edges is no hot key: its edges meet its pointer by broadcast (``hot_join``).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, hot_join
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
@@ -32,7 +33,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
             if done:
                 break
         pointers.append(to)
-        moved = _move(_move(ends, to, "u"), to, "v")
+        moved = _move(scratch.write(_move(ends, to, "u"), f"{name}-moved-{k}"), to, "v")
         moved = moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
         ends = scratch.write(moved, f"{name}-edges-{k + 1}")
     if not pointers:
@@ -47,10 +48,10 @@ def _follow(a: DataFrame, b: DataFrame) -> DataFrame:
     """a's pointers, moved on to where b points from there, and whether that is elsewhere."""
     far = b.select(F.col("node").alias("to"), F.col("to").alias("far"))
     end = F.coalesce("far", "to")
-    return a.join(far, "to", "left").select("node", end.alias("to"), (end != F.col("to")).alias("moved"))
+    return hot_join(a, far, "to").select("node", end.alias("to"), (end != F.col("to")).alias("moved"))
 
 
 def _move(edges: DataFrame, to: DataFrame, end: str) -> DataFrame:
     other = "v" if end == "u" else "u"
     at = to.select(F.col("node").alias(end), F.col("to").alias("far"))
-    return edges.join(at, end, "left").select(F.coalesce("far", end).alias(end), other)
+    return hot_join(edges, at, end).select(F.coalesce("far", end).alias(end), other)

@@ -8,13 +8,19 @@ within that distance share a key.  At a similarity of 0.75 a pair lies beyond th
 index, with a probability of about one in a million (binomial tails), and less above.
 
 Rows of a key are compared in blocks of bounded size by a longer signature of 8-bit symbols, vectorised; pairs five
-deviations below the threshold can't be links.  The pairs of a key are never all put out: first only a spanning forest of
-the likeliest links, which is confirmed on the full sets; then the keys that still hold several components get the full
-sets of their rows, pairs between different components are confirmed in place, each under the first key that it shares, and
-only links come out.  So no link that could join two components stays unconfirmed, and copies are never expanded into pairs.
-
-Null and empty texts have empty sets and stand alone; a text of fewer than five words is one shingle; equal rows are
-copies of one another; null doc_ids can't be named in a result and are dropped.
+deviations below the threshold can't be links.  The pairs of a key are never all put out: first each block is compared with itself
+and with the key's first block (a hub), which is linear in the key's rows, and a spanning forest of the likeliest links is
+confirmed on the full sets; then the keys that still hold several components get the full sets of their rows.  There all
+rows but those of the key's largest component are compared with all others, pairs between different components are confirmed
+in place, each under the first key that it shares, and only links come out.  So no link that could join two components stays
+unconfirmed, and neither copies nor near copies of one text are expanded into pairs.
+
+Each input row is a document of its own, numbered when its features are written; texts are found again by doc_id and the MD5 of
+the text.  Rows may share a doc_id or have none: each gets a row in the result, and one row of a component is kept, that with
+the smallest doc_id, then the smallest MD5 (null doc_ids come last; a component of these alone has a null component_id).
+Null and empty texts, and texts without words, have empty sets, stand alone and are all kept, repeated rows too; a text of
+fewer than five words is one shingle; equal texts are copies of one another.  Texts of any length are read whole, and a set takes eight
+bytes a word while it is compared.  An empty table gives no rows.  Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -25,10 +31,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, Scratch, slices
+from .common import Cache, Scratch, hot_join, slices
 from .components import components
 
 SIZE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -78,11 +85,17 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(low.astype(np.uint64) + np.arange(len(low), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
+def text_key(text: str = "text") -> Column:
+    """16 bytes that stand for a text; null is empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (128-bit digest of the set), idx (INDEXED symbols), est (LONG bytes)."""
+    """row (a number of its own), doc_id, text_key, n_shingles, fp (128-bit digest of the set), idx (INDEXED symbols), est (LONG bytes).
+    Rows are numbered by partition and place, which holds once the result is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, row = Shingler(), TaskContext.get().partitionId() << 36
         for part in slices(batches):
             n, fp, idx, est = [], [], [], []
             for text in part.column(1).to_pylist():
@@ -97,9 +110,14 @@ def features(docs: DataFrame) -> DataFrame:
                     fp.append(None)
                     idx.append(np.empty(0, "<i4"))
                     est.append(None)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(idx, pa.list_(pa.int32())), pa.array(est, pa.binary())], names=["doc_id", "n_shingles", "fp", "idx", "est"])
+            rows = pa.array(np.arange(row, row + part.num_rows), pa.int64())
+            row += part.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [rows, part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(idx, pa.list_(pa.int32())), pa.array(est, pa.binary())],
+                names=["row", "doc_id", "text_key", "n_shingles", "fp", "idx", "est"],
+            )
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, idx array<int>, est binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key")).mapInArrow(run, "row long, doc_id long, text_key binary, n_shingles long, fp binary, idx array<int>, est binary")
 
 
 #: The places of the symbols that each of a document's keys is made of.
@@ -109,7 +127,7 @@ WAYS = [[c * WIDTH + x for x in way] for c in range(CHUNKS) for way in combinati
 def keys(reps: DataFrame) -> DataFrame:
     """(way, key, doc): the index entries, each of WIDTH - ERRORS symbols and the number of the way they were chosen."""
     entry = F.array(*(F.xxhash64(F.lit(k), *(F.col("idx")[x] for x in way)) for k, way in enumerate(WAYS)))
-    return reps.select(F.posexplode(entry).alias("way", "key"), F.col("doc_id").alias("doc"))
+    return reps.select(F.posexplode(entry).alias("way", "key"), F.col("row").alias("doc"))
 
 
 class Groups:
@@ -256,15 +274,15 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.nd
     return a[out], b[out]
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc, shingles): sorted 64-bit hashes."""
+def sets(texts: DataFrame) -> DataFrame:
+    """(doc, shingles) of (doc, text): sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingler(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["doc", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, shingles binary")
+    return texts.select("doc", "text").mapInArrow(run, "doc long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -285,43 +303,60 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_y.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def order() -> Column:
+    """Of documents: the least of a component is kept."""
+    return F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key", "row")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """op6: doc_id, n_shingles, component_id, kept, rep (the smallest doc_id of the same set)."""
+    """For each row of docs: doc_id, n_shingles, component_id, kept, rep (the smallest doc_id of the same set), text_key."""
     scratch = Scratch(spark, "near-dedup")
     f = scratch.write(features(docs), "features")
-    classes = f.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    member = scratch.write(f.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "member")
-    reps = f.where("n_shingles > 0").join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    entries = scratch.write(keys(reps.select("doc_id", "idx")), "keys")
-    count = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = scratch.write(entries.join(count, "key"), "shared")
+    classes = f.where("n_shingles > 0").groupBy("fp").agg(F.min(order()).alias("m")).select("fp", F.col("m.row").alias("rep"), F.col("m.doc_id").alias("rep_id"))
+    named = hot_join(f.where("n_shingles > 0").select("row", "doc_id", "text_key", "n_shingles", "fp"), classes, "fp").drop("fp")
+    alone = f.where("n_shingles = 0").select("row", "doc_id", "text_key", "n_shingles", F.col("row").alias("rep"), F.col("doc_id").alias("rep_id"))
+    member = scratch.write(named.unionByName(alone), "member")
+    firsts = member.where("row = rep and n_shingles > 0").select("row", "doc_id", "text_key")
+    reps = f.join(firsts.select("row"), "row", "left_semi")
+    entries = scratch.write(keys(reps.select("row", "idx")), "keys")
+    count = scratch.write(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = scratch.write(hot_join(entries, count, "key", "inner", count), "shared")
     scratch.drop("keys")
-    known = f.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    known = scratch.write(known.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "est", "idx").dropDuplicates(["doc"]), "known")
-
-    def blocks(rows: DataFrame, many: Column, *more: str) -> DataFrame:
-        """Rows (way, key, doc, comp) dealt to pairs of a key's blocks, of which there are ``many``."""
-        mine = F.pmod(F.xxhash64("doc"), many).cast("int")
-        other = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-        return other.select("way", "key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "doc", "comp", *more)
-
-    by_rows = F.ceil(F.col("size") / BLOCK).cast("int")
-    first = blocks(shared.withColumn("comp", F.col("doc")), by_rows).join(known.drop("idx"), "doc")
+    known = reps.select(F.col("row").alias("doc"), F.col("n_shingles").alias("n"), "est", "idx").join(shared.select("doc").distinct(), "doc", "left_semi")
+    known = scratch.write(known, "known")
+
+    def blocks(rows: DataFrame, mine: Column, others: Column, *more: str) -> DataFrame:
+        """Rows (way, key, doc, comp) of block ``mine`` of their key, dealt to the pairs with each of the blocks ``others``."""
+        other = rows.withColumn("mine", mine.cast("int")).withColumn("other", F.explode(others))
+        return other.select("way", "key", F.least("mine", "other").cast("int").alias("bi"), F.greatest("mine", "other").cast("int").alias("bj"), "mine", "doc", "comp", *more)
+
+    many = F.ceil(F.col("size") / BLOCK)
+    mine = F.pmod(F.xxhash64("doc"), many)
+    hub = F.when(F.col("mine") == 0, F.sequence(F.lit(0).cast("long"), many - 1)).otherwise(F.array(F.lit(0).cast("long"), F.col("mine").cast("long")))
+    first = blocks(shared.withColumn("comp", F.col("doc")), mine, hub).join(known.drop("idx"), "doc")
     first = scratch.write(_grouped(first, forest), "pairs-1")
-    # what later pairs can ask for lies among the documents that are like another
-    likely = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(likely, "doc_id", "left_semi")
-    whole = scratch.write(sets(texts).dropDuplicates(["doc"]), "sets")
+    # what later pairs can ask for lies among the documents that are like another, or in a key of several blocks
+    likely = first.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(shared.where(many > 1).select("doc")).distinct()
+    likely = scratch.write(likely, "likely")
+    wanted = likely.join(firsts.select(F.col("row").alias("doc"), F.col("doc_id").alias("id"), F.col("text_key").alias("of")), "doc")
+    texts = docs.select(F.col("doc_id").cast("long").alias("mine"), "text", text_key().alias("key")).join(wanted, F.col("mine").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of")))
+    whole = scratch.write(sets(texts).dropDuplicates(["doc"]), "sets")  # repeated rows give a set each
     sure = scratch.write(confirmed(first, whole), "links-1")
     comps = components(scratch, sure, "comps-1")
 
-    labelled = shared.select("way", "key", "doc").join(likely.select(F.col("doc_id").alias("doc")), "doc", "left_semi")
+    labelled = shared.select("way", "key", "doc").join(likely, "doc", "left_semi")
     labelled = labelled.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     labelled = scratch.write(labelled.join(known, "doc"), "labelled")
-    # keys of several components; their blocks are bounded in rows and in the bytes of full sets
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total")).where("low < high")
-    by_bytes = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") * 8 / BLOCK_BYTES)).cast("int")
-    opened = blocks(labelled.join(open_keys.select("key", "size", "total"), "key"), by_bytes, "n", "est", "idx").join(whole, "doc")
+    # Keys of several components.  Their largest component needs no pairs within itself, so its blocks meet only those of the
+    # others; blocks are bounded in rows and in the bytes of full sets.
+    parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    n_blocks = lambda size, total: F.ceil(F.greatest(size / BLOCK, total * 8 / BLOCK_BYTES)).cast("long")
+    open_keys = parts.groupBy("key").agg(F.count("*").alias("n_comps"), F.max(F.struct("size", "total", "comp")).alias("top"), F.sum("size").alias("size"), F.sum("total").alias("total")).where("n_comps > 1")
+    open_keys = open_keys.select("key", F.col("top.comp").alias("major"), n_blocks(F.col("top.size"), F.col("top.total")).alias("major_blocks"), n_blocks(F.col("size") - F.col("top.size"), F.col("total") - F.col("top.total")).alias("minor_blocks"))
+    of_major = F.col("comp") == F.col("major")
+    mine = F.when(of_major, F.col("minor_blocks") + F.pmod(F.xxhash64("doc"), F.col("major_blocks"))).otherwise(F.pmod(F.xxhash64("doc"), F.col("minor_blocks")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") + F.when(of_major, F.lit(0).cast("long")).otherwise(F.col("major_blocks")) - 1)
+    opened = blocks(hot_join(labelled, open_keys, "key", "inner"), mine, others, "n", "est", "idx").join(whole, "doc")
     more = scratch.write(_grouped(opened, links).select(F.col("a").alias("u"), F.col("b").alias("v")), "links-2")
     if more.isEmpty():
         final = comps
@@ -332,8 +367,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         joined = more.join(at, "u", "left").join(bt, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
         over = components(scratch, joined, "comps-2").select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         lone = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))
-        final = comps.unionByName(lone).join(over, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+        every = scratch.write(comps.unionByName(lone), "comps-all")
+        final = scratch.write(hot_join(every, over, "comp").select("node", F.coalesce("top", "comp").alias("comp")), "final")
     for name in ("features", "shared", "known", "pairs-1", "sets", "links-1", "labelled"):  # the result doesn't read these
         scratch.drop(name)
-    out = member.join(final.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("comp", "rep")).alias("kept"), "rep")
+    ids = scratch.write(final.join(firsts.withColumnRenamed("row", "node"), "node"), "ids")
+    least = ids.withColumnRenamed("node", "row").groupBy("comp").agg(F.min(order()).alias("m")).select("comp", F.col("m.doc_id").alias("component_id"), F.col("m.row").alias("first"))
+    linked = hot_join(ids.select("comp", F.col("node").alias("rep")), least, "comp").drop("comp")
+    out = hot_join(member, linked, "rep")
+    return out.select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("rep_id")).otherwise(F.col("component_id")).alias("component_id"), (F.col("row") == F.coalesce("first", "rep")).alias("kept"), F.col("rep_id").alias("rep"), "text_key")
+
+
+def survivors(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; of rows with the same doc_id and text one, unless the text has no words."""
+    scratch = Scratch(spark, "survivors")
+    seen = near_dedup(spark, docs).where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    marked = scratch.write(seen.where("not kept or rows > 1").withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "of"), "marked")
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("mine"), text_key().alias("key"))
+    same = F.col("mine").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of"))
+    out = whole.join(marked, same, "left_anti")
+    again = marked.where("kept")
+    if not again.isEmpty():
+        out = out.unionByName(whole.join(again, same, "left_semi").dropDuplicates(["mine", "key"]))
+    return out.select("doc.*")

@@ -43,7 +43,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(spark, table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(spark, table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,16 +146,16 @@ def _secrets_sql() -> str:
  SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN e ON t.doc_id = e.doc_id"""
 
 
-NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
- s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
- n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS fp FROM s GROUP BY doc_id),
- p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
- l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+NEAR = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, md5(coalesce(text, '')) AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+ n AS (SELECT r, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS fp FROM s GROUP BY r),
+ p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+ l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
  e AS (SELECT x AS u, y AS v FROM l UNION SELECT y, x FROM l),
- r(node, reach) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.node, e.v FROM r JOIN e ON r.reach = e.u),
- m AS (SELECT node, min(reach) AS low FROM r GROUP BY node),
- f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS rep FROM n)
- SELECT w.doc_id, coalesce(n, 0) AS n_shingles, low AS component_id, low = w.doc_id AS kept, coalesce(rep, w.doc_id) AS rep FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN m ON m.node = w.doc_id LEFT JOIN f ON f.doc_id = w.doc_id"""
+ t(node, reach) AS (SELECT r, r FROM w UNION SELECT t.node, e.v FROM t JOIN e ON t.reach = e.u),
+ g AS (SELECT node, min(reach) AS g FROM t GROUP BY node),
+ o AS (SELECT w.r, doc_id, coalesce(n, 0) AS n_shingles, fp, min(doc_id) OVER (PARTITION BY g) AS component_id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, k) = 1 AS kept FROM w LEFT JOIN n ON w.r = n.r JOIN g ON g.node = w.r)
+ SELECT doc_id, n_shingles, component_id, kept, CASE WHEN fp IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY fp) END AS rep FROM o"""
 
 BACKOFF = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
  t AS (SELECT doc_id, i, w[i] AS a, w[i - 1] AS b, w[i - 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),

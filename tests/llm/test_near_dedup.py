@@ -94,13 +94,80 @@ def test_symbols_agree_as_often_as_the_sets():
 
 
 def test_odd_documents(spark):
-    rows = {r.doc_id: r for r in nd.near_dedup(spark, odd_frame(spark)).collect()}
+    every = nd.near_dedup(spark, odd_frame(spark)).collect()
+    rows = {r.doc_id: r for r in sorted(every, key=lambda r: r.kept, reverse=True)}
     size = [len(x) for x in sets_of(ODD)]
+    assert len(every) == len(ODD) + 1 and sum(r.doc_id == 9 for r in every) == 2
     assert [rows[k].n_shingles for k in range(len(ODD))] == size
     assert rows[9].component_id == 8 and not rows[9].kept and all(rows[k].component_id == k for k in range(len(ODD)) if k != 9)
     assert nd.near_dedup(spark, documents(spark, [])).count() == 0
 
 
+def oracle(spark, frame, path):
+    import duckdb
+
+    from hduframe.llm.queries import NEAR
+
+    frame.write.mode("overwrite").parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    got = con.sql(NEAR)
+    return sorted(map(repr, ({c: v for c, v in zip(got.columns, r, strict=True)} for r in got.fetchall())))
+
+
+A, B = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+TWICE = [(2, B), (5, A), (5, B), (9, A + " more"), (7, "lone text of seven words in all"), (7, "lone text of seven words in all"), (None, A), (None, "nobody has this text but nobody"), (None, "nobody has this text but nobody"), (3, ""), (3, ""), (None, None), (4, B + " x"), (4, B + " y")]
+
+
+def test_one_id_with_two_texts_repeated_rows_and_null_ids(spark, tmp_path):
+    frame = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in TWICE], documents(spark, []).schema).repartition(3)
+    got = nd.near_dedup(spark, frame).drop("text_key")
+    rows = got.collect()
+    assert sorted(map(repr, (r.asDict() for r in rows))) == oracle(spark, frame, str(tmp_path / "d"))
+    kept = [(r.doc_id, r.n_shingles) for r in rows if r.kept]
+    assert sorted(kept, key=repr) == sorted([(2, 56), (5, 56), (7, 3), (None, 2), (3, 0), (3, 0), (None, 0)], key=repr)
+    left = nd.survivors(spark, frame)
+    assert left.columns == frame.columns
+    want = [(2, B), (5, A), (7, TWICE[4][1]), (None, TWICE[7][1]), (3, ""), (3, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_hot_keys(spark, monkeypatch):
+    """A third of the rows are copies of one text, a third near copies of another; hot keys are met by broadcast, blocks through a hub."""
+    from hduframe.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
+    monkeypatch.setattr(common, "HOT", 12)
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    r = random.Random(8)
+    base = [f"b{k}" for k in range(80)]
+    texts = ["the same text in all of these rows"] * 80
+    for _ in range(80):
+        w = list(base)
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(80)] = str(r.random())
+        texts.append(" ".join(w))
+    texts += corpus(90, 5)
+    r.shuffle(texts)
+    comp, _ = brute(texts)
+    rows = sorted(nd.near_dedup(spark, documents(spark, texts).repartition(4)).collect())
+    assert [x.component_id for x in rows] == comp and [x.kept for x in rows] == [k == c for k, c in enumerate(comp)]
+
+
+def test_hot_join(spark, tmp_path, monkeypatch):
+    from hduframe.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    monkeypatch.setattr(common, "HOT", 4)
+    keys = [b"a"] * 30 + [b"b"] * 25 + [b"%d" % k for k in range(40)] + [None] * 5
+    left = spark.createDataFrame([(bytearray(k) if k else None, i) for i, k in enumerate(keys)], "k binary, i int")
+    right = spark.createDataFrame([(bytearray(k), k.decode()) for k in sorted({k for k in keys if k} - {b"b", b"7"})], "k binary, name string")
+    for how in ("left", "inner"):
+        got = sorted((x.i, x.name) for x in common.hot_join(left, right, "k", how).collect())
+        want = [(i, k.decode() if k not in (None, b"b", b"7") else None) for i, k in enumerate(keys)]
+        assert got == [x for x in want if how == "left" or x[1]]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1080)] + [(2000, k) for k in range(2001, 2060)] + [(5, 5)]
