@@ -5,15 +5,20 @@ Signals of each document are compared with cutoffs.  On a labelled holdout, ever
 dropped if the exact binomial probability of seeing as few rejected good ones is at most its share of ``delta``.  That
 share is delta divided by the number of strata times rules (Bonferroni); within a stratum and rule the cutoffs are tested
 in a fixed order, from lenient to strict, up to the first that fails, which keeps the error over the whole sequence.  The
-strictest cutoff that passed is used; where none passed the rule rejects nothing in that stratum.  alpha is shared out
-over the rules, so that all of them together reject at most ``alpha`` of the good documents of a stratum.
-
-Null and empty texts have no words, so the base rules reject them; a null language is a stratum of its own.  Documents
-without a label take part in no test; equal rows count as they come.
+strictest cutoff that passed is used; where none passed the rule rejects nothing in that stratum.  So with a probability of 1 - delta
+no rule rejects more than alpha of any stratum's good documents, and all rules together not more than alpha times their number.
+A stratum needs log(delta / (strata * rules)) / log(1 - alpha) good documents, none of them rejected, for any cutoff at all:
+190 with four strata, four rules, delta 0.05 and alpha 0.03.
+
+The bound holds for independent draws, so the holdout has each text of a stratum once, and a doc_id that is labelled twice once;
+it is good if all its labels say so.  Null and empty texts have no words, so the base rules reject them; texts of any length are read
+whole.  A null language is a stratum of its own.  Documents without a label take part in no test; each row gets its own verdict.
+Without labels, or without documents, nothing is rejected beyond the base rules.  Columns named like the signals are not read.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,11 +29,11 @@ from .common import Scratch
 
 WS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
-ALPHA, DELTA, STRATA_MOST = 0.01, 0.05, 10_000
+ALPHA, DELTA, STRATA_MOST = 0.03, 0.05, 10_000
 
 
 def signals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), text: str = "text") -> DataFrame:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each whole text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and text_key (its MD5) of each whole text."""
     t = F.coalesce(F.col(text), F.lit(""))
     # split leaves an empty string before leading and after trailing white space
     words = docs.select(*keep, t.alias("t"), F.array_remove(F.split(t, WS), "").alias("w"))
@@ -37,6 +42,7 @@ def signals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), text: s
     s = words.select(*keep, "t", "w", windows.alias("h"), lines.alias("lines"))
     s = s.select(
         *keep,
+        F.md5(F.col("t").cast("binary")).alias("text_key"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("t", SYMBOLS, "")).cast("long").alias("n_symbols"),
@@ -72,21 +78,28 @@ def rules() -> dict[str, tuple[Column, list[float]]]:
     return {r: (signal[r], grid) for r, grid in GRIDS.items()}
 
 
+def log_factorial(n: Column) -> Column:
+    """By Stirling's series, eight places on."""
+    x = n.cast("double") + 9
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + series - reduce(lambda a, b: a + b, (F.log(n + k) for k in range(1, 9)))
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X of Binomial(n, p): terms by their ratios, in logarithms so that none is lost to 0."""
-    first = F.struct((n * F.log(F.lit(1 - p))).alias("log"), F.exp(n * F.log(F.lit(1 - p))).alias("sum"))
-    add = lambda a, i: F.struct(
-        (a["log"] + F.log((n - i + 1) / i) + F.log(F.lit(p / (1 - p)))).alias("log"),
-        (a["sum"] + F.exp(a["log"] + F.log((n - i + 1) / i) + F.log(F.lit(p / (1 - p))))).alias("sum"),
-    )
-    return F.when(k >= 1, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))), first, add)["sum"]).otherwise(first["sum"])
+    """P(X <= k) for X of Binomial(n, p) where k is at most the mean, and 1 beyond: the term of k, and the terms before it by their
+    ratios.  Those more than twelve deviations below the mean are nothing, so there are few however large n is."""
+    last = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
+    many = F.least(k, F.ceil(12 * F.sqrt(n * p)) + 50)
+    first = F.struct(F.exp(last).alias("term"), F.lit(0.0).alias("sum"))
+    add = lambda a, i: F.struct((a["term"] * (k - i) / (n - k + i + 1) * ((1 - p) / p)).alias("term"), (a["sum"] + a["term"]).alias("sum"))
+    return F.when(k > n * p, 1.0).otherwise(F.aggregate(F.sequence(F.lit(0).cast("long"), many), first, add)["sum"])
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff): the strictest cutoff of each stratum and rule that passed, with its counts."""
     each = rules()
-    a = alpha / len(each)
-    good = scored.where(~base_failed()).join(labels.where(F.col("quality") == 1).select("doc_id"), "doc_id")
+    good_ids = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    good = scored.where(~base_failed()).join(good_ids, "doc_id").dropDuplicates([stratum, "text_key"])
     # one row for each stratum: n and, for each rule and cutoff, the good documents over it
     counts = good.groupBy(F.col(stratum).alias("stratum")).agg(
         F.count("*").alias("n"),
@@ -94,7 +107,7 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     )
     strata = F.count("*").over(W.partitionBy(F.lit(0)))  # over a row for each stratum
     tests = counts.withColumn("strata", strata).select("stratum", "n", "strata", F.explode("tests").alias("t")).select("stratum", "n", "strata", "t.*")
-    passed = tests.withColumn("ok", binomial_tail(F.col("k"), F.col("n"), a) <= delta / (F.col("strata") * len(each)))
+    passed = tests.withColumn("ok", binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / (F.col("strata") * len(each)))
     # fixed sequence: steps before the first that fails
     ends = passed.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("step"))).alias("fails"), F.max_by("step", "step").alias("last"), F.collect_list(F.struct("step", "cutoff", "k", "n")).alias("all"))
     return ends.select("stratum", "rule", F.filter("all", lambda x: x["step"] == F.coalesce(F.col("fails"), F.col("last") + 1) - 1).alias("best")).where(F.size("best") > 0).select("stratum", "rule", F.col("best")[0]["cutoff"].alias("cutoff"), F.col("best")[0]["k"].alias("rejected"), F.col("best")[0]["n"].alias("good"))

@@ -108,7 +108,7 @@ _SIGNALS = {"symbols_per_word": "n_symbols / n_words", "chars_per_word": "word_c
 
 def _quality_sql() -> str:
     each = quality_rules.GRIDS
-    a, delta = quality_rules.ALPHA / len(each), quality_rules.DELTA
+    a, delta = quality_rules.ALPHA, quality_rules.DELTA
     grid = ", ".join(f"('{r}', {j}, {c})" for r, cuts in each.items() for j, c in enumerate(cuts))
     value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {x}" for r, x in _SIGNALS.items()) + " END"
     over = " OR ".join(f"coalesce({x} > (SELECT cutoff FROM best WHERE rule = '{r}' AND stratum IS NOT DISTINCT FROM f.lang), false)" for r, x in _SIGNALS.items())
@@ -119,10 +119,10 @@ def _quality_sql() -> str:
  r AS (SELECT doc_id, sum(step)::BIGINT AS n_repeat_words FROM (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS step FROM d WHERE n > 1) GROUP BY doc_id),
  l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
 ]')) AS l FROM w),
- f AS (SELECT w.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+ f AS (SELECT w.doc_id, lang, w.t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(l.l) - len(list_distinct(l.l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w JOIN l ON w.doc_id = l.doc_id LEFT JOIN r ON w.doc_id = r.doc_id),
  b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
- good AS (SELECT b.* FROM b JOIN labels ON b.doc_id = labels.doc_id WHERE quality = 1 AND NOT base_failed),
+ good AS (SELECT DISTINCT lang, t, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
  grid AS (SELECT * FROM (VALUES {grid}) g(rule, step, cutoff)),
  k AS (SELECT lang AS stratum, rule, step, cutoff, count(*) AS n, sum(({value} > cutoff)::INT) AS k FROM good, grid GROUP BY lang, rule, step, cutoff),
  p AS (SELECT stratum, rule, step, cutoff, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a}) + (n - j) * ln(1 - {a}))) FROM (SELECT unnest(range(0, k::BIGINT + 1)) AS j)) AS tail, (SELECT count(DISTINCT stratum) + max((stratum IS NULL)::INT) FROM k) AS strata FROM k),
