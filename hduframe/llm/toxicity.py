@@ -37,7 +37,7 @@ BUCKETS, FACTORS, TRAIN_MOST, TRAIN_TERMS, LEAST_DOCS = 1 << 20, 6, 6000, 12_000
 #: Chance that any term, or any pair, gets into the machine whose presence has nothing to do with the label.
 CHANCE = 0.01
 BEGINNINGS = (4, 5, 6)
-EPOCHS, RATE, DECAY, BATCH = 30, 0.1, 1e-3, 64
+EPOCHS, RATE, DECAY, BATCH = 60, 0.2, 3e-4, 64
 THRESHOLD = 0.7
 
 
