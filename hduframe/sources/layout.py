@@ -82,7 +82,15 @@ class Source:
         self.file.close()
 
 
+#: Names under which Hadoop knows stores that pyarrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path and the path there, for paths as Spark writes them."""
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme in SCHEMES:
+        path = f"{SCHEMES[scheme]}://{rest}"
     if path.startswith("file:/") and not path.startswith("file://"):
         path = "file://" + path[5:]
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
