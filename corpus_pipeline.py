@@ -1,7 +1,10 @@
 """A corpus pipeline of five operators over the documents table.
 
 Each stage takes all that the one before kept, written as Parquet and read again; all but the last return the columns of
-documents.  A stage works on the documents it is given; benchmark and labels come from the folder of the tables.
+documents, further ones too, whatever their names.  A stage works on the documents it is given; benchmark and labels come from the folder of
+the tables.  Null and empty texts are never rejected and are no copies of one another; null doc_ids stay; of rows with the same doc_id and
+text (with words) one stays, and rows that share a doc_id but not the text are documents of their own.  Among near copies the smallest
+doc_id stays, ties going by the text's digest.  Texts are read whole whatever their length; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -10,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hduframe.llm import decontaminate, near_dedup, secrets, sentencepiece_codec, toxicity
-from hduframe.llm.common import Scratch
+from hduframe.llm.common import Scratch, unused
 from hduframe.llm.queries import table, tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under the threshold."""
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(spark, docs, machine, "_score").where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    score = unused(docs, "score")
+    return toxicity.score(spark, docs, machine, score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +32,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.scan(spark, docs, table(spark, sf_dir, "benchmark"), "_leaks")
-    return found.where(F.size("_leaks") == 0).drop("_leaks")
+    leaks = unused(docs, "leaks")
+    return decontaminate.scan(spark, docs, table(spark, sf_dir, "benchmark"), leaks).where(F.size(leaks) == 0).drop(leaks)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,5 +108,13 @@ class Cache(dict):
         return value
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_fields(schema, drop=()) -> list:
     return [f for f in schema.fields if f.name.lower() not in {d.lower() for d in drop}]

@@ -2,28 +2,32 @@
 
 Items are cut into segments of at most SEGMENT words, the documents of the index; a passage is STEP * 2 words and starts every
 STEP words, so each segment of a leaked item lies whole in some passage.  A segment is retrieved if its score reaches
-LEAST of the score that its own text would get.  Postings are impacts divided by that own score; segments are
-in blocks, and for each term the index keeps its largest impact anywhere and in each block.  As in block-max WAND, passages
-whose terms' largest impacts don't add up to the threshold are left out, then blocks whose block maxima don't, and only
-the rest is scored; all bounds are upper bounds, so everything above the threshold is retrieved.  A retrieved item is confirmed by
+LEAST of the score that its own text would get.  A term's postings are the segments that hold it and their impacts, divided by that
+own score; segments are in blocks, and beside the postings each term has its largest impact anywhere and in each block that it occurs in.
+As in block-max WAND, passages whose terms' largest impacts don't add up to the threshold are left out.  The terms with the smallest
+of these, as long as they stay under the threshold together, can't lead to a segment alone; the postings of the others name the blocks to look at,
+those whose block maxima don't add up are left out, and only the rest is scored.  All bounds are upper bounds, so everything
+above the threshold is retrieved.  A retrieved item is confirmed by
 its question and its answer (the last sentence, or the last third where there is one sentence; five words at least): of the
 5-word runs of each, at least OVERLAP must occur around the passage.  One edit takes up to five runs, which may be all that a part of
 fewer than LONG words has; such a part is also confirmed if a share of at least ALIGN of its words stands there in their order, within
 a stretch of at most SLACK words more than the part has.  The larger of the two shares is given.  Items of fewer than RUN words
 must be there word by word.  A last sentence of one word is judged with the four words before it, so its question alone is found too.
 
-Items are indexed in shards of at most about SHARD items, each with statistics of its own, so what is sent to executors is
-bounded; documents are scanned once for each shard.  Null and empty items match nothing; null and empty texts hold nothing.
-An item that comes twice is found twice; words are lower-cased runs of letters, digits and underscores.
+The index takes some 30 bytes a word of the items and is broadcast; beyond SHARD_CHARS characters of items it is cut by hash into shards of
+about that size (an item is never cut), and the texts are scanned for one after another.  The statistics behind the scores are those of all items in
+either case, so shards change no result.
+
+Null and empty items match nothing; null and empty texts hold nothing; texts are looked at whole, a bounded window of passages at a time.
+An item that comes twice is found twice; equal rows are found alike, each for itself; a doc_id is not looked at.  An empty table gives no rows,
+an empty benchmark finds nothing.  Words are lower-cased runs of letters, digits and underscores.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, keep_fields, slices
+from .common import Cache, Scratch, keep_fields, slices
 
 WORDS = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 SEGMENT = STEP = 32
 LEAST, OVERLAP, RUN = 0.6, 0.5, 5
 LONG, ALIGN, SLACK = 14, 0.75, 2  # parts of LONG words have ten runs, of which one edit leaves half
-SHARD, BLOCK = 2048, 8
+SHARD_CHARS, BLOCK = 24 << 20, 8
+WINDOW, TEXT_PART = 8192, 1 << 20  # passages, and characters of a text, that are dealt with at a time
 K1, B = 1.2, 0.75
 
 
@@ -46,11 +51,24 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def runs(words: list[str], size: int) -> set[tuple]:
+def ids_of(text: str | None, known) -> np.ndarray:
+    """The number of each word, by part so that a very long text never is a list of strings."""
+    text, at, out = (text or "").lower(), 0, [np.empty(0, np.int64)]
+    while at < len(text):
+        end = min(len(text), at + TEXT_PART)
+        if end < len(text) and (m := WORDS.match(text, end)) and WORDS.match(text[end - 1]):
+            end = m.end()  # not within a word
+        words = WORDS.findall(text, at, end)
+        out.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+        at = end
+    return np.concatenate(out)
+
+
+def runs(words: list, size: int) -> set[tuple]:
     return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
 
 
-def aligned(part: list[str], text: list[str]) -> float:
+def aligned(part: list, text: list) -> float:
     """The share of part's words that come in their order in a stretch of text, SLACK words longer at most; 0 under ALIGN."""
     known, width, best = set(part), len(part) + SLACK, 0
     least = ALIGN * len(part)
@@ -67,95 +85,140 @@ def aligned(part: list[str], text: list[str]) -> float:
     return best / len(part) if best >= least else 0.0
 
 
+def edges_of(n: int) -> list[int]:
+    """Where an item of n words is cut into segments."""
+    parts = -(-n // SEGMENT)
+    return [n * k // parts for k in range(parts + 1)]
+
+
 @dataclass
 class Item:
-    item_id: int
     n_words: int
     run: int  # RUN, or the words of a shorter item
     question: set[tuple]
     answer: set[tuple]
-    short: tuple[list[str] | None, list[str] | None]  # words of question and answer, where one edit could take half of the runs
+    short: tuple[list | None, list | None]  # words of question and answer, where one edit could take half of the runs
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of n places from first: which range each place is of, and the places."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
 
 
 class Index:
-    def __init__(self, rows: list[tuple[int, str | None]]):
-        self.items: list[Item] = []
-        segments: list[list[str]] = []
-        self.item_of: list[int] = []
+    """The inverted index of some items.  corpus gives, for terms, the segments that hold each among all items, the number of all
+    segments and that of their words; without it these items are all."""
+
+    def __init__(self, rows: list[tuple[int, str | None]], corpus: Callable[[list[str]], tuple[np.ndarray, int, int]] | None = None):
+        self.vocabulary: dict[str, int] = {}
+        number = Cache(lambda w: self.vocabulary.setdefault(w, len(self.vocabulary)), 1 << 62, 1 << 62)
+        self.item_ids, self.cuts, flat, starts = [], [], [], [0]  # items with words
         for item_id, text in rows:
-            words = words_of(text)
-            if not words:
+            last = next((w for w in map(words_of, reversed(SENTENCE.split(text or ""))) if w), None)
+            if last is None:
                 continue
-            sentences = [w for w in map(words_of, SENTENCE.split(text)) if w]
-            cut = len(words) - len(sentences[-1]) if len(sentences) > 1 else max(1, 2 * len(words) // 3)
+            ids = ids_of(text, number).astype(np.int32)
+            n = len(ids)
+            self.item_ids.append(item_id)
+            self.cuts.append(n - len(last) if len(last) < n else max(1, 2 * n // 3))
+            flat.append(ids)
+            starts.append(starts[-1] + n)
+        self.words, self.starts = np.concatenate([np.empty(0, np.int32), *flat]), np.array(starts)
+        self.known: dict[int, Item] = {}
+        edges = [edges_of(b - a) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        self.item_of = np.repeat(np.arange(len(edges)), [len(e) - 1 for e in edges])
+        size = np.concatenate([np.empty(0, np.int64), *(np.diff(e) for e in edges)]).astype(np.int64)
+        n, n_terms = len(size), len(self.vocabulary)
+        self.n_blocks = -(-n // BLOCK)
+        # a posting for each term of each segment
+        key, count = np.unique(self.words.astype(np.int64) * max(1, n) + np.repeat(np.arange(n), size), return_counts=True)
+        term, segment = key // max(1, n), key % max(1, n)
+        if corpus:
+            df, n_all, n_words = corpus(list(self.vocabulary))
+        else:
+            df, n_all, n_words = np.bincount(term, minlength=n_terms), n, int(size.sum())
+        idf = np.log(1 + (n_all - df + 0.5) / (df + 0.5))
+        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[segment] * (max(1, n_all) / max(1, n_words))))
+        own = np.bincount(segment, impact, n)
+        #: Postings in the order of terms and segments: term * n_blocks * BLOCK + segment, and the impact as a share.
+        self.place, self.share = term * (self.n_blocks * BLOCK) + segment, (impact / own[segment]).astype(np.float32)
+        at_block = term * self.n_blocks + segment // BLOCK
+        start = np.flatnonzero(np.diff(at_block, prepend=-1))
+        #: Block maxima in the order of terms and blocks: term * n_blocks + block; of each term the first of its own.
+        self.block, self.block_most = at_block[start], np.maximum.reduceat(self.share, start) if n else np.empty(0, np.float32)
+        self.first = np.searchsorted(self.block, np.arange(n_terms + 1) * self.n_blocks)
+        self.most = np.maximum.reduceat(self.block_most, self.first[:-1]) if n else np.empty(0, np.float32)
+
+    def item(self, k: int) -> Item:
+        if k not in self.known:
+            words = self.words[self.starts[k] : self.starts[k + 1]].tolist()
             size = min(RUN, len(words))  # parts of fewer words are lengthened to that many
-            question, answer = words[: max(cut, size)], words[min(cut, len(words) - size) :]
+            question, answer = words[: max(self.cuts[k], size)], words[min(self.cuts[k], len(words) - size) :]
             short = tuple(p if RUN <= len(p) < LONG else None for p in (question, answer))
-            self.items.append(Item(item_id, len(words), size, runs(question, size), runs(answer, size), short))
-            parts = -(-len(words) // SEGMENT)
-            edges = [len(words) * k // parts for k in range(parts + 1)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                segments.append(words[a:b])
-                self.item_of.append(len(self.items) - 1)
-        n = len(segments)
-        self.n_blocks = -(-n // BLOCK)
-        docs = Counter(t for s in segments for t in set(s))
-        self.vocabulary = {t: k for k, t in enumerate(sorted(docs))}
-        mean = sum(map(len, segments)) / max(1, n)
-        idf = {t: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for t, d in docs.items()}
-        #: Impacts by term, block and place in the block; a term's row for each block it occurs in.
-        impact = np.zeros((len(self.vocabulary), self.n_blocks * BLOCK), np.float32)
-        for k, s in enumerate(segments):
-            own = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(s) / mean)) for t, c in Counter(s).items()}
-            total = sum(own.values())
-            for t, x in own.items():
-                impact[self.vocabulary[t], k] = x / total
-        self.impact = impact.reshape(len(self.vocabulary), self.n_blocks, BLOCK)
-        self.block_max = self.impact.max(2)
-        self.most = self.block_max.max(1) if self.n_blocks else np.zeros(0, np.float32)
+            self.known[k] = Item(len(words), size, runs(question, size), runs(answer, size), short)
+        return self.known[k]
 
     def retrieve(self, term: np.ndarray, piece: np.ndarray, n: int) -> list[tuple[int, int, float]]:
         """(first piece of the passage, segment, share) over the threshold; term and piece: known terms and the STEP words they lie in.
-        A passage is a piece and the next one; callers leave an empty piece between documents."""
+        A passage is a piece and the next one, for pieces up to n - 1; callers leave an empty piece between documents."""
+        low = np.float32(LEAST - 1e-4)
         seen = np.unique(piece.astype(np.int64) * len(self.vocabulary) + term)
         piece, term = seen // len(self.vocabulary), seen % len(self.vocabulary)
-        low = np.float32(LEAST - 1e-4)
-        own = np.bincount(piece, self.most[term], n + 1)
-        live = np.flatnonzero(own[:-1] + own[1:] >= low)  # passages that some segment could match
-        need = np.zeros(n + 1, bool)
-        need[live] = need[live + 1] = True
-        ok = need[piece]
-        piece, term = piece[ok], term[ok]
-        if not len(term):
+        bound = np.bincount(piece, self.most[term], n + 1)
+        live = bound[:n] + bound[1 : n + 1] >= low  # passages that some segment could match
+        # a row for each term of each live passage; a query term counts once
+        rows = [(p[ok], term[ok]) for p in (piece, piece - 1) if (ok := (p >= 0) & (p < n) & live[np.clip(p, 0, n - 1)]).any()]
+        if not rows:
             return []
-        start = np.flatnonzero(np.diff(piece, prepend=-1))
-        bound = np.zeros((n + 1, self.n_blocks), np.float32)
-        bound[piece[start]] = np.add.reduceat(self.block_max[term], start, axis=0)
-        at, block = np.nonzero(bound[live] + bound[live + 1] >= low)
-        at = live[at]
-        begin = np.searchsorted(piece, np.arange(n + 2))
-        out = []
-        for p, b in zip(at.tolist(), block.tolist(), strict=True):
-            terms = list({*term[begin[p] : begin[p + 2]].tolist()})  # a query term counts once
-            share = self.impact[terms, b].sum(0)
-            out += [(p, b * BLOCK + k, float(share[k])) for k in np.flatnonzero(share >= low).tolist()]
+        key = np.unique(np.concatenate([p * len(self.vocabulary) + t for p, t in rows]))
+        passage, term = key // len(self.vocabulary), key % len(self.vocabulary)
+        # of each passage the terms with the smallest maxima, while these stay under the threshold together, lead nowhere
+        order = np.lexsort((self.most[term], passage))
+        total = np.cumsum(self.most[term[order]], dtype=np.float64)
+        begin = np.flatnonzero(np.diff(passage, prepend=-1))
+        n_terms = np.diff(np.append(begin, len(passage)))
+        total -= np.repeat(total[begin] - self.most[term[order][begin]], n_terms)
+        leads = order[total >= low]
+        of, at = spread(self.first[term[leads]], np.diff(self.first)[term[leads]])
+        found = np.unique(passage[leads][of] * self.n_blocks + self.block[at] % self.n_blocks)
+        row_of = np.zeros(n + 1, np.int64)
+        row_of[passage[begin]] = np.arange(len(begin))
+        out: list[tuple[int, int, float]] = []
+        for a in range(0, len(found), 1 << 14):
+            p, block = found[a : a + (1 << 14)] // self.n_blocks, found[a : a + (1 << 14)] % self.n_blocks
+            of, at = spread(begin[row_of[p]], n_terms[row_of[p]])
+            ok = np.bincount(of, self._at(self.block, self.block_most, term[at] * self.n_blocks + block[of]), len(p)) >= low
+            p, block = np.repeat(p[ok], BLOCK), np.repeat(block[ok], BLOCK)
+            segment = block * BLOCK + np.tile(np.arange(BLOCK), int(ok.sum()))
+            of, at = spread(begin[row_of[p]], n_terms[row_of[p]])
+            share = np.bincount(of, self._at(self.place, self.share, term[at] * (self.n_blocks * BLOCK) + segment[of]), len(p))
+            hit = share >= low
+            out += zip(p[hit].tolist(), segment[hit].tolist(), share[hit].tolist(), strict=True)
         return out
 
-    def confirm(self, words: list[str], found: list[tuple[int, int, float]], first: int) -> list[dict]:
-        """Items of one document; found: retrieved segments, first: the document's first piece."""
+    @staticmethod
+    def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The value of each key, 0 where there is none."""
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], np.float32(0))
+
+    def confirm(self, words: np.ndarray, found: list[tuple[int, int, float]], first: int) -> list[dict]:
+        """Items of one document, given as its words' numbers; found: retrieved segments, first: the document's first piece."""
         best: dict[int, dict] = {}
         for p, segment, share in found:
-            item = self.items[self.item_of[segment]]
+            k = int(self.item_of[segment])
+            item = self.item(k)
             a, b = (p - first) * STEP - item.n_words, (p - first + 2) * STEP + item.n_words
-            text = words[max(0, a) : b]
+            text = words[max(0, a) : b].tolist()
             near = runs(text, item.run)
             q, r = (len(x & near) / len(x) for x in (item.question, item.answer))
             if item.short[0] and q < OVERLAP:
                 q = max(q, aligned(item.short[0], text))
             if item.short[1] and r < OVERLAP <= q:
                 r = max(r, aligned(item.short[1], text))
-            if q >= OVERLAP and r >= OVERLAP and share > best.get(self.item_of[segment], {"score": 0.0})["score"]:
-                best[self.item_of[segment]] = {"item_id": item.item_id, "score": share, "question": q, "answer": r}
+            if q >= OVERLAP and r >= OVERLAP and share > best.get(k, {"score": 0.0})["score"]:
+                best[k] = {"item_id": self.item_ids[k], "score": share, "question": q, "answer": r}
         return [best[k] for k in sorted(best)]
 
 
@@ -163,14 +226,45 @@ LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("scor
 ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
 
+def statistics(benchmark: DataFrame) -> DataFrame:
+    """(term, n): the segments that hold each term; n of the empty term is the number of segments, and of the blank one that of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1024):
+            terms, n = [], {"": 0, " ": 0}
+            for text in part.column(0).to_pylist():
+                if words := words_of(text):
+                    edges = edges_of(len(words))
+                    n[""] += len(edges) - 1
+                    n[" "] += len(words)
+                    for a, b in zip(edges[:-1], edges[1:], strict=True):
+                        terms += set(words[a:b])
+            yield pa.RecordBatch.from_pydict({"term": pa.array([*terms, *n], pa.string()), "n": pa.array([1] * len(terms) + [*n.values()], pa.int64())})
+
+    return benchmark.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[Index]:
+    """The index, in shards where the items are many; each is built when it is asked for."""
+    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, -(-chars // SHARD_CHARS))
+    stats = Scratch(spark, "decontaminate").write(statistics(benchmark), "statistics") if shards > 1 else None
+
+    def corpus(terms: list[str]) -> tuple[np.ndarray, int, int]:
+        wanted = spark.createDataFrame([(t,) for t in [*terms, "", " "]], "term string")  # those of one shard
+        n = {r.term: r.n for r in stats.join(wanted, "term").collect()}
+        return np.array([n[t] for t in terms], np.int64), n[""], n[" "]
+
+    for k in range(shards):
+        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).select("item_id", "text").collect()  # about SHARD_CHARS characters
+        yield Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), corpus if stats else None)
+
+
 def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, leaks: str = "leaks") -> DataFrame:
     """Adds the items that each text holds, array of (item_id, score, question, answer); a column of that name is replaced."""
-    shards = max(1, -(-benchmark.count() // SHARD))
     out = docs.select(*[f.name for f in keep_fields(docs.schema, (leaks,))]).withColumn(leaks, F.array().cast(T.ArrayType(LEAK)))
-    for k in range(shards):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).select("item_id", "text").collect()  # about SHARD items
-        index = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))))
-        out = _scan(out, index, leaks)
+    for index in indexes(spark, benchmark):
+        out = _scan(out, spark.sparkContext.broadcast(index), leaks)
     return out
 
 
@@ -181,19 +275,22 @@ def _scan(docs: DataFrame, shared, leaks: str) -> DataFrame:
         index: Index = shared.value
         known = Cache(lambda w: index.vocabulary.get(w, -1))
         for part in slices(batches, 256):
-            words = [words_of(t) for t in part.column("text").to_pylist()]
+            words = [ids_of(t.as_py(), known) for t in part.column("text")]
             size = np.array([len(w) for w in words])
             pieces = -(-size // STEP) + 1  # and an empty one, so that no passage holds words of two texts
             first = np.concatenate([[0], np.cumsum(pieces)])
             found: dict[int, list] = {}
             if size.sum():
-                term = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
-                place = np.concatenate([np.arange(s) for s in size])
-                piece = np.repeat(first[:-1], size) + place // STEP
-                ok = term >= 0
-                if ok.any():
-                    for hit in index.retrieve(term[ok], piece[ok], int(first[-1])):
-                        found.setdefault(int(np.searchsorted(first, hit[0], "right")) - 1, []).append(hit)
+                term = np.concatenate(words)
+                piece = np.concatenate([at + np.arange(n) // STEP for at, n in zip(first[:-1].tolist(), size.tolist(), strict=True)])
+                term, piece = term[term >= 0], piece[term >= 0]
+                cuts = np.searchsorted(piece, np.arange(0, int(first[-1]) + 2 * WINDOW, WINDOW))
+                behind = np.searchsorted(piece, np.arange(0, int(first[-1]) + 2 * WINDOW, WINDOW) + 1)
+                for k, at in enumerate(range(0, int(first[-1]), WINDOW)):  # and the first piece of the next window
+                    a, b = cuts[k], behind[k + 1]
+                    if b > a:
+                        for p, *hit in index.retrieve(term[a:b], piece[a:b] - at, WINDOW):
+                            found.setdefault(int(np.searchsorted(first, p + at, "right")) - 1, []).append((p + at, *hit))
             old = part.column(leaks).to_pylist()
             new = [(old[i] or []) + (index.confirm(words[i], found[i], int(first[i])) if i in found else []) for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(new, ARROW) if n == leaks else part.column(n) for n in names], names=names)

@@ -1,19 +1,23 @@
 """Secret scans by a trigram index.
 
 Each rule's regex is parsed and turned into a Boolean query over trigrams, as in indexed code search: literals give the
-AND of their trigrams, alternatives an OR, and what may be absent nothing.  Documents are indexed in blocks: for each
-trigram that some query names, a posting list of the block's documents whose text, in lower case, holds it.  A query's
-postings are intersected and united; only the candidates are searched with the regex.  A rule whose regex forces no
+AND of their trigrams, alternatives an OR, and what may be absent nothing.  Documents are indexed in blocks: one pass over the bytes
+of a block's texts, A-Z in lower case, gives for each trigram that some query names its posting list, the sorted places of the texts that hold
+it.  A query's postings are intersected and united; only the candidates are searched with the regex.  A rule whose regex forces no
 trigram scans each document.  Lower case is that of A-Z alone, so a posting can only hold too many, never too few.
 
-Null and empty texts hold no secrets.  Offsets are code points, the end exclusive; matches of a rule don't overlap.
+Null and empty texts hold no secrets; texts of any length are searched whole, in time in proportion to their length.  Equal rows get equal
+spans, each for itself; doc_id isn't looked at, and an empty table gives no rows.  A column named like the result is replaced, others stay.
+Offsets are code points, the end exclusive; matches of a rule don't overlap, those of different rules may, and come by start, then
+in the rules' order.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from re import _constants as sre
 from re import _parser as parser
 
@@ -33,6 +37,7 @@ class Rule:
     group: int = 0  # the group whose length counts
     least: int = 0
     base: bool = False
+    find: Callable[[str], Iterator[tuple[int, int]]] | None = None  # the pattern's matches, where the regex engine takes too long
 
 
 def either(word: str) -> str:
@@ -48,6 +53,23 @@ PRIVATE_KEY = (
     rf"|(?:{GAP}(?:Proc-Type|DEK-Info):\x20?[A-Za-z0-9,-]+)*(?:{GAP}[A-Za-z0-9+/=]{{16,}})+(?:{GAP}[A-Za-z0-9+/=]+)?|)"
 )
 
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*")
+
+
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Three parts between dots, the first two in base64 of an opening brace.  Parts are looked at once; a regex would try a long
+    part again from each place where it could begin."""
+    for m in DOTTED.finditer(text):
+        parts, at, k = m[0].split("."), m.start(), 0
+        while k + 2 < len(parts):
+            begin = parts[k].find("eyJ")
+            if 0 <= begin <= len(parts[k]) - 11 and parts[k + 1][:3] == "eyJ" and len(parts[k + 1]) >= 11 and len(parts[k + 2]) >= 8:
+                yield at + begin, (at := at + sum(map(len, parts[k : k + 3])) + 2)
+                at, k = at + 1, k + 3
+            else:
+                at, k = at + len(parts[k]) + 1, k + 1
+
+
 #: The contract's rules in their order, then further ones: fixed formats of public services.
 RULES = (
     Rule("assign", rf"""({'|'.join(map(either, ('password', 'passwd', 'secret', 'token')))}|{either('api')}_?{either('key')})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
@@ -58,10 +80,10 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", find=web_tokens),
 )
 
-# ---- trigram queries: True, ("and", [...]), ("or", [...]) or a trigram --------------------------------------------
+# ---- trigram queries: True, ("and", [...]), ("or", [...]) or a trigram, three bytes of UTF-8 --------------------------
 
 
 def both(a, b):
@@ -75,9 +97,9 @@ def one_of(parts: list):
 
 
 def of_text(text: str):
-    query = True
-    for k in range(len(text) - 2):
-        query = both(query, text[k : k + 3])
+    query, raw = True, text.encode()
+    for k in range(len(raw) - 2):
+        query = both(query, raw[k : k + 3])
     return query
 
 
@@ -155,22 +177,46 @@ def trigram_query(pattern: str):
     return derive(parser.parse(pattern)).must()
 
 
-def named(query) -> set[str]:
-    return set() if query is True else {query} if isinstance(query, str) else set().union(*map(named, query[1]))
+def named(query) -> set[bytes]:
+    return set() if query is True else {query} if isinstance(query, bytes) else set().union(*map(named, query[1]))
 
 
-def postings(texts: list[str], trigrams: set[str]) -> dict[str, np.ndarray]:
-    """For each trigram the documents of the block that hold it, as a mask."""
-    return {t: np.fromiter((t in x for x in texts), bool, len(texts)) for t in trigrams}
+class Trigrams:
+    """Inverted indexes of blocks of texts, over the trigrams that queries name."""
 
+    PART = 1 << 22  # bytes that are looked at together
 
-def candidates(query, index: dict[str, np.ndarray], n: int) -> np.ndarray:
+    def __init__(self, trigrams: set[bytes]):
+        self.names = sorted(trigrams)
+        self.number = np.zeros(1 << 24, np.uint16)  # of each trigram; 0 for those that no query names
+        for k, t in enumerate(self.names, 1):
+            self.number[t[0] << 16 | t[1] << 8 | t[2]] = k
+
+    def postings(self, texts: list[bytes]) -> dict[bytes, np.ndarray]:
+        """For each trigram the places of the texts that hold it, ascending."""
+        end = np.cumsum([len(t) for t in texts])
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        found = [np.empty(0, np.int64)]
+        for at in range(0, max(0, len(raw) - 2), self.PART):
+            b = raw[at : at + self.PART + 2].astype(np.int32)
+            number = self.number[b[:-2] << 16 | b[1:-1] << 8 | b[2:]]
+            place = np.flatnonzero(number)
+            text = np.searchsorted(end, place + at, "right")
+            inside = place + at + 2 < end[text]  # a trigram of two texts is none
+            found.append(np.unique(number[place[inside]].astype(np.int64) * len(texts) + text[inside]))
+        every = np.unique(np.concatenate(found))
+        cut = np.searchsorted(every, np.arange(1, len(self.names) + 2) * len(texts))
+        return {t: every[a:b] % max(1, len(texts)) for t, a, b in zip(self.names, cut[:-1], cut[1:], strict=True)}
+
+
+def candidates(query, index: dict[bytes, np.ndarray], n: int) -> np.ndarray:
+    """The places of the texts that can match, ascending."""
     if query is True:
-        return np.ones(n, bool)
-    if isinstance(query, str):
+        return np.arange(n)
+    if isinstance(query, bytes):
         return index[query]
-    parts = [candidates(q, index, n) for q in query[1]]
-    return np.logical_and.reduce(parts) if query[0] == "and" else np.logical_or.reduce(parts)
+    parts = sorted((candidates(q, index, n) for q in query[1]), key=len)
+    return reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), parts) if query[0] == "and" else np.unique(np.concatenate(parts))
 
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -179,7 +225,7 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = [(r, self.search_form(r), trigram_query(r.pattern)) for r in rules]
-        self.trigrams = set().union(*(named(q) for *_, q in self.rules))
+        self.trigrams = Trigrams(set().union(*(named(q) for *_, q in self.rules)))
 
     @staticmethod
     def search_form(rule: Rule) -> re.Pattern:
@@ -190,10 +236,13 @@ class Scanner:
     def block(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """For each text its (start, rule, end), by start, then rule."""
         texts = [t or "" for t in texts]
-        index = postings([t.encode().translate(LOWER).decode() for t in texts], self.trigrams)
+        index = self.trigrams.postings([t.encode().translate(LOWER) for t in texts])
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for k, (rule, pattern, query) in enumerate(self.rules):
-            for at in np.flatnonzero(candidates(query, index, len(texts))).tolist():
+            for at in candidates(query, index, len(texts)).tolist():
+                if rule.find:
+                    found[at] += ((a, k, b) for a, b in rule.find(texts[at]))
+                    continue
                 for m in pattern.finditer(texts[at]):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
                         found[at].append((m.start(), k, m.end()))

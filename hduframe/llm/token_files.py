@@ -4,11 +4,13 @@ A file is a run of zstandard frames, then a skippable frame with the documents'
 public seekable format (a skippable frame: compressed size, size and the low 32 bits of XXH64 for each frame, then a
 footer).  Any zstandard reader can decompress the file; a reader of one document seeks to the frames that hold it,
 decompresses only these and compares their checksums.  Files hold documents in ascending doc_id order over all files;
-the manifest has a row for each file.  A task writes under a name of its own and moves the whole file into place, so a
-task that runs twice leaves one whole file.
+the manifest has a row for each file.  A task begins a new file beyond FILE_BYTES of ids or FILE_DOCS documents, so files and what a writer
+holds are bounded whatever the shuffle's partitions; only one document, which lies in one file, can be longer.  A task writes under a name of its own
+and moves the whole file into place, so a task that runs twice leaves one whole file.
 
-Null texts count as empty; a null doc_id comes first and is read back as null; equal ids are ordered by their text.
-An empty table gives no files and no rows.
+Null texts count as empty; a null doc_id comes first and is read back as null; equal ids are ordered by a hash of their text and then the
+text, and a range of rows may end between them, so very many equal or null ids aren't one task's.  Repeated rows are all written.
+An empty table gives no files and no rows.  Columns other than the id and the text aren't read.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..sources.layout import filesystem
 from .common import Cache, Scratch, slices
 
 #: Fixed values of the seekable format.
 SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 INDEX = np.dtype([("doc", "<i8"), ("null", "u1"), ("n", "<u8")])
 FRAME_BYTES = 1 << 18
+FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 20
 #: White space of the tokenizer's split pattern; Python counts four control characters more as such.
 CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: The tokenizer's split pattern for characters below U+0250, where these eight are the only numbers but the digits.
@@ -181,7 +186,7 @@ class FrameReader:
 
 def open_file(path: str) -> FrameReader:
     """A token file by its path in any store that pyarrow knows."""
-    store, name = pafs.FileSystem.from_uri(path)
+    store, name = filesystem(path)
     return FrameReader(store.open_input_file(name), store.get_file_info(name).size)
 
 
@@ -199,24 +204,35 @@ def write(df: DataFrame, tokenizer_file: str, folder: str, end_id: int = 0, doc:
         encode, end = encoder(tokenizer_file), end_id.to_bytes(4, "little")
         width = 2 if max(encode.all.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         task = TaskContext.get()
-        store, base = pafs.FileSystem.from_uri(folder)
+        store, base = filesystem(folder)
         store.create_dir(base, recursive=True)
-        name = f"{base}/tokens-{task.partitionId():06d}.zst"
-        own = f"{name}.{task.taskAttemptId()}"
-        with store.open_output_stream(own) as sink:
-            w = FrameWriter(sink, width)
-            for group in ([first], batches):
-                for part in slices(iter(group), 256):
-                    for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        w.add(d, encode(t) + end)
-            w.close()
-        if not isinstance(store, pafs.LocalFileSystem) and store.get_file_info(name).type == pafs.FileType.File:
-            store.delete_file(name)
-        store.move(own, name)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "path": [f"{folder}/{name.rsplit('/', 1)[1]}"], "n_docs": pa.array([len(w.docs)], pa.int64()), "n_tokens": pa.array([w.tokens], pa.int64())})
+        sink, k = None, 0
 
-    ordered = df.select(doc, text).repartitionByRange(doc).sortWithinPartitions(doc, text)
-    files = ordered.mapInArrow(run, "part int, path string, n_docs long, n_tokens long").collect()  # a row a file
+        def close() -> pa.RecordBatch:
+            w.close()
+            sink.close()
+            if not isinstance(store, pafs.LocalFileSystem) and store.get_file_info(name).type == pafs.FileType.File:
+                store.delete_file(name)
+            store.move(own, name)
+            return pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "k": pa.array([k], pa.int32()), "path": [f"{folder}/{name.rsplit('/', 1)[1]}"], "n_docs": pa.array([len(w.docs)], pa.int64()), "n_tokens": pa.array([w.tokens], pa.int64())})
+
+        for group in ([first], batches):
+            for part in slices(iter(group), 256):
+                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if sink and (w.tokens * width >= FILE_BYTES or len(w.docs) >= FILE_DOCS):
+                        yield close()
+                        sink, k = None, k + 1
+                    if not sink:
+                        name = f"{base}/tokens-{task.partitionId():06d}-{k:04d}.zst"
+                        own = f"{name}.{task.taskAttemptId()}"
+                        sink = store.open_output_stream(own)
+                        w = FrameWriter(sink, width)
+                    w.add(d, encode(t) + end)
+        yield close()
+
+    by = [F.col(doc), F.xxhash64(text)]
+    ordered = df.select(doc, text).repartitionByRange(*by).sortWithinPartitions(*by, text)
+    files = ordered.mapInArrow(run, "part int, k int, path string, n_docs long, n_tokens long").collect()  # a row a file
     return [r.asDict() for r in sorted(files)]
 
 

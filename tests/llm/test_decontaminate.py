@@ -1,6 +1,9 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import ODD, documents, odd_frame
 
 from hduframe.llm import decontaminate as dc
@@ -18,27 +21,136 @@ def item(r):
     return " ".join(w).capitalize() + "."
 
 
-def test_retrieval_against_all_scores():
-    """Pruning by bounds loses no segment over the threshold."""
+def plain_scores(items, query, all_items=None):
+    """BM25 of a query's distinct words for each segment, as a share of the segment's score for its own words; in dictionaries."""
+
+    def segments(rows):
+        out = []
+        for k, w in rows:
+            n = -(-len(w) // dc.SEGMENT)
+            out += [(k, w[len(w) * i // n : len(w) * (i + 1) // n]) for i in range(n)]
+        return out
+
+    every = segments(enumerate(map(dc.words_of, all_items or items)))
+    df = Counter(x for _, s in every for x in set(s))
+    mean = sum(len(s) for _, s in every) / len(every)
+
+    def score(s, terms):
+        out = 0.0
+        for x, c in Counter(s).items():
+            if x in terms:
+                out += math.log(1 + (len(every) - df[x] + 0.5) / (df[x] + 0.5)) * c * (dc.K1 + 1) / (c + dc.K1 * (1 - dc.B + dc.B * len(s) / mean))
+        return out
+
+    return [score(s, query) / score(s, set(s)) for _, s in segments(enumerate(map(dc.words_of, items)))]
+
+
+@pytest.mark.parametrize("n_items", [5, 120, 700])
+def test_retrieval_against_brute_force(n_items):
+    """Pruning by bounds loses no segment over the threshold and finds none below, and scores are those of BM25."""
     r = random.Random(1)
-    index = dc.Index([(k, item(r)) for k in range(120)])
-    texts = [" ".join(words(r, 200)) for _ in range(30)]
-    for k in range(30):
-        seg = index.items[k]
-        texts.append(texts[k][:500] + " " + " ".join(x for run in sorted(seg.question)[:4] for x in run) + " " + texts[k][500:])
+    items = [item(r) for _ in range(n_items)]
+    index = dc.Index(list(enumerate(items)))
+    texts = [" ".join(words(r, 150)) for _ in range(8)]
+    for k in range(8):
+        part = items[k % n_items].split()
+        texts.append(texts[k][:300] + " " + " ".join(part[k : 40 + k]) + " " + texts[k][300:])
+    hits = 0
     for t in texts:
         w = dc.words_of(t)
-        known = np.array([index.vocabulary.get(x, -1) for x in w])
+        known = dc.ids_of(t, dc.Cache(lambda x: index.vocabulary.get(x, -1)))
         at = np.flatnonzero(known >= 0)
         n = -(-len(w) // dc.STEP) + 1
-        got = {(p, s) for p, s, _ in index.retrieve(known[at], at // dc.STEP, n)}
-        flat = index.impact.reshape(len(index.vocabulary), -1)
-        want = set()
+        got = {(p, s): x for p, s, x in index.retrieve(known[at], at // dc.STEP, n)}
         for p in range(n):
-            terms = list({k for k in known[p * dc.STEP : (p + 2) * dc.STEP].tolist() if k >= 0})
-            share = flat[terms].sum(0) if terms else np.zeros(flat.shape[1])
-            want |= {(p, s) for s in np.flatnonzero(share >= dc.LEAST).tolist()}
-        assert want <= got
+            want = plain_scores(items, set(w[p * dc.STEP : (p + 2) * dc.STEP]))
+            for s, x in enumerate(want):
+                if (p, s) in got:
+                    assert got[p, s] == pytest.approx(x, abs=1e-4)
+                assert x < dc.LEAST if (p, s) not in got else x >= dc.LEAST - 2e-4
+            hits += sum(x >= dc.LEAST for x in want)
+    assert hits >= 8
+
+
+def plain_leaks(items, text):
+    """Every item against every passage in strings, by the definition of the module."""
+    w, out = dc.words_of(text), set()
+    for k, t in enumerate(items):
+        iw = dc.words_of(t)
+        if not iw:
+            continue
+        sentences = [x for x in map(dc.words_of, dc.SENTENCE.split(t)) if x]
+        cut = len(iw) - len(sentences[-1]) if len(sentences) > 1 else max(1, 2 * len(iw) // 3)
+        size = min(dc.RUN, len(iw))
+        parts = iw[: max(cut, size)], iw[min(cut, len(iw) - size) :]
+        at = [0]
+        for j in items[:k]:
+            at.append(at[-1] + -(-len(dc.words_of(j)) // dc.SEGMENT))
+        mine = range(at[-1], at[-1] + -(-len(iw) // dc.SEGMENT))
+        for p in range(-(-len(w) // dc.STEP) + 1):
+            if max(plain_scores(items, set(w[p * dc.STEP : (p + 2) * dc.STEP]))[s] for s in mine) < dc.LEAST:
+                continue
+            near = w[max(0, p * dc.STEP - len(iw)) : (p + 2) * dc.STEP + len(iw)]
+            there = {tuple(near[j : j + size]) for j in range(len(near) - size + 1)}
+
+            def share(part, near=near, there=there, size=size):
+                own = {tuple(part[j : j + size]) for j in range(len(part) - size + 1)}
+                x = len(own & there) / len(own)
+                return max(x, dc.aligned(part, near)) if x < dc.OVERLAP and dc.RUN <= len(part) < dc.LONG else x
+
+            if min(map(share, parts)) >= dc.OVERLAP:
+                out.add(k)
+    return out
+
+
+def test_confirmation_against_brute_force(spark):
+    r = random.Random(7)
+    items = [item(r) for _ in range(12)]
+    texts = []
+    for k in range(36):
+        part = items[k % 12].split()
+        for _ in range(k // 12 * 3):  # more and more edits
+            part[r.randrange(len(part))] = "edited"
+        a = r.randrange(len(part) // 3 + 1) if k % 2 else 0
+        texts.append(" ".join(words(r, r.randrange(50)) + part[a:] + words(r, r.randrange(50))))
+    bench = spark.createDataFrame(list(enumerate(items)), ITEMS)
+    got = {(x.doc_id, x.item_id) for x in dc.leaked(spark, documents(spark, texts), bench).collect()}
+    want = {(k, j) for k, t in enumerate(texts) for j in plain_leaks(items, t)}
+    assert got == want and 8 < len(want) < 36
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    """Parts of a text, and windows of passages, change nothing."""
+    r = random.Random(9)
+    items = [item(r) for _ in range(30)]
+    texts = [" ".join(words(r, 900) + items[k].split() + words(r, 900 + k) + items[k + 1].split() + words(r, 50)) for k in range(0, 28, 2)]
+    bench = spark.createDataFrame(list(enumerate(items)), ITEMS)
+    one = sorted(dc.leaked(spark, documents(spark, texts), bench).collect())
+    assert [(x.doc_id, x.item_id) for x in one] == [(k // 2, j) for k in range(0, 28, 2) for j in (k, k + 1)]
+    known = dc.Cache(len)
+    for size in (3, 17, 1000):
+        monkeypatch.setattr(dc, "TEXT_PART", size)
+        assert dc.ids_of(texts[0], known).tolist() == [len(w) for w in dc.words_of(texts[0])]
+    index = next(dc.indexes(spark, bench))
+    w = dc.ids_of(texts[3], dc.Cache(lambda x: index.vocabulary.get(x, -1)))
+    assert len(w) > 4 * dc.STEP
+    monkeypatch.setattr(dc, "WINDOW", 4)
+
+    class Shared:
+        value = index
+
+    frame = documents(spark, texts).withColumn("leaks", dc.F.array().cast(dc.T.ArrayType(dc.LEAK)))
+    run = {}
+
+    class Frame:  # the mapped function, run here, where the small window holds
+        columns, schema = frame.columns, frame.schema
+
+        def mapInArrow(self, f, schema):
+            run["f"] = f
+
+    dc._scan(Frame(), Shared, "leaks")
+    got = [x for b in run["f"](iter(frame.toArrow().to_batches())) for x in b.to_pylist()]
+    assert sorted((x["doc_id"], y["item_id"]) for x in got for y in x["leaks"]) == [(x.doc_id, x.item_id) for x in one]
 
 
 def test_finds_what_is_planted(spark):
@@ -60,13 +172,31 @@ def test_finds_what_is_planted(spark):
 
 
 def test_shards_find_the_same(spark, monkeypatch):
+    """Scores too: the statistics are those of all items."""
     r = random.Random(3)
     items = [item(r) for _ in range(40)]
     docs = documents(spark, [items[k] + " tail" for k in range(0, 40, 3)] + ["nothing here at all"])
     bench = spark.createDataFrame(list(enumerate(items)), ITEMS)
-    one = sorted((x.doc_id, x.item_id) for x in dc.leaked(spark, docs, bench).collect())
-    monkeypatch.setattr(dc, "SHARD", 10)
-    assert sorted((x.doc_id, x.item_id) for x in dc.leaked(spark, docs, bench).collect()) == one and len(one) == 14
+    one = sorted((x.doc_id, x.item_id, x.bm25_share) for x in dc.leaked(spark, docs, bench).collect())
+    monkeypatch.setattr(dc, "SHARD_CHARS", sum(map(len, items)) // 4)
+    assert len(list(dc.indexes(spark, bench))) >= 4
+    many = sorted((x.doc_id, x.item_id, x.bm25_share) for x in dc.leaked(spark, docs, bench).collect())
+    assert [x[:2] for x in many] == [x[:2] for x in one] and [x[2] for x in many] == pytest.approx([x[2] for x in one]) and len(one) == 14
+
+
+def test_large_benchmark_is_one_small_index():
+    """10,000 items of 300 words in one shard."""
+    import pickle
+
+    r = random.Random(4)
+    some = words(r, 3000)
+    items = [(k, " ".join(r.choice(some) + str(r.randrange(60)) for _ in range(300))) for k in range(10_000)]
+    assert sum(len(t) for _, t in items) < dc.SHARD_CHARS
+    index = dc.Index(items)
+    assert len(pickle.dumps(index)) < 150 << 20
+    w = dc.ids_of("before it " + items[77][1], dc.Cache(lambda x: index.vocabulary.get(x, -1)))
+    found = index.retrieve(w[w >= 0], np.flatnonzero(w >= 0) // dc.STEP, -(-len(w) // dc.STEP) + 1)
+    assert {x["item_id"] for x in index.confirm(w, found, 0)} == {77}
 
 
 def test_question_alone_is_no_leak(spark):

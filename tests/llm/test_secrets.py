@@ -5,7 +5,7 @@ import re
 import pytest
 from helpers import ODD, documents, odd_frame
 
-from hduframe.llm.secrets import MARK, RULES, Scanner, digests, redact, scan, trigram_query
+from hduframe.llm.secrets import MARK, RULES, Scanner, Trigrams, candidates, digests, redact, scan, trigram_query
 
 PLAIN = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
@@ -40,9 +40,9 @@ def test_index_leaves_no_match_out(rule):
 
 def test_queries():
     assert trigram_query("[0-9a-f]+") is True and trigram_query("ab") is True
-    assert trigram_query("abcd") == ("and", ["abc", "bcd"])
-    assert trigram_query("abc|xyz") == ("or", ["abc", "xyz"]) and trigram_query("abc|x") is True
-    assert trigram_query("(abc)*x") is True and trigram_query("(?:abc)+x") == "abc" and trigram_query("[Aa]bc") == "abc"
+    assert trigram_query("abcd") == ("and", [b"abc", b"bcd"])
+    assert trigram_query("abc|xyz") == ("or", [b"abc", b"xyz"]) and trigram_query("abc|x") is True
+    assert trigram_query("(abc)*x") is True and trigram_query("(?:abc)+x") == b"abc" and trigram_query("[Aa]bc") == b"abc"
 
 
 def test_frame(spark):
@@ -79,3 +79,35 @@ def test_whole_keys_and_tokens_are_masked(spark):
     ]
     got = [r.text for r in sorted(redact(documents(spark, texts)).collect(), key=lambda r: r.doc_id)]
     assert got == [f"a\n{MARK}\nb", f"a\n{MARK}\nb", f'a\n"{MARK}\\n"\nb', f"a {MARK}", f"a {MARK}\n\n{MARK} b", f"the line {MARK} is only named here -- not a key", MARK, MARK, MARK]
+
+
+def test_postings_against_brute_force(monkeypatch):
+    """Each text that holds a trigram is in its posting list and no other, across parts of a block and bounds of texts."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcé") for _ in range(r.randrange(40))).encode() for _ in range(60)] + [b"", b"ab", b"c"]
+    names = {bytes(x) for t in texts for x in zip(t, t[1:], t[2:])} | {b"zzz"}
+    for part in (5, 64, 1 << 20):
+        monkeypatch.setattr(Trigrams, "PART", part)
+        index = Trigrams(names).postings(texts)
+        assert {t: index[t].tolist() for t in names} == {t: [k for k, x in enumerate(texts) if t in x] for t in names}
+    query = ("and", [("or", [b"abc", b"zzz"]), b"bca"])
+    assert candidates(query, index, len(texts)).tolist() == [k for k, x in enumerate(texts) if b"abc" in x and b"bca" in x]
+    assert candidates(True, index, 3).tolist() == [0, 1, 2] and Trigrams({b"abc"}).postings([])[b"abc"].tolist() == []
+
+
+def test_web_tokens_like_the_regex():
+    rule = next(x for x in RULES if x.kind == "jwt")
+    r = random.Random(4)
+    for _ in range(3000):
+        t = "".join(r.choice(["eyJ", ".eyJ", "abcdefgh", "x", "..", " ", ".", "é"]) for _ in range(r.randrange(14)))
+        assert list(rule.find(t)) == [m.span() for m in re.finditer(rule.pattern, t)], t
+
+
+def test_time_in_proportion_to_the_text():
+    import time
+
+    scanner = Scanner()
+    for t in ("eyJ" * 200_000, "eyJaaaaaaaa." * 60_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "password " * 60_000, "AKIA" * 150_000, "a" * 600_000):
+        at = time.process_time()
+        scanner.block([t])
+        assert time.process_time() - at < 3

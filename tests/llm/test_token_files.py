@@ -84,3 +84,42 @@ def test_frame(spark, library, tmp_path):
     assert sum(f["n_docs"] for f in manifest) == len(rows) and open_file(manifest[0]["path"]).width == 2
     empty = write(documents(spark, []), FILE, f"file://{tmp_path}/e")
     assert empty == [] and read(spark, empty).count() == 0
+
+
+def test_files_are_rolled(spark, tmp_path, monkeypatch):
+    """A task begins a new file at the bound; ids shared by many rows are dealt to several tasks."""
+    import hduframe.llm.token_files as tf
+
+    texts = [f"text number {k} of all " * (k % 7) for k in range(300)]
+    docs = spark.createDataFrame([(None if k % 3 == 0 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = write(docs, FILE, f"file://{tmp_path}/a")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({f["part"] for f in files if f["n_docs"]}) == 4 and max(f["n_docs"] for f in files) < 130  # a hundred null ids
+
+    class Task:  # the mapped function, run here, where the small bounds hold
+        partitionId = staticmethod(lambda: 3)
+        taskAttemptId = staticmethod(lambda: 5)
+        get = classmethod(lambda cls: cls)
+
+    monkeypatch.setattr(tf, "FILE_DOCS", 40)
+    monkeypatch.setattr(tf, "FILE_BYTES", 2000)
+    monkeypatch.setattr(tf, "TaskContext", Task)
+    run = {}
+
+    class Frame:
+        columns = docs.columns
+        select = repartitionByRange = sortWithinPartitions = lambda self, *a: self
+
+        def mapInArrow(self, f, schema):
+            run["f"] = f
+            return self
+
+        def collect(self):
+            return []
+
+    write(Frame(), FILE, f"file://{tmp_path}/b")
+    made = [x for b in run["f"](iter(docs.toArrow().to_batches(max_chunksize=50))) for x in b.to_pylist()]
+    assert [f["k"] for f in made] == list(range(len(made))) and len(made) > 6 and all(f["n_docs"] <= 40 for f in made)
+    every = [(d, a.tolist()) for f in made for d, a in open_file(f["path"]).each()]
+    assert every == [(r.doc_id, np.frombuffer(encoder(FILE)(r.text), "<u4").tolist() + [0]) for r in docs.collect()]
