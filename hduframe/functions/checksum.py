@@ -29,9 +29,13 @@ def checksum(data: bytes, offset: int = 0) -> int:
     total = int(np.frombuffer(data, ">u4", whole // 4).sum(dtype=np.uint64)) if whole else 0
     if whole < len(data):
         total += int.from_bytes(data[whole:].ljust(4, b"\0"), "big")
-    s = fold(total)
+    return turned(fold(total), offset)
+
+
+def turned(total: int, offset: int) -> int:
+    """A sum of bytes, for where they start off a multiple of four."""
     turn = 8 * (offset % 4)
-    return (s >> turn | s << (32 - turn)) & MOD if turn else s
+    return (total >> turn | total << (32 - turn)) & MOD if turn else total
 
 
 class Checksum:

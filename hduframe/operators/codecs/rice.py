@@ -2,7 +2,8 @@
 
 A tile starts with its first value, then come blocks of differences: a code for the number k of low bits, then for each
 zig-zag mapped difference its high part in unary and k low bits.  Two codes are special: all differences are 0, and plain values.
-Encoding places all bits of all tiles by prefix sums; decoding steps through the pixels, each step for all tiles.
+Encoding places all bits of all tiles by prefix sums.  Decoding looks up where the next one lies behind each bit; taken as often as a
+block has pixels, that leads from block to block in one step each, and then all blocks are decoded side by side.
 """
 
 from __future__ import annotations
@@ -94,73 +95,172 @@ def encode(tiles: list[np.ndarray], width: int, block: int = 32) -> list[bytes]:
     return [packed[e - b : e] for e, b in zip(edge.tolist(), bytes_of.tolist(), strict=True)]
 
 
-class Bits:
-    """The bit streams of many tiles, each with its own position."""
+WINDOW = 1 << 16  # bytes of tiles that are decoded together; longer tiles take as many windows as they need
 
-    def __init__(self, streams: list[bytes]):
-        size = max(map(len, streams), default=0)
-        self.limit = np.array([8 * len(s) for s in streams], np.int64)
-        self.bytes = np.zeros((len(streams), size + 16), np.uint8)
-        for k, s in enumerate(streams):
-            self.bytes[k, : len(s)] = np.frombuffer(s, np.uint8)
-        self.at = np.zeros(len(streams), np.int64)
 
-    def window(self, who: np.ndarray) -> np.ndarray:
+class Window:
+    """The bits of some tiles, with the place of the next one behind each bit, so that unary codes are looked up."""
+
+    def __init__(self, raw: bytes, block: int):
+        self.size, self.block = 8 * len(raw), block
+        self.raw = raw + bytes(16)
+        self.bytes = np.frombuffer(self.raw, np.uint8)
+        place = np.where(np.unpackbits(np.frombuffer(raw, np.uint8)) == 1, np.arange(self.size, dtype=np.int32), np.int32(self.size))
+        self.next = np.append(np.minimum.accumulate(place[::-1])[::-1], np.int32(self.size))
+        self.jumps: dict[int, memoryview] = {}
+
+    def jump(self, k: int) -> memoryview:
+        """For each bit, where a whole block of codes with k low bits that starts there ends; the window's end if beyond."""
+        if k not in self.jumps:
+            step = np.minimum(self.next.astype(np.int64) + 1 + k, self.size).astype(np.int32)
+            whole, n = None, self.block
+            while n:  # the step to the power of the block's size
+                if n & 1:
+                    whole = step if whole is None else step[whole]
+                n >>= 1
+                step = step[step] if n else step
+            self.jumps[k] = memoryview(whole)
+        return self.jumps[k]
+
+    def top(self, at: np.ndarray) -> np.ndarray:
         """The next 56 bits at the top of 64."""
-        byte = np.minimum(self.at[who] >> 3, self.bytes.shape[1] - 8)
-        eight = self.bytes[who[:, None], byte[:, None] + np.arange(8)]
-        return eight.view(">u8")[:, 0].astype(np.uint64) << (self.at[who] & 7).astype(np.uint64)
-
-    def take(self, who: np.ndarray, count: np.ndarray | int) -> np.ndarray:
-        count = np.broadcast_to(np.asarray(count, np.int64), who.shape)
-        w = self.window(who)
-        out = np.where(count > 0, w >> (64 - np.maximum(count, 1)).astype(np.uint64), 0).astype(np.int64)
-        self.at[who] += count
-        return out
-
-    def zeros(self, who: np.ndarray) -> np.ndarray:
-        """Takes zeros up to a one and that; the number of zeros."""
-        out = np.zeros(len(who), np.int64)
-        left = np.arange(len(who))
-        while len(left):
-            w = self.window(who[left]) >> np.uint64(8)
-            found = w != 0
-            lead = 56 - np.frexp(w.astype(np.float64) * 1.0)[1]  # 56 bits; those beyond 53 round up only where all are ones
-            lead = np.where(found & (w >> np.clip(55 - lead, 0, 63).astype(np.uint64) == 0), lead + 1, lead)
-            out[left] += np.where(found, lead, 56)
-            self.at[who[left]] += np.where(found, lead + 1, 56)
-            if (self.at[who[left]] > self.limit[who[left]] + 64).any():
+        eight = self.bytes[np.minimum(at >> 3, len(self.raw) - 8)[:, None] + np.arange(8)]
+        return eight.view(">u8")[:, 0].astype(np.uint64) << (at & 7).astype(np.uint64)
+
+    def take(self, at: np.ndarray, count: int | np.ndarray) -> np.ndarray:
+        """Numbers of count bits, 1 at least."""
+        return (self.top(at) >> (np.uint64(64) - np.asarray(count, np.uint64))).astype(np.int64)
+
+    def blocks(self, at: int, n: int, limit: int, last: bool, code_bits: int, plain: int, bits: int) -> tuple[list[int], list[int], int, int]:
+        """Of a tile with n pixels left, whose codes go on at a bit: where each block's values begin and its number of low bits (-1: all
+        are 0); then the pixels that remain and where.  Unless the tile ends in this window (last), only whole blocks that lie in it are taken."""
+        raw, mask, size = self.raw, (1 << code_bits) - 1, self.block
+        starts, ks = [], []
+        while n > 0 and (last or n >= size):
+            if at + code_bits > limit:
+                if last:
+                    raise CompressionError("a RICE_1 tile ends too early")
+                break
+            k = ((raw[at >> 3] << 8 | raw[(at >> 3) + 1]) >> (16 - code_bits - (at & 7)) & mask) - 1
+            begin = at + code_bits
+            if n < size:  # the last block; where it ends is seen when it is decoded
+                end = begin
+            elif k < 0:
+                end = begin
+            elif k >= plain:
+                end = begin + size * bits
+            else:
+                end = (self.jumps.get(k) or self.jump(k))[begin]
+            if not last and end >= limit:
+                break
+            starts.append(begin)
+            ks.append(k)
+            at, n = min(end, self.size), n - min(n, size)
+        return starts, ks, n, at
+
+    def values(self, start: np.ndarray, k: np.ndarray, n: np.ndarray, plain: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The mapped differences of blocks of n pixels, one block behind the other, and where each block ends."""
+        out, at = np.zeros((len(start), self.block), np.int64), start.copy()
+        coded = np.flatnonzero((k >= 0) & (k < plain))
+        low = np.maximum(k, 0)
+        for j in range(self.block):
+            coded = coded[n[coded] > j]
+            if not len(coded):
+                break
+            begin, kk = at[coded], low[coded]
+            one = self.next[np.minimum(begin, self.size)].astype(np.int64)
+            some = kk > 0
+            rest = np.where(some, self.take(one + 1, np.maximum(kk, 1)), 0)
+            out[coded, j] = (one - begin) << kk | rest
+            at[coded] = one + 1 + kk
+        raw = np.flatnonzero(k >= plain)
+        for j in range(self.block):
+            raw = raw[n[raw] > j]
+            if not len(raw):
+                break
+            out[raw, j] = self.take(at[raw], bits)
+            at[raw] += bits
+        return out[np.arange(self.block) < n[:, None]], at
+
+
+def _tiles(streams: list[bytes], n: list[int], width: int, block: int) -> np.ndarray:
+    """The pixels of some whole tiles, one tile behind the other."""
+    code_bits, plain, bits = parameters(width)
+    w, begin = Window(b"".join(streams), block), 0
+    starts, ks, counts, limits, first = [], [], [], [], []
+    for stream, left in zip(streams, n, strict=True):
+        limit = begin + 8 * len(stream)
+        if begin + bits > limit:
+            raise CompressionError("a RICE_1 tile ends too early")
+        first.append(begin)
+        a, k, _, _ = w.blocks(begin + bits, left, limit, True, code_bits, plain, bits)
+        starts += a
+        ks += k
+        counts += [block] * (len(a) - 1) + [left - block * (len(a) - 1)]
+        limits += [limit] * len(a)
+        begin = limit
+    u, end = w.values(np.array(starts), np.array(ks), np.array(counts), plain, bits)
+    if (end > np.array(limits)).any():
+        raise CompressionError("a RICE_1 tile ends too early")
+    return _sums(u, w.take(np.array(first), bits), np.array(n))
+
+
+def _sums(u: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Pixels from mapped differences, of tiles of n pixels and their first values."""
+    total = np.cumsum(unzigzag(u))
+    begin = np.cumsum(n) - n
+    return total + np.repeat(first - np.where(begin > 0, total[begin - 1], 0), n)
+
+
+def _long_tile(stream: bytes, n: int, width: int, block: int) -> np.ndarray:
+    """A tile of many windows."""
+    code_bits, plain, bits = parameters(width)
+    first = int.from_bytes(stream[: bits // 8], "big")
+    at, left, size, parts = bits, n, WINDOW, []
+    while left:
+        skip = at >> 3
+        raw = stream[skip : skip + size]
+        last = skip + size >= len(stream)
+        w = Window(raw, block)
+        starts, ks, rest, after = w.blocks(at & 7, left, 8 * len(raw), last, code_bits, plain, bits)
+        if starts:
+            counts = np.full(len(starts), block)
+            counts[-1] = min(block, left - block * (len(starts) - 1))
+            u, end = w.values(np.array(starts), np.array(ks), counts, plain, bits)
+            if (end > 8 * len(raw)).any():
                 raise CompressionError("a RICE_1 tile ends too early")
-            left = left[~found]
-        return out
+            parts.append(u)
+            size = WINDOW
+        elif last:
+            raise CompressionError("a RICE_1 tile ends too early")
+        else:
+            size *= 2  # a block longer than the window
+        at, left = 8 * skip + after, rest
+    return _sums(np.concatenate(parts), np.array([first]), np.array([n]))
 
 
 def decode(streams: list[bytes], sizes: list[int], width: int, block: int = 32) -> list[np.ndarray]:
     """Signed pixels, unsigned for 8 bits, of each stream."""
-    code_bits, plain, bits = parameters(width)
-    n = np.array(sizes, np.int64)
-    some = np.flatnonzero(n)
+    _, _, bits = parameters(width)
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(sizes)
+    some = [k for k, n in enumerate(sizes) if n]
     if any(not streams[k] for k in some):
         raise CompressionError("a RICE_1 tile without data")
-    stream = Bits(streams)
-    out = np.zeros((len(streams), int(n.max(initial=0))), np.int64)
-    value = np.zeros(len(streams), np.int64)
-    value[some] = stream.take(some, bits)
-    for first in range(0, out.shape[1], block):
-        live = np.flatnonzero(n > first)
-        k = np.full(len(streams), -1)
-        k[live] = stream.take(live, code_bits) - 1
-        for at in range(first, min(first + block, out.shape[1])):
-            live = live[n[live] > at]
-            mine = k[live]
-            coded, raw = live[(mine >= 0) & (mine < plain)], live[mine >= plain]
-            if len(coded):
-                high = stream.zeros(coded)
-                value[coded] += unzigzag(high << k[coded] | stream.take(coded, k[coded]))
-            if len(raw):
-                value[raw] += unzigzag(stream.take(raw, bits))
-            out[live, at] = value[live]
-    if (stream.at > stream.limit + 0).any():
-        raise CompressionError("a RICE_1 tile ends too early")
-    out = out & 0xFF if width == 1 else wrap(out, bits)
-    return [out[k, :size] for k, size in enumerate(n.tolist())]
+    group: list[int] = []
+    held = 0
+
+    def put(ids: list[int], flat: np.ndarray) -> None:
+        flat = flat & 0xFF if width == 1 else wrap(flat, bits)
+        for k, part in zip(ids, np.split(flat, np.cumsum([sizes[i] for i in ids])[:-1]), strict=True):
+            out[k] = part
+
+    for k in [*some, -1]:
+        if group and (k < 0 or held + len(streams[k]) > WINDOW):
+            put(group, _tiles([streams[i] for i in group], [sizes[i] for i in group], width, block))
+            group, held = [], 0
+        if k >= 0 and len(streams[k]) > WINDOW:
+            put([k], _long_tile(streams[k], sizes[k], width, block))
+        elif k >= 0:
+            group.append(k)
+            held += len(streams[k])
+    return out

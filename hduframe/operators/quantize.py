@@ -10,7 +10,6 @@ import numpy as np
 #: Fixed values of the standard: quantized NaN and exact 0 (the latter with SUBTRACTIVE_DITHER_2 only), number of random values.
 NULL, ZERO, N_RANDOM = -2147483647, -2147483646, 10_000
 NONE, DITHER_1, DITHER_2 = "NO_DITHER", "SUBTRACTIVE_DITHER_1", "SUBTRACTIVE_DITHER_2"
-_fma = np.frompyfunc(math.fma, 3, 1)
 
 
 @cache
@@ -36,12 +35,45 @@ def offsets(n: int, tile: int, seed: int) -> np.ndarray:
     return np.concatenate(parts).astype(np.float64) if parts else np.empty(0)
 
 
+def _two_sum(a: np.ndarray, b: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """A sum and what its rounding left."""
+    s = a + b
+    t = s - a
+    return s, (a - (s - t)) + (b - t)
+
+
+def multiply_add(x: np.ndarray, scale: float, zero: float) -> np.ndarray:
+    """x * scale + zero, rounded once: Dekker's exact product, exact sums, and the few values that these can't settle one by one."""
+    with np.errstate(all="ignore"):
+        high = lambda v: (c := v * 134217729.0) - (c - v)  # noqa: E731  (Veltkamp's split)
+        p = x * scale
+        xh, sh = high(x), high(np.float64(scale))
+        xl, sl = x - xh, scale - sh
+        e = ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+        s, t = _two_sum(p, zero)
+        w, w_left = _two_sum(t, e)
+        r, r_left = _two_sum(s, w)
+        # r is right unless the exact value lies beside a tie, or parts over- or underflow
+        gap = np.spacing(np.abs(r))
+        tie = (w_left != 0) & ((2 * np.abs(r_left) == gap) | (4 * np.abs(r_left) == gap))
+        odd = tie | ~np.isfinite(r) | ((p != 0) & (np.abs(p) < 1e-280)) | (np.abs(p) > 1e290) | (np.abs(x) > 1e290)
+    if abs(scale) > 1e290 or 0 < abs(scale) < 1e-290 or not math.isfinite(zero):
+        odd = np.ones(len(x), bool)
+    for k in np.flatnonzero(odd).tolist():
+        a, b, c = float(x[k]), float(scale), float(zero)
+        try:
+            r[k] = math.fma(a, b, c)
+        except (OverflowError, ValueError):
+            r[k] = a * b + c
+    return r
+
+
 def unquantize(q: np.ndarray, scale: float, zero: float, method: str = NONE, tile: int = 0, seed: int = 1, blank: int | None = None) -> np.ndarray:
     """One rounding for q * scale + zero; with dithering q - r + 0.5 takes q's place."""
     x = q.astype(np.float64)
     if method != NONE:
         x = x - offsets(len(q), tile, seed) + 0.5
-    out = _fma(x, scale, zero).astype(np.float64) if len(x) else x
+    out = multiply_add(x, scale, zero)
     if blank is not None:
         out[q == blank] = np.nan
     if method == DITHER_2:

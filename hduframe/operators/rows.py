@@ -13,7 +13,8 @@ def with_index(df: DataFrame, order: list[str], path: str, name: str = "row_inde
     same ranges; only the ranges' sizes come to the driver.  Rows that are equal in ``order`` get places in any order."""
     spark = df.sparkSession
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed.select("*", F.spark_partition_id().alias("_range"), (F.monotonically_increasing_id() % (1 << 33)).alias("_place")).write.mode("overwrite").parquet(path)
+    # the rows as one column, so that no name of theirs clashes
+    placed.select(F.struct("*").alias("row"), F.spark_partition_id().alias("_range"), (F.monotonically_increasing_id() % (1 << 33)).alias("_place")).write.mode("overwrite").parquet(path)
     back = spark.read.parquet(path)
     sizes = sorted(tuple(r) for r in back.groupBy("_range").count().collect())
     starts, at = [], 0
@@ -21,4 +22,5 @@ def with_index(df: DataFrame, order: list[str], path: str, name: str = "row_inde
         starts.append((k, at))
         at += n
     offsets = spark.createDataFrame(starts, "_range int, _start long")  # a row for each range
-    return back.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
+    place = (F.col("_start") + F.col("_place")).alias(name)
+    return back.join(F.broadcast(offsets), "_range").select(*(F.col("row")[c].alias(c) for c in df.columns if c.lower() != name.lower()), place)

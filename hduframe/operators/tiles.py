@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -244,29 +245,55 @@ def _integers(o: Options, payload: list, words: list, sizes: list[int]) -> list[
     return out
 
 
-def decompress(tiles: DataFrame, o: Options) -> DataFrame:
-    """hdu_index, tile_index, origin, dims (from 0) and values of each tile; a map without a shuffle."""
+def decompress(tiles: DataFrame, o: Options, by_file: bool = False) -> DataFrame:
+    """path, hdu_index, tile_index, origin, dims, axes (from 0) and values of each tile; a map without a shuffle.
+
+    o is what the header says; by_file: each file's header is read where its tiles are decoded, and o only gives the values' type."""
     one = BITPIX[o.bitpix][1]
-    schema = T.StructType([T.StructField("hdu_index", T.IntegerType()), T.StructField("tile_index", T.LongType()), T.StructField("origin", T.ArrayType(T.LongType())), T.StructField("dims", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(one))])
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("hdu_index", T.IntegerType()), T.StructField("tile_index", T.LongType()), T.StructField("origin", T.ArrayType(T.LongType())), T.StructField("dims", T.ArrayType(T.LongType())), T.StructField("axes", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(one))])
     element = arrow_type(one)
+    names = ["path", "hdu_index", "tile_index", "payload", "words", "raw", "zscale", "zzero", "zblank"]
+
+    def of_file(path: str, hdu: int, known: dict) -> Options:
+        if (path, hdu) not in known:
+            known.clear()  # a task's tiles come file by file
+            known[path, hdu], _ = compressed_options(path, hdu)
+            if known[path, hdu].bitpix != o.bitpix:
+                raise UnsupportedCompression(f"{path} has ZBITPIX {known[path, hdu].bitpix}, other files {o.bitpix}")
+        return known[path, hdu]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in _of_one_image(batch):
+                own = of_file(part.column("path")[0].as_py(), part.column("hdu_index")[0].as_py(), known) if by_file else o
+                part = part.filter(pa.compute.less(part.column("tile_index"), own.geometry.n_tiles))  # rows beyond the grid are no tiles
                 c = {n: part.column(n).to_pylist() for n in part.schema.names}
-                k = c["tile_index"]
-                values = decode_tiles(o, k, c["payload"], c["words"], c["raw"], c["zscale"], c["zzero"], c["zblank"])
-                yield pa.RecordBatch.from_arrays([part.column("hdu_index"), part.column("tile_index"), pa.array([o.geometry.origin(i) for i in k], pa.list_(pa.int64())), pa.array([o.geometry.dims(i) for i in k], pa.list_(pa.int64())), pa.array(values, pa.list_(element))], names=schema.names)
+                k, g = c["tile_index"], own.geometry
+                values = decode_tiles(own, k, c["payload"], c["words"], c["raw"], c["zscale"], c["zzero"], c["zblank"])
+                places = [pa.array(x, pa.list_(pa.int64())) for x in ([g.origin(i) for i in k], [g.dims(i) for i in k], [g.axes] * len(k))]
+                yield pa.RecordBatch.from_arrays([part.column("path"), part.column("hdu_index"), part.column("tile_index"), *places, pa.array(values, pa.list_(element))], names=schema.names)
 
     ship(tiles.sparkSession)
-    picked = tiles.where(F.col("tile_index") < o.geometry.n_tiles)  # rows beyond the grid are no tiles
-    return picked.select("hdu_index", "tile_index", "payload", "words", "raw", "zscale", "zzero", "zblank").mapInArrow(run, schema)
+    return tiles.select(*names).mapInArrow(run, schema)
+
+
+def _of_one_image(batch: pa.RecordBatch, most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that are of one file and HDU each."""
+    new = [True, *((a != b) for a, b in zip(batch.column("path")[:-1], batch.column("path")[1:], strict=True))] if batch.num_rows else []
+    hdu = batch.column("hdu_index").to_pylist()
+    edges = [k for k in range(batch.num_rows) if new[k] or hdu[k] != hdu[k - 1]] + [batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        for at in range(a, b, most):
+            yield batch.slice(at, min(most, b - at))
 
 
 def compressed_options(path: str, hdu: int | None = None, extname: str | None = None) -> tuple[Options, int]:
-    """The options and the HDU's number, read on the driver from one header."""
-    source = Source(files(path)[0])
+    """The options and the HDU's number, from the header of a file, or the first of a folder."""
+    found = files(path)
+    if not found:
+        raise UnsupportedCompression(f"no files in {path}")
+    source = Source(found[0])
     h = next((x for x in index(source) if x.zimage), None) if hdu is None and extname is None else find(source, hdu, extname)
     if h is None or not h.zimage:
         raise UnsupportedCompression(f"no compressed image in {path}")
@@ -277,17 +304,25 @@ def compressed_options(path: str, hdu: int | None = None, extname: str | None =
 
 
 def read_compressed(spark: SparkSession, path: str, hdu: int | None = None, extname: str | None = None) -> DataFrame:
-    """The decoded tiles of a compressed image."""
+    """The decoded tiles of a compressed image, or of the images of all files of a folder (with hdu or extname that one of each, else each file's
+    first compressed image); files may differ in all but ZBITPIX."""
     from ..sources.fits_source import read
 
-    o, k = compressed_options(path, hdu, extname)
-    return decompress(read(spark, path, mode="tiles", hdu=k), o)
+    o, _ = compressed_options(path, hdu, extname)
+    which = {"hdu": hdu} if hdu is not None else {"extname": extname} if extname is not None else {}
+    return decompress(read(spark, path, mode="tiles", **which), o, by_file=True)
 
 
-def tile_pixels(tiles: DataFrame, g: Geometry) -> DataFrame:
-    """pixel_index and value of all pixels, from decoded tiles; a map as well."""
-    each = tiles.select("tile_index", F.posexplode("values").alias("pos", "value"))
-    return each.select(g.pixel_expr(F.col("tile_index"), F.col("pos").cast("long")).alias("pixel_index"), "value")
+def tile_pixels(tiles: DataFrame, g: Geometry | None = None) -> DataFrame:
+    """pixel_index and value of all pixels, from decoded tiles; a map as well.  Without g the tiles' own places are taken, so that
+    images may differ, and their path is kept."""
+    if g:
+        each = tiles.select("tile_index", F.posexplode("values").alias("pos", "value"))
+        return each.select(g.pixel_expr(F.col("tile_index"), F.col("pos").cast("long")).alias("pixel_index"), "value")
+    each = tiles.select("path", "origin", "dims", "axes", F.posexplode("values").alias("pos", "value"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.col("pos").cast("long").alias("rest"), F.lit(1).cast("long").alias("stride"))
+    step = lambda a, p: F.struct((a["at"] + (p["origin"] + a["rest"] % p["dims"]) * a["stride"]).alias("at"), whole(a["rest"], p["dims"]).alias("rest"), (a["stride"] * p["axes"]).alias("stride"))
+    return each.select("path", F.aggregate(F.arrays_zip("origin", "dims", "axes"), start, step)["at"].alias("pixel_index"), "value")
 
 
 def cut(rows: DataFrame, g: Geometry) -> DataFrame:
@@ -408,7 +443,7 @@ def write_compressed(rows: DataFrame, path: str, code: int, axes: list[int], how
     done = encode_tiles(cut(rows, o.geometry), o, how.quantize)
     ordered = done.repartitionByRange("tile_index").sortWithinPartitions("tile_index").drop("tile_index")
     cards = [(c.name, c.value, c.comment) for c in z_cards(o, quantized)]
-    write(ordered, path, single=True, checksum=checksum, tforms="COMPRESSED_DATA=1PB", cards=cards)
+    write(ordered, path, single=True, checksum=checksum, tforms="COMPRESSED_DATA=1PB", longest=True, cards=cards)
     return o
 
 

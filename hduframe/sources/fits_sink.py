@@ -1,10 +1,11 @@
 """Writing FITS: by default a folder with whole files, some for each task; with ``single`` one file.
 
 Options: hdu (bintable, ascii, image), extname, checksum, single, tforms (``name=8A;other=1PJ``), axes and bitpix (image; axis
-1 first), primary (image: in the first HDU), cards (a list of (name, value, comment) as JSON), fileBytes.
+1 first), primary (image: in the first HDU), cards (a list of (name, value, comment) as JSON), fileBytes, longest (TFORMs of
+variable-length columns name the longest cell).
 Tasks write below a folder beside the target; the commit moves whole files into place.  For ``single`` and images the commit
-copies the tasks' parts one behind the other, a block at a time, and moves the heaps' addresses on; checksums of
-parts are summed up by the tasks and only combined.  Images need the columns row_index and values; parts are ordered by
+copies the tasks' parts one behind the other, once, a block at a time, and moves the heaps' addresses on; checksums are those of the parts, summed up
+by the tasks as they write, turned to where the parts come to lie, with what the moved addresses add.  Images need the columns row_index and values; parts are ordered by
 the first row_index of each, so rows must be sorted by it over all partitions.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from ..errors import InvalidTable, SizeMismatch
-from ..functions.checksum import Checksum, checksum, stamp
+from ..functions.checksum import Checksum, checksum, combine, fold, stamp, turned
 from .cards import Card, Header
 from .encode import BITPIX_OF, ascii_header, bintable_header, empty_primary, encode_ascii, encode_pixels, encode_rows, image_header
 from .layout import filesystem, padded
@@ -43,6 +44,8 @@ class Piece:
     nrows: int
     body: int
     heap: int
+    sums: tuple[int, int] = (0, 0)  # checksums of rows and heap
+    most: tuple[int, ...] = ()  # of each variable-length column the elements of the longest cell
 
 
 @dataclass
@@ -73,6 +76,14 @@ class FitsWriter(DataSourceArrowWriter):
             self.forms = [parse_ascii(named.get(f.name) or (f.metadata or {}).get("tform")) for f in schema.fields]
         else:
             self.forms = [for_spark(f.dataType, named.get(f.name) or (f.metadata or {}).get("tform")) for f in schema.fields]
+        #: Of a binary table: where the descriptors of variable-length columns lie in a row, and a row's bytes.
+        self.places: list[tuple[int, Binary]] = []
+        self.width = 0
+        if self.kind == "bintable":
+            for f in self.forms:
+                if f.of:
+                    self.places.append((self.width, f))
+                self.width += f.size
 
     # ---- on executors
 
@@ -86,17 +97,19 @@ class FitsWriter(DataSourceArrowWriter):
         rows: list[bytes] = []
         heap: list[bytes] = []
         size = heap_size = n = 0
+        sums, most = (Checksum(), Checksum()), np.zeros(len(self.places), np.int64)
 
         def close() -> None:
-            nonlocal rows, heap, size, heap_size, n, k, first
+            nonlocal rows, heap, size, heap_size, n, k, first, sums, most
             if self.single:
                 body.close()
                 tail.close()
             else:
                 with fs.open_output_stream(f"{name}-{k}.fits") as out:
-                    self._file(out, n, b"".join(rows), b"".join(heap))
-            done.pieces.append(Piece(f"{name}-{k}" + ("" if self.single else ".fits"), first, n, size, heap_size))
+                    self._file(out, n, b"".join(rows), b"".join(heap), most)
+            done.pieces.append(Piece(f"{name}-{k}" + ("" if self.single else ".fits"), first, n, size, heap_size, (sums[0].finish(), sums[1].finish()), tuple(most.tolist())))
             rows, heap, size, heap_size, n, first = [], [], 0, 0, 0, -1
+            sums, most = (Checksum(), Checksum()), np.zeros(len(self.places), np.int64)
             k += 1
 
         if self.single:  # parts go to files as they come
@@ -114,9 +127,15 @@ class FitsWriter(DataSourceArrowWriter):
             else:
                 matrix, more = encode_rows(batch, self.forms, heap_size)
                 raw = matrix.tobytes()
+                for j, (at, f) in enumerate(self.places):
+                    lengths = np.ascontiguousarray(matrix[:, at : at + f.size]).view(NUMPY[f.code])[:, 0]
+                    most[j] = max(most[j], int(lengths.max(initial=0)))
             if self.single:
                 body.write(raw)
                 tail.write(more)
+                if self.sums:
+                    sums[0].update(raw)
+                    sums[1].update(more)
             else:
                 rows.append(raw)
                 heap.append(more)
@@ -127,19 +146,23 @@ class FitsWriter(DataSourceArrowWriter):
             close()
         return done
 
-    def _header(self, n: int, heap: int) -> Header:
+    def _header(self, n: int, heap: int, most=()) -> Header:
         name, extra = self.options.get("extname"), cards_of(self.options)
         if self.kind == "image":
             return image_header(self.bitpix, self.axes, self.options.get("primary", "false").lower() == "true", name, extra)
         if self.kind == "ascii":
             return ascii_header(self.table.fields, self.forms, n, name, extra)
-        return bintable_header(self.table.fields, self.forms, n, heap, name, extra)
+        forms = list(self.forms)
+        if self.options.get("longest", "false").lower() == "true":
+            longest = iter(most)
+            forms = [replace(f, most=int(next(longest))) if f.of else f for f in forms]
+        return bintable_header(self.table.fields, forms, n, heap, name, extra)
 
-    def _file(self, out, n: int, rows: bytes, heap: bytes) -> None:
+    def _file(self, out, n: int, rows: bytes, heap: bytes, most=()) -> None:
         data = rows + heap
         data = data.ljust(padded(len(data)), b" " if self.kind == "ascii" else b"\0")
         out.write(primary(self.sums))
-        h = self._header(n, len(heap))
+        h = self._header(n, len(heap), most)
         out.write((stamp(h, checksum(data)) if self.sums else h).to_bytes())
         out.write(data)
 
@@ -178,27 +201,34 @@ class FitsWriter(DataSourceArrowWriter):
         is_primary = self.kind == "image" and self.options.get("primary", "false").lower() == "true"
         if not is_primary:
             out.write(primary(self.sums))
-        h = self._header(n, heap)
+        h = self._header(n, heap, np.max([p.most for p in pieces], axis=0) if pieces else np.zeros(len(self.places), np.int64))
         if self.sums:
-            total = Checksum()
-            for raw in self._parts(fs, pieces):
-                total.update(raw)
-            h = stamp(h, total.update(pad).finish())
+            h = stamp(h, self._datasum(pieces, pad))
         out.write(h.to_bytes())
         for raw in self._parts(fs, pieces):
             out.write(raw)
         out.write(pad)
 
+    def _datasum(self, pieces: list[Piece], pad: bytes) -> int:
+        """Of the parts' own sums, without a look at their bytes."""
+        total, at, base, row = 0, 0, 0, 0
+        for p in pieces:
+            total = combine(total, turned(p.sums[0], at))
+            # every address of the part is moved on by ``base``, at places that turn with the rows, four rows to a round
+            for place, f in self.places:
+                for k in range(min(4, p.nrows)):
+                    times = -(-(p.nrows - k) // 4)
+                    end = (row + k) * self.width + place + f.size  # an address is the last half of its descriptor
+                    total = combine(total, turned(fold(base * times), end))
+            at, base, row = at + p.body, base + p.heap, row + p.nrows
+        for p in pieces:
+            total = combine(total, turned(p.sums[1], at))
+            at += p.heap
+        return combine(total, checksum(pad, at))
+
     def _parts(self, fs, pieces: list[Piece]) -> Iterator[bytes]:
         """All rows, their addresses moved on by the heaps of the pieces before, then all heaps."""
-        places = []
-        if self.kind == "bintable":
-            at = 0
-            for f in self.forms:
-                if f.of:
-                    places.append((at, f))
-                at += f.size
-            width = at
+        places, width = self.places, self.width
         base = 0
         for p in pieces:
             with fs.open_input_stream(p.path) as part:

@@ -184,13 +184,18 @@ def datasum(source: Source, h: Hdu, chunk: int = 1 << 20) -> int:
 
 
 class PushingReader(Reader):
-    """Takes comparisons of the row's number, so that ranges without such rows aren't read."""
+    """Takes comparisons of the row's number, so that ranges without such rows aren't read.
 
-    INDEXES = ("_row_index", "row_index", "tile_index")
+    The number has a name of its own in each mode; a table's own columns, whatever they are called, are values and aren't taken."""
+
+    INDEXES = {"table": "_row_index", "rows": "row_index", "tiles": "tile_index"}
 
     def pushFilters(self, filters: list[Filter]):
+        name = self.INDEXES.get(self.options.get("mode", "table"))
+        if name == "_row_index" and not flag(self.options, "rowindex"):
+            name = None
         for f in filters:
-            if getattr(f, "attribute", ())[-1:] and f.attribute[-1] in self.INDEXES:
+            if name and tuple(getattr(f, "attribute", ())) == (name,) and (isinstance(f, In) or isinstance(getattr(f, "value", None), int)):
                 if isinstance(f, EqualTo):
                     self.low, self.high = max(self.low, f.value), min(self.high, f.value + 1)
                 elif isinstance(f, GreaterThanOrEqual):
@@ -202,7 +207,7 @@ class PushingReader(Reader):
                 elif isinstance(f, LessThanOrEqual):
                     self.high = min(self.high, f.value + 1)
                 elif isinstance(f, In):
-                    self.only = [*f.value]
+                    self.only = [x for x in f.value if x is not None]
             yield f  # Spark looks at each row all the same
 
 
