@@ -244,34 +244,42 @@ class Wcs:
     def pixel_to_world(self, df: DataFrame, x: str, y: str, lon: str, lat: str) -> DataFrame:
         """Adds longitude in [0, 360) and latitude in degrees of a pixel counted from 1.
 
-        Each step is a column of its own, so that no step's expression is repeated in the next."""
+        Each step is a column of its own, so that no step's expression is repeated in the next; the given columns stand aside in one
+        meanwhile, so that none of theirs clashes."""
         dx, dy = F.col(x) - self.crpix[0], F.col(y) - self.crpix[1]
-        df = df.withColumns({"_u": (self.cd[0] * dx + self.cd[1] * dy) * (PI / 180), "_v": (self.cd[2] * dx + self.cd[3] * dy) * (PI / 180)})
-        phi, theta = self.projection()[1](F.col("_u"), F.col("_v"))
-        df = df.withColumns({"_phi": phi, "_theta": theta})
-        m, p, t = self._matrix(), F.col("_phi"), F.col("_theta")
-        df = df.withColumns({"_n0": F.cos(t) * F.cos(p), "_n1": F.cos(t) * F.sin(p), "_n2": F.sin(t)})
-        df = df.withColumns({f"_e{r}": m[r][0] * F.col("_n0") + m[r][1] * F.col("_n1") + m[r][2] * F.col("_n2") for r in range(3)})
-        e = [F.col(f"_e{r}") for r in range(3)]
-        df = df.withColumns({"_lon": F.degrees(F.atan2(e[1], e[0])), "_lat": F.degrees(F.atan2(e[2], F.sqrt(e[0] * e[0] + e[1] * e[1])))})
-        turned = F.when(F.col("_lon") < 0, F.col("_lon") + 360).otherwise(F.col("_lon"))
-        return df.withColumns({lon: F.when(turned >= 360, F.lit(0.0)).otherwise(turned), lat: F.col("_lat")}).drop("_u", "_v", "_phi", "_theta", "_n0", "_n1", "_n2", "_e0", "_e1", "_e2", "_lon", "_lat")
+        out = df.select(F.struct("*").alias("row"), ((self.cd[0] * dx + self.cd[1] * dy) * (PI / 180)).alias("u"), ((self.cd[2] * dx + self.cd[3] * dy) * (PI / 180)).alias("v"))
+        phi, theta = self.projection()[1](F.col("u"), F.col("v"))
+        out = out.select("row", phi.alias("phi"), theta.alias("theta"))
+        m, p, t = self._matrix(), F.col("phi"), F.col("theta")
+        out = out.select("row", (F.cos(t) * F.cos(p)).alias("n0"), (F.cos(t) * F.sin(p)).alias("n1"), F.sin(t).alias("n2"))
+        out = out.select("row", *((m[r][0] * F.col("n0") + m[r][1] * F.col("n1") + m[r][2] * F.col("n2")).alias(f"e{r}") for r in range(3)))
+        e = [F.col(f"e{r}") for r in range(3)]
+        out = out.select("row", F.degrees(F.atan2(e[1], e[0])).alias("lon"), F.degrees(F.atan2(e[2], F.sqrt(e[0] * e[0] + e[1] * e[1]))).alias("lat"))
+        turned = F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon"))
+        return _beside(df, out, {lon: F.when(turned >= 360, F.lit(0.0)).otherwise(turned), lat: F.col("lat")})
 
     def world_to_pixel(self, df: DataFrame, lon: str, lat: str, x: str, y: str) -> DataFrame:
         m = self._matrix()
-        df = df.withColumns({"_a": F.radians(lon), "_d": F.radians(lat)})
-        a, d = F.col("_a"), F.col("_d")
-        df = df.withColumns({"_e0": F.cos(d) * F.cos(a), "_e1": F.cos(d) * F.sin(a), "_e2": F.sin(d)})
-        df = df.withColumns({f"_n{k}": m[0][k] * F.col("_e0") + m[1][k] * F.col("_e1") + m[2][k] * F.col("_e2") for k in range(3)})
-        n = [F.col(f"_n{k}") for k in range(3)]
-        df = df.withColumns({"_theta": F.atan2(n[2], F.sqrt(n[0] * n[0] + n[1] * n[1])), "_phi": F.when((n[0] == 0) & (n[1] == 0), F.lit(0.0)).otherwise(F.atan2(n[1], n[0]))})
-        u, v = self.projection()[0](F.col("_phi"), F.col("_theta"))
-        df = df.withColumns({"_u": u * (180 / PI), "_v": v * (180 / PI)})
+        out = df.select(F.struct("*").alias("row"), F.radians(lon).alias("a"), F.radians(lat).alias("d"))
+        a, d = F.col("a"), F.col("d")
+        out = out.select("row", (F.cos(d) * F.cos(a)).alias("e0"), (F.cos(d) * F.sin(a)).alias("e1"), F.sin(d).alias("e2"))
+        out = out.select("row", *((m[0][k] * F.col("e0") + m[1][k] * F.col("e1") + m[2][k] * F.col("e2")).alias(f"n{k}") for k in range(3)))
+        n = [F.col(f"n{k}") for k in range(3)]
+        phi = F.when((n[0] == 0) & (n[1] == 0), F.lit(0.0)).otherwise(F.atan2(n[1], n[0]))
+        out = out.select("row", F.atan2(n[2], F.sqrt(n[0] * n[0] + n[1] * n[1])).alias("theta"), phi.alias("phi"))
+        u, v = self.projection()[0](F.col("phi"), F.col("theta"))
+        out = out.select("row", (u * (180 / PI)).alias("u"), (v * (180 / PI)).alias("v"))
         det = self.cd[0] * self.cd[3] - self.cd[1] * self.cd[2]
-        u, v, none = F.col("_u"), F.col("_v"), F.lit(None).cast("double")
+        u, v, none = F.col("u"), F.col("v"), F.lit(None).cast("double")
         px = (self.cd[3] * u - self.cd[1] * v) / det + self.crpix[0] if det else none
         py = (self.cd[0] * v - self.cd[2] * u) / det + self.crpix[1] if det else none
-        return df.withColumns({x: px, y: py}).drop("_a", "_d", "_e0", "_e1", "_e2", "_n0", "_n1", "_n2", "_theta", "_phi", "_u", "_v")
+        return _beside(df, out, {x: px, y: py})
+
+
+def _beside(df: DataFrame, out: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """The columns of df, taken from ``row``, and new ones; those of the same name are replaced."""
+    names = {n.lower() for n in new}
+    return out.select(*(F.col("row")[c].alias(c) for c in df.columns if c.lower() not in names), *(v.alias(n) for n, v in new.items()))
 
 
 def parse(h: Header) -> Wcs:

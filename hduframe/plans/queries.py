@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import cardexpr, scaling, wcs
+from ..functions import bits, cardexpr, scaling, wcs
 from ..functions.checksum import combine_expr, decode_expr, encode_checksums, words_checksum
 from ..operators import quantize as quant
+from ..operators.codecs import plio, rice
 from ..operators.rows import with_index
 from ..operators.tiles import Compress, Geometry, cut, encode_tiles, grid, read_compressed, tile_pixels, write_compressed
 from ..operators.tiles import check as options_for
@@ -203,7 +204,7 @@ def hdu_catalog(spark, sf_dir):
 @query("SELECT count(*) AS n, sum(s_suppkey)::BIGINT AS total FROM supplier")
 def find_extension(spark, sf_dir):
     path = scratch(spark, "two.fits")
-    FitsBuilder().bintable(table(spark, sf_dir, "nation").limit(3).select(F.lit(1).alias("x")), "A").bintable(table(spark, sf_dir, "supplier").select("s_suppkey"), "B").save(path)
+    FitsBuilder().bintable(table(spark, sf_dir, "nation").select(F.lit(1).alias("x")), "A").bintable(table(spark, sf_dir, "supplier").select("s_suppkey"), "B").save(path)
     return read(spark, path, extname="B").agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("total"))
 
 
@@ -414,24 +415,30 @@ RICE_K = f"SELECT line, b, n, total, CASE WHEN total = 0 THEN -1 ELSE min(k) END
 
 
 def mapped(spark, sf_dir) -> DataFrame:
-    """Zig-zag mapped differences along lines, by built-in functions."""
+    """Zig-zag mapped differences along lines."""
     li = table(spark, sf_dir, "lineitem").select(*ORDER)
     n = with_index(li, ORDER, scratch(spark, "ranked"), "n")
     whole = li.count() // WIDTH * WIDTH
     lines = n.where(F.col("n") < whole).select(F.floor(F.col("n") / WIDTH).cast("long").alias("line"), (F.col("n") % WIDTH).alias("x"), F.col("l_partkey").alias("v"))
     d = F.col("v") - F.coalesce(F.lag("v").over(W.partitionBy("line").orderBy("x")), F.col("v"))
-    return lines.select("line", "x", F.floor(F.col("x") / 32).cast("long").alias("b"), F.when(d >= 0, 2 * d).otherwise(-2 * d - 1).alias("u"))
+    return lines.select("line", "x", F.floor(F.col("x") / 32).cast("long").alias("b"), bits.zigzag(d).alias("u"))
 
 
 def rice_k(u: DataFrame) -> DataFrame:
+    """The library's number of low bits for each block's sum, added up by it as the encoder does."""
+
+    def run(batches):
+        for batch in batches:
+            total, n = (batch.column(c).to_numpy() for c in ("total", "n"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rice.parameter(total, n, rice.parameters(4)[1]))], names=[*batch.schema.names, "k"])
+
     g = u.groupBy("line", "b").agg(F.count("*").alias("n"), F.sum("u").alias("total"))
-    k = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(25)), lambda k: (F.call_function("shiftright", F.col("total"), k) <= 2 * F.col("n")) | (k == 25)))
-    return g.withColumn("k", F.when(F.col("total") == 0, F.lit(-1)).otherwise(k))
+    return g.mapInArrow(run, "line long, b long, n long, total long, k long")
 
 
 @query(RICE_K)
 def rice_parameter(spark, sf_dir):
-    return rice_k(mapped(spark, sf_dir)).withColumn("k", F.col("k").cast("long"))
+    return rice_k(mapped(spark, sf_dir))
 
 
 @query(f"SELECT line AS tile_index, ((32 + sum(5 + CASE WHEN k < 0 THEN 0 WHEN k >= 25 THEN n * 32 ELSE bits END) + 7) // 8)::BIGINT AS n_bytes FROM (SELECT p.line, p.b, any_value(p.k) AS k, any_value(p.n) AS n, sum((m.u >> greatest(p.k, 0)::INT) + 1 + greatest(p.k, 0)) AS bits FROM ({RICE_K}) p JOIN ({MAPPED}) m ON p.line = m.line AND p.b = m.b GROUP BY p.line, p.b) GROUP BY line")
@@ -557,6 +564,102 @@ def unquantize_blank_zero(spark, sf_dir):
     return n.join(back, "row_index").select("l_orderkey", "l_linenumber", kind.alias("kind"))
 
 
+LONG_LINE = 10_000
+
+
+@query(f"SELECT n AS pixel_index, v AS value FROM (SELECT l_partkey::INT AS v, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS n, count(*) OVER () AS c FROM lineitem) WHERE n < c - c % least({LONG_LINE}, greatest(1, c // 2))")
+def rice_roundtrip_long_lines(spark, sf_dir):
+    """Tiles that are lines of 10,000 pixels."""
+    li = table(spark, sf_dir, "lineitem").select(*ORDER)
+    width = min(LONG_LINE, max(1, li.count() // 2))
+    lines = lines_of(li, ORDER, F.col("l_partkey").cast("int"), width)
+    n = lines.count()
+    path = scratch(spark, "long.fits")
+    write_compressed(lines, path, 32, [width, n], Compress("RICE_1"))
+    return tile_pixels(read_compressed(spark, path), Geometry((width, n), (width, 1)))
+
+
+@query("SELECT l_linenumber AS part, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_extendedprice) - 1 AS pixel_index, l_partkey::INT AS value FROM lineitem WHERE l_linenumber <= 3")
+def compressed_folder(spark, sf_dir):
+    """A folder of compressed images of other sizes, tiles and codecs, read at once."""
+    folder = scratch(spark, "folder")
+    hows = (Compress("RICE_1", (7,)), Compress("GZIP_2", (50,)), Compress("GZIP_1"))
+    for k, how in enumerate(hows, 1):
+        li = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == k).select(*ORDER)
+        n = li.count()
+        write_compressed(lines_of(li, ORDER, F.col("l_partkey").cast("int"), n), f"{folder}/part-{k}.fits", 32, [n], how)
+    pixels = tile_pixels(read_compressed(spark, folder))
+    return pixels.select(F.regexp_extract("path", r"part-(\d)", 1).cast("int").alias("part"), "pixel_index", "value")
+
+
+@query("SELECT 'COMPRESSED_DATA' AS name, '1PB(' || max(n_bytes) || ')' AS form FROM (" + ORACLE_SQL["rice_tile_bytes"] + ")")
+def compressed_longest_cell(spark, sf_dir):
+    """TFORM1 of a compressed image names its longest tile, in bytes."""
+    lines = lineitem_lines(spark, sf_dir, "cast(l_partkey AS int)")
+    path = scratch(spark, "most.fits")
+    write_compressed(lines, path, 32, [WIDTH, lines.count()])
+    cards = read(spark, path, mode="cards").where("hdu_index = 1")
+    return cards.agg(F.max(F.when(F.col("name") == "TTYPE1", F.col("v_str"))).alias("name"), F.max(F.when(F.col("name") == "TFORM1", F.col("v_str"))).alias("form"))
+
+
+# ---- headers ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT c_custkey AS k, c_custkey * 2 AS as_int, c_acctbal AS as_float, c_mktsegment AS as_string, c_custkey % 2 = 0 AS as_bool, true AS wrong_type, -1::BIGINT AS by_default, c_custkey + 0.0::DOUBLE AS int_as_float,
+ 'second' AS comment, 'CUSTKEY,BALANCE,SEGMENT,EVEN,HISTORY,ADDED' AS names, 6::BIGINT AS n FROM customer"""
+)
+def header_lookup(spark, sf_dir):
+    """For each customer a header: cards found whatever the case of the name, typed getters, a card replaced and one added, the names in order."""
+    from ..sources.cards import Card, Header
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, b, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = Header([Card("CUSTKEY", k, "first"), Card("BALANCE", b), Card("SEGMENT", s), Card("EVEN", k % 2 == 0), Card("HISTORY", None, "none")])
+                as_float = h.get_float("custkey")
+                h.set("custkey", 2 * k, "second")
+                h.set("ADDED", 1)
+                out.append((k, h.get_int("CustKey"), h.get_float("BALANCE"), h.get_string("SEGMENT"), h.get_bool("EVEN"), h.get_int("SEGMENT") is None, h.get_int("ABSENT", -1), as_float, h.find("CUSTKEY").comment, ",".join(c.name for c in h), len(h)))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.float64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    names = ["k", "as_int", "as_float", "as_string", "as_bool", "wrong_type", "by_default", "int_as_float", "comment", "names", "n"]
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long"), F.col("c_acctbal").cast("double"), "c_mktsegment")
+    return c.mapInArrow(run, "k long, as_int long, as_float double, as_string string, as_bool boolean, wrong_type boolean, by_default long, int_as_float double, comment string, names string, n long")
+
+
+@query("SELECT s_suppkey AS k, s_suppkey::DOUBLE AS re, s_acctbal AS im, round(s_acctbal / 3, 9) AS third, length(s_suppkey::VARCHAR)::BIGINT AS digits FROM supplier")
+def card_complex_and_floats(spark, sf_dir):
+    """Complex and floating-point cards, written with fifteen decimals of the mantissa and read again."""
+    from ..sources.cards import Card, format_card, parse_card
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pair, third, whole = (parse_card(format_card(Card("VALUE", v))[0]).value for v in ((float(k), b), b / 3, k))
+                out.append((k, *map(float, pair), round(third, 9), len(str(whole))))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["k", "re", "im", "third", "digits"])
+
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long"), F.col("s_acctbal").cast("double")).mapInArrow(run, "k long, re double, im double, third double, digits long")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 256 >= 128 THEN l_partkey % 256 - 256 ELSE l_partkey % 256 END::BIGINT AS low8, CASE WHEN l_partkey % 32 >= 16 THEN l_partkey % 32 - 32 ELSE l_partkey % 32 END::BIGINT AS low5 FROM lineitem")
+def sign_extension(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", bits.sign_extend("l_partkey", 8).alias("low8"), bits.sign_extend("l_partkey", 5).alias("low5"))
+
+
+@query("SELECT 'image' AS kind, 16::INT AS bitpix, 100::BIGINT AS width, (count(*) // 100)::BIGINT AS height, (count(*) // 100 * 200)::BIGINT AS data_bytes FROM lineitem")
+def image_metadata(spark, sf_dir):
+    """What a catalog says of an image without a look at its pixels."""
+    path, _ = image_file(spark, lineitem_lines(spark, sf_dir, "cast(l_partkey AS smallint)"), bitpix=16)
+    h = read(spark, path, mode="hdus").where("kind = 'image'")
+    return h.select("kind", "bitpix", F.col("axes")[0].alias("width"), F.col("axes")[1].alias("height"), "data_bytes")
+
+
 # ---- world coordinates --------------------------------------------------------------------------------------------
 
 
@@ -575,26 +678,81 @@ def wcs_tan_pixel_to_world(spark, sf_dir):
     return wcs.with_world(pixel_grid(spark), w, "px", "py").select("px", "py", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
 
 
+#: The published inverse projections in closed form, plane (x, y) to native longitude and latitude, all in radians; written here
+#: apart from the package's expressions.  Zenithal ones by their latitude, with r the distance from the origin; AZP and SZP at their defaults.
+R = "sqrt(x * x + y * y)"
+ZENITHAL_SQL = {
+    "TAN": f"atan2(1, {R})", "AZP": f"atan2(1, {R})", "SZP": f"atan2(1, {R})", "SIN": f"acos({R})", "ARC": f"pi() / 2 - {R}", "FEYE": f"pi() / 2 - {R}",
+    "ZEA": f"pi() / 2 - 2 * asin({R} / 2)", "STG": f"pi() / 2 - 2 * atan({R} / 2)",
+}
+Z = "sqrt(1 - x * x / 16 - y * y / 4)"
+CYLINDRICAL_SQL = {
+    "CAR": ("x", "y"), "MER": ("x", "2 * atan(exp(y)) - pi() / 2"), "CEA": ("x", "asin(y)"), "CYP": ("x", "2 * atan(y / 2)"), "SFL": ("x / cos(y)", "y"),
+    "PAR": ("x / (1 - 4 * (y / pi()) * (y / pi()))", "3 * asin(y / pi())"), "MOL": ("pi() * x / (2 * sqrt(2) * cos(asin(y / sqrt(2))))", "asin((2 * asin(y / sqrt(2)) + sin(2 * asin(y / sqrt(2)))) / pi())"),
+    "AIT": (f"2 * atan2({Z} * x / 2, 2 * {Z} * {Z} - 1)", f"asin(y * {Z})"), "HPX": ("x", "asin(8 * y / (3 * pi()))"),
+}
+#: Conics with both parallels at 45 degrees: the constant C, Y0, and the latitude for a radius.
+S45, PSI = "sin(pi() / 4)", "(cos(pi() / 4) / (sin(pi() / 4) * pow(tan(pi() / 8), sin(pi() / 4))))"
+CONIC_SQL = {
+    "COP": (S45, "1", "pi() / 4 + atan(1 - r)"), "COD": (S45, "1", "pi() / 4 + 1 - r"),
+    "COE": (S45, f"sqrt(1 + {S45} * {S45} - 2 * {S45} * {S45}) / {S45}", f"asin((1 + {S45} * {S45}) / (2 * {S45}) - {S45} * r * r / 2)"),
+    "COO": (S45, f"({PSI} * pow(tan(pi() / 8), {S45}))", f"pi() / 2 - 2 * atan(pow(r / {PSI}, 1 / {S45}))"),
+}
+PLANE = f"SELECT px, py, radians(-0.02 * (px - 50.5) + 0.004 * (py - 50.5)) AS x, radians(0.004 * (px - 50.5) + 0.02 * (py - 50.5)) AS y FROM ({GRID})"
+
+
+def _sky(native: str, alpha: float, pole: float, phi: float) -> str:
+    """Celestial from native coordinates, for a native pole at (alpha, pole) whose native longitude of the celestial pole is phi."""
+    p = f"phi - radians({phi})"
+    lat = f"asin(sin(theta) * sin(radians({pole})) + cos(theta) * cos(radians({pole})) * cos({p}))"
+    lon = f"{alpha} + degrees(atan2(-cos(theta) * sin({p}), sin(theta) * cos(radians({pole})) - cos(theta) * sin(radians({pole})) * cos({p})))"
+    return f"SELECT px, py, round(((({lon}) % 360) + 360) % 360, 7) AS lon, round(degrees({lat}), 7) AS lat, px AS x, py AS y FROM ({native})"
+
+
+def _wcs_sql(code: str) -> str:
+    """For CRVAL (150, 30): by the papers, the native pole lies at CRVAL for zenithal projections (LONPOLE 180), at (330, 60) for
+    cylindrical ones (LONPOLE 0), and at (150, 75) for conics about 45 degrees (LONPOLE 180)."""
+    if code == "NCP":
+        lon, lat = "150 + degrees(atan2(x, cos(radians(30)) - y * sin(radians(30))))", "acos(sqrt(x * x + pow(cos(radians(30)) - y * sin(radians(30)), 2)))"
+        return f"SELECT px, py, round({lon}, 7) AS lon, round(degrees({lat}), 7) AS lat, px AS x, py AS y FROM ({PLANE})"
+    if code == "AIR":  # the radius has no closed inverse: half the distance from the pole, by halving an interval
+        radius = "-2 * (ln(cos(m)) / tan(m) - tan(m) / 2)"
+        halving = f"b(px, py, x, y, low, high, k) AS (SELECT px, py, x, y, 0.0::DOUBLE, 0.5::DOUBLE, 0 FROM ({PLANE}) UNION ALL SELECT px, py, x, y, CASE WHEN {radius} < {R} THEN m ELSE low END, CASE WHEN {radius} < {R} THEN high ELSE m END, k + 1 FROM (SELECT *, (low + high) / 2 AS m FROM b WHERE k < 60))"
+        return f"WITH RECURSIVE {halving} " + _sky("SELECT px, py, atan2(x, -y) AS phi, pi() / 2 - (low + high) AS theta FROM b WHERE k = 60", 150, 30, 180)
+    if code in ZENITHAL_SQL:
+        return _sky(f"SELECT px, py, atan2(x, -y) AS phi, {ZENITHAL_SQL[code]} AS theta FROM ({PLANE})", 150, 30, 180)
+    if code in CYLINDRICAL_SQL:
+        phi, theta = CYLINDRICAL_SQL[code]
+        return _sky(f"SELECT px, py, {phi} AS phi, {theta} AS theta FROM ({PLANE})", 330, 60, 0)
+    c, y0, theta = CONIC_SQL[code]
+    at = f"SELECT px, py, atan2(x, {y0} - y) / {c} AS phi, sqrt(x * x + ({y0} - y) * ({y0} - y)) AS r FROM ({PLANE})"
+    return _sky(f"SELECT px, py, phi, {theta} AS theta FROM ({at})", 150, 75, 180)
+
+
 def _wcs(code):
     def run(spark, sf_dir):
         w = wcs.Wcs(code, (150.0, 30.0), (50.5, 50.5), (-0.02, 0.004, 0.004, 0.02))
         back = wcs.with_pixel(wcs.with_world(pixel_grid(spark), w, "px", "py"), w)
-        return back.select("px", "py", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+        return back.select("px", "py", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
-    query(f"SELECT px, py, px AS x, py AS y FROM ({GRID})", f"wcs_roundtrip_{code.lower()}")(run)
+    query(_wcs_sql(code), f"wcs_roundtrip_{code.lower()}")(run)
 
 
 for _code in wcs.CODES:
     _wcs(_code)
 
 
-@query(f"SELECT px, py, 0.0::DOUBLE AS dlon, 0.0::DOUBLE AS dlat FROM ({GRID})")
+ZEA_PLANE = f"SELECT px, py, radians(-0.008 * (px - 50) + 0.006 * (py - 50)) AS x, radians(0.006 * (px - 50) + 0.008 * (py - 50)) AS y FROM ({GRID})"
+ZEA_SKY = _sky(f"SELECT px, py, atan2(x, -y) AS phi, {ZENITHAL_SQL['ZEA']} AS theta FROM ({ZEA_PLANE})", 10, -45, 180)
+
+
+@query(f"SELECT px, py, lon AS pc_lon, lat AS pc_lat, lon AS cd_lon, lat AS cd_lat FROM ({ZEA_SKY})")
 def wcs_pc_cd_equivalence(spark, sf_dir):
     from ..sources.cards import Card, Header
 
     base = [Card("CTYPE1", "RA---ZEA"), Card("CTYPE2", "DEC--ZEA"), Card("CRVAL1", 10.0), Card("CRVAL2", -45.0), Card("CRPIX1", 50.0), Card("CRPIX2", 50.0)]
     pc = Header([*base, Card("CDELT1", -0.01), Card("CDELT2", 0.01), Card("PC1_1", 0.8), Card("PC1_2", -0.6), Card("PC2_1", 0.6), Card("PC2_2", 0.8)])
     cd = Header([*base, Card("CD1_1", -0.008), Card("CD1_2", 0.006), Card("CD2_1", 0.006), Card("CD2_2", 0.008)])
-    a = wcs.with_world(pixel_grid(spark), pc, "px", "py").withColumnsRenamed({"lon": "a", "lat": "b"})
-    both = wcs.with_world(a, cd, "px", "py")
-    return both.select("px", "py", F.abs(F.round(F.col("lon") - F.col("a"), 9)).alias("dlon"), F.abs(F.round(F.col("lat") - F.col("b"), 9)).alias("dlat"))
+    a = wcs.with_world(pixel_grid(spark), pc, "px", "py").withColumnsRenamed({"lon": "pc_lon", "lat": "pc_lat"})
+    both = wcs.with_world(a, cd, "px", "py").withColumnsRenamed({"lon": "cd_lon", "lat": "cd_lat"})
+    return both.select("px", "py", *(F.round(c, 7).alias(c) for c in ("pc_lon", "pc_lat", "cd_lon", "cd_lat")))
