@@ -34,7 +34,7 @@ def tables(df: DataFrame, schema: T.StructType, content: str = "content", path:
                     n = 1
                     for k in h.axes[1:]:
                         n *= k
-                    parts = read_image(source, h, 0, n, schema, "pixels" if "value" in schema.names else "rows")
+                    parts = read_image(source, h, 0, n * h.axes[0] if "value" in schema.names else n, schema, "pixels" if "value" in schema.names else "rows")
                 for part in parts:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows, pa.string()), *part.columns], names=[path, *schema.names])
 

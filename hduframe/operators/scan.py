@@ -31,8 +31,12 @@ def ranges(catalog: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
 def scan(catalog: DataFrame, schema: T.StructType, scale: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """path, hdu_index and the schema's columns of all HDUs of a catalog (filter it first); they must have these columns.
-    Images are read as lines, or as pixels if the schema has a column ``value``."""
+    Images are read as lines, or as pixels if the schema has a column ``value``; compressed images as tiles if it has ``payload`` (the schema of the
+    mode ``tiles``, TILES of the data source)."""
+    from .tiles import read_tiles
+
     ship(catalog.sparkSession)
+    schema = T.StructType([f for f in schema.fields if f.name != "path"])
     out = T.StructType([T.StructField("path", T.StringType()), *([] if "hdu_index" in schema.names else [T.StructField("hdu_index", T.IntegerType())]), *schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,10 +45,13 @@ def scan(catalog: DataFrame, schema: T.StructType, scale: bool = False, range_by
                 source = Source(path)
                 try:
                     h = find(source, k)
-                    if h.kind in ("table", "bintable"):
+                    if "payload" in schema.names:
+                        parts = read_tiles(source, h, path, first, last, schema)
+                    elif h.kind in ("table", "bintable"):
                         parts = read_table(source, h, first, last, schema, scale)
                     else:
-                        parts = read_image(source, h, first, last, schema, "pixels" if "value" in schema.names else "rows")
+                        each = h.axes[0] if "value" in schema.names else 1
+                        parts = read_image(source, h, first * each, last * each, schema, "pixels" if each > 1 or "value" in schema.names else "rows")
                     for part in parts:
                         head = [pa.array([path] * part.num_rows, pa.string())]
                         if "hdu_index" not in schema.names:

@@ -126,7 +126,8 @@ def decode_rows(rows: np.ndarray, cols: list[Column], heap: Heap | None, scale:
             out.append(_strings(_raw(rows, c.at, f)))
         elif f.code == "X" or f.code == "B" and f.repeat != 1 and not (scale and c.scaled):
             part = np.ascontiguousarray(rows[:, c.at : c.at + f.size]).tobytes()
-            out.append(pa.array([part[k * f.size : (k + 1) * f.size] for k in range(n)], pa.binary()))
+            offsets = (np.arange(n + 1) * f.size).astype(np.int32)
+            out.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(part)]))
         else:
             flat = _raw(rows, c.at, f)
             values = _scaled(flat, c) if scale and c.scaled and f.code in "BIJKED" else _values(flat, f.code)
@@ -239,36 +240,28 @@ def image_schema(h: Header, mode: str) -> T.StructType:
 
 
 def read_image(source: Source, hdu: Hdu, first: int, last: int, schema: T.StructType, mode: str, batch_bytes: int = 1 << 23):
-    """Record batches of the lines first to last - 1 along axis 1."""
+    """Record batches of lines along axis 1, or of single pixels in the mode pixels, first to last - 1."""
     h, axes = hdu.header, hdu.axes
-    code, line = h.require_int("BITPIX"), axes[0]
+    code, line = h.require_int("BITPIX"), axes[0] if mode == "rows" else 1
     width = abs(code) // 8
     skip = h.get_int("PCOUNT", 0) * width if not hdu.index else 0
     each = max(1, batch_bytes // max(1, line * width))
     types = [arrow_type(f.dataType) for f in schema.fields]
+    names = [f.name for f in schema.fields]
+    every = list(AXES[: len(axes)]) if len(axes) <= 3 else [f"axis{k}" for k in range(1, len(axes) + 1)]
     for a in range(first, last, each):
         n = min(each, last - a)
         raw = source.read(hdu.data_offset + skip + a * line * width, n * line * width)
         flat = pixels(raw, code)
-        rows = np.arange(a, a + n)
+        rest = np.arange(a, a + n)
+        got: dict[str, pa.Array] = {"hdu_index": pa.array(np.full(n, hdu.index, np.int32))}
         if mode == "pixels":
-            rows = np.repeat(rows, line)
-        got: dict[str, pa.Array] = {"hdu_index": pa.array(np.full(len(rows), hdu.index, np.int32))}
-        rest = rows
-        names = [f.name for f in schema.fields]
-        place = [x for x in names if x not in ("hdu_index", "row_index", "pixel_index", "values", "value")]
-        if mode == "pixels":
-            x = np.tile(np.arange(line), n)
-            got["pixel_index"] = pa.array(rows * line + x)
-            every = list(AXES[: len(axes)]) if len(axes) <= 3 else [f"axis{k}" for k in range(1, len(axes) + 1)]
-            got[every[0]] = pa.array(x + 1)
-            got["value"] = pa.array(flat)
+            got["pixel_index"], got["value"] = pa.array(rest), pa.array(flat)
         else:
-            every = list(AXES[: len(axes)]) if len(axes) <= 3 else [f"axis{k}" for k in range(1, len(axes) + 1)]
-            got["row_index"] = pa.array(rows)
-            got["values"] = _lists(pa.array(flat), n, line)
-        for k, x in enumerate(every[1:], 1):
-            if x in place:
-                got[x] = pa.array(rest % axes[k] + 1)
-            rest = rest // axes[k]
+            got["row_index"], got["values"] = pa.array(rest), _lists(pa.array(flat), n, line)
+        for k, x in enumerate(every):
+            if k or mode == "pixels":
+                if x in names:
+                    got[x] = pa.array(rest % axes[k] + 1)
+                rest = rest // axes[k]
         yield pa.RecordBatch.from_arrays([got[f.name].cast(t) for f, t in zip(schema.fields, types, strict=True)], names=names)

@@ -2,8 +2,11 @@
 
 Options of reading: mode (table, rows, pixels, hdus, cards, tiles), hdu or extname (else the first HDU with data), columns (a list
 by commas: others aren't decoded), scale (apply TSCAL/TZERO to binary tables), nullLogical (bytes of 0 are null, not false), rowIndex, strict (truncated extensions raise),
-verify (hdus: sum up the data), partitionBytes, pushdown (see ``read``).
-Headers are stepped through once when a scan is planned; data are cut into ranges of rows.
+verify (hdus: sum up the data), partitionBytes, pushdown (see ``read``), pathColumn (table, rows, pixels: a column of this name holds the file's path),
+permissive (hdus, cards: a file that can't be parsed gives a row with its error instead of ending the job).
+A scan is planned from a listing with sizes.  Of many files, those of up to WHOLE_FILE bytes are dealt to tasks whole, some for each, and the
+tasks step through their headers; only of few or large files the driver does, and cuts their data into ranges of rows (of pixels, in the mode pixels, so that
+an image of one long line is cut too).  Ranges grow with the input beyond MOST_PARTS.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ from ..errors import InvalidTable
 from ..functions.checksum import Checksum, datasum_status, verify_hdu
 from .cards import UNDEFINED
 from .decode import columns, image_schema, read_image, read_table, table_schema
-from .layout import Hdu, Source, files, find, index
+from .layout import Hdu, Source, files, find, index, sized_files
 from .tform import arrow_type
 
-HDUS = "path string, hdu_index int, kind string, extname string, bitpix int, axes array<bigint>, nrows bigint, ncols int, pcount bigint, gcount bigint, header_offset bigint, data_offset bigint, data_bytes bigint, zimage boolean, datasum_status string, checksum_ok boolean"
-CARDS = "path string, hdu_index int, card_index int, name string, value_type string, v_bool boolean, v_int bigint, v_float double, v_str string, v_re double, v_im double, comment string, raw string"
+HDUS = "path string, hdu_index int, kind string, extname string, bitpix int, axes array<bigint>, nrows bigint, ncols int, pcount bigint, gcount bigint, header_offset bigint, data_offset bigint, data_bytes bigint, zimage boolean, datasum_status string, checksum_ok boolean, error string"
+CARDS = "path string, hdu_index int, card_index int, name string, value_type string, v_bool boolean, v_int bigint, v_float double, v_str string, v_re double, v_im double, comment string, raw string, error string"
 TILES = "path string, hdu_index int, tile_index bigint, payload binary, words array<smallint>, raw binary, zscale double, zzero double, zblank int"
-PARTITION_BYTES, MOST_PARTS = 16 << 20, 4096
+PARTITION_BYTES, MOST_PARTS, FEW_FILES, WHOLE_FILE = 16 << 20, 100_000, 32, 256 << 20
 
 
 @dataclass
@@ -61,13 +64,16 @@ class FitsDataSource(DataSource):
         if self.mode in ("hdus", "cards", "tiles"):
             return {"hdus": HDUS, "cards": CARDS, "tiles": TILES}[self.mode]
         _, hdu = self._first()
+        own = [T.StructField(self.options["pathcolumn"], T.StringType())] if "pathcolumn" in self.options else []
         if self.mode in ("rows", "pixels"):
-            return image_schema(hdu.header, self.mode)
+            return T.StructType([*own, *image_schema(hdu.header, self.mode).fields])
         full = table_schema(hdu.header, flag(self.options, "scale"), flag(self.options, "rowindex"))
         if wanted := self.options.get("columns"):
             names = [c.strip().lower() for c in wanted.split(",")]
             full = T.StructType([f for f in full.fields if f.name.lower() in names or f.name == "_row_index"])
-        return full
+        if own and own[0].name in full.names:
+            raise InvalidTable(f"the table has a column {own[0].name}")
+        return T.StructType([*own, *full.fields])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return (PushingReader if flag(self.options, "pushdown") else Reader)(dict(self.options), schema)
@@ -84,60 +90,108 @@ class Reader(DataSourceReader):
         self.low, self.high, self.only = 0, 1 << 62, None
 
     def _size(self, h: Hdu) -> tuple[int, int]:
-        """Rows, and bytes of each, in which the data are cut."""
+        """Rows (or pixels), and bytes of each, in which the data are cut."""
         if h.kind in ("table", "bintable"):
             n = h.header.require_int("NAXIS2")
-            return n, max(1, h.data_bytes // n if n else 1)
-        axes, n = h.axes, 1
-        for k in axes[1:]:
-            n *= k
-        return n if axes else 0, max(1, h.data_bytes // n if n else 1)
+        else:
+            n = 1 if h.axes else 0
+            for k in h.axes[0 if self.mode == "pixels" else 1 :]:
+                n *= k
+        return n, max(1, h.data_bytes // n if n else 1)
+
+    @property
+    def mode(self) -> str:
+        return self.options.get("mode", "table")
+
+    def _find(self, source: Source) -> Hdu | None:
+        if self.mode == "tiles" and "hdu" not in self.options and "extname" not in self.options:
+            return next((x for x in index(source) if x.zimage), None)
+        return find(source, self.options.get("hdu"), self.options.get("extname"))
 
     def partitions(self) -> list[Part]:
-        mode, out = self.options.get("mode", "table"), []
-        found = files(self.options["path"])
-        if mode in ("hdus", "cards"):  # some files for each task
-            each = max(1, -(-len(found) // MOST_PARTS))
-            return [Part("\n".join(found[k : k + each]), -1, 0, 0) for k in range(0, len(found), each)] or [Part("", -2, 0, 0)]
-        for path in found:
+        found, out = sized_files(self.options["path"]), []
+        most = max(int(self.options.get("partitionbytes", PARTITION_BYTES)), -(-sum(size for _, size in found) // MOST_PARTS))
+        if self.mode in ("hdus", "cards"):  # some files for each task
+            each = max(1, -(-len(found) // 4096))
+            return [Part("\n".join(p for p, _ in found[k : k + each]), -1, 0, 0) for k in range(0, len(found), each)] or [Part("", -2, 0, 0)]
+        held: list[str] = []
+        room = most
+        for path, size in found:
+            if len(found) > FEW_FILES and size <= max(WHOLE_FILE, most):
+                if held and size > room:
+                    out.append(Part("\n".join(held), -3, 0, 1 << 62))
+                    held, room = [], most
+                held.append(path)
+                room -= size
+                continue
             source = Source(path)
-            if mode == "tiles" and "hdu" not in self.options and "extname" not in self.options:
-                h = next((x for x in index(source) if x.zimage), None)
-                if h is None:
-                    continue
-            else:
-                h = find(source, self.options.get("hdu"), self.options.get("extname"))
+            h = self._find(source)
+            if h is None:
+                continue
             n, width = self._size(h)
-            each = max(1, int(self.options.get("partitionbytes", PARTITION_BYTES)) // width)
+            each = max(1, most // width)
             for a in range(0, n, each):
                 b = min(n, a + each)
-                if a < self.high and b > self.low and (self.only is None or any(a <= x < b for x in self.only)):
+                if self._wanted(a, b):
                     out.append(Part(path, h.index, max(a, self.low), min(b, self.high)))
+            source.close()
+        if held:
+            out.append(Part("\n".join(held), -3, 0, 1 << 62))
         return out or [Part("", -2, 0, 0)]
 
+    def _wanted(self, a: int, b: int) -> bool:
+        return a < self.high and b > self.low and (self.only is None or any(a <= x < b for x in self.only))
+
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if part.hdu == -2:
             return
-        mode = self.options.get("mode", "table")
-        if mode in ("hdus", "cards"):
-            for path in part.path.split("\n"):
-                source = Source(path)
-                yield from (self._hdus if mode == "hdus" else self._cards)(source, path)
+        for path in part.path.split("\n"):
+            if self.mode in ("hdus", "cards"):
+                yield from self._headers(path)
+                continue
+            source = Source(path)
+            try:
+                if part.hdu == -3:  # a whole file
+                    h = self._find(source)
+                    if h is None:
+                        continue
+                    first, last = max(0, self.low), min(self._size(h)[0], self.high)
+                    if first >= last or not self._wanted(first, last):
+                        continue
+                else:
+                    h, first, last = find(source, part.hdu), part.first, part.last
+                if self.mode == "tiles":
+                    from ..operators.tiles import read_tiles
+
+                    yield from read_tiles(source, h, path, first, last, self.wanted)
+                elif h.kind in ("table", "bintable"):
+                    yield from self._with_path(path, lambda wanted, h=h, first=first, last=last, source=source: read_table(source, h, first, last, wanted, flag(self.options, "scale"), flag(self.options, "nulllogical")))
+                else:
+                    yield from self._with_path(path, lambda wanted, h=h, first=first, last=last, source=source: read_image(source, h, first, last, wanted, self.mode))
+            finally:
                 source.close()
+
+    def _with_path(self, path: str, batches) -> Iterator[pa.RecordBatch]:
+        """With the option pathColumn, batches with the file's path in a column of that name."""
+        name = self.options.get("pathcolumn")
+        if not name or name not in self.wanted.names:
+            yield from batches(self.wanted)
             return
-        source = Source(part.path)
+        for batch in batches(T.StructType([f for f in self.wanted.fields if f.name != name])):
+            yield pa.RecordBatch.from_arrays([pa.array([path] * batch.num_rows, pa.string()) if n == name else batch.column(n) for n in self.wanted.names], names=self.wanted.names)
+
+    def _headers(self, path: str) -> Iterator[pa.RecordBatch]:
         try:
-            h = find(source, part.hdu)
-            if mode == "tiles":
-                from ..operators.tiles import read_tiles
-
-                yield from read_tiles(source, h, part.path, part.first, part.last, self.wanted)
-            elif h.kind in ("table", "bintable"):
-                yield from read_table(source, h, part.first, part.last, self.wanted, flag(self.options, "scale"), flag(self.options, "nulllogical"))
-            else:
-                yield from read_image(source, h, part.first, part.last, self.wanted, mode)
-        finally:
-            source.close()
+            source = Source(path)
+            try:
+                batches = list((self._hdus if self.mode == "hdus" else self._cards)(source, path))
+            finally:
+                source.close()
+        except Exception as e:
+            if not flag(self.options, "permissive"):
+                raise
+            batches = list(self._batch([(path, *[None] * (len(self.wanted.names) - 2), f"{type(e).__name__}: {e}")]))
+        yield from batches
 
     def _batch(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
@@ -154,7 +208,7 @@ class Reader(DataSourceReader):
                 status = datasum_status(h.header, total)
                 ok = verify_hdu(source.read(h.header_offset, h.data_offset - h.header_offset), total) if h.header.find("CHECKSUM") else None
             head = h.header
-            rows.append((path, h.index, h.kind, h.extname, head.get_int("BITPIX"), h.axes, head.get_int("NAXIS2") if table else None, head.get_int("TFIELDS") if table else None, head.get_int("PCOUNT", 0), head.get_int("GCOUNT", 1), h.header_offset, h.data_offset, h.data_bytes, h.zimage, status, ok))
+            rows.append((path, h.index, h.kind, h.extname, head.get_int("BITPIX"), h.axes, head.get_int("NAXIS2") if table else None, head.get_int("TFIELDS") if table else None, head.get_int("PCOUNT", 0), head.get_int("GCOUNT", 1), h.header_offset, h.data_offset, h.data_bytes, h.zimage, status, ok, None))
         yield from self._batch(rows)
 
     def _cards(self, source: Source, path: str) -> Iterator[pa.RecordBatch]:
@@ -164,7 +218,7 @@ class Reader(DataSourceReader):
                 v = None if c.value is UNDEFINED else c.value
                 kind = c.value_type
                 pair = v if isinstance(v, tuple) else (None, None)
-                rows.append((path, h.index, k, c.name, kind, v if kind == "logical" else None, v if kind == "int" else None, v if kind == "float" else None, v if kind == "string" else None, *(float(x) if x is not None else None for x in pair), c.comment, c.raw))
+                rows.append((path, h.index, k, c.name, kind, v if kind == "logical" else None, v if kind == "int" else None, v if kind == "float" else None, v if kind == "string" else None, *(float(x) if x is not None else None for x in pair), c.comment, c.raw, None))
         yield from self._batch(rows)
 
 
@@ -188,7 +242,7 @@ class PushingReader(Reader):
 
     The number has a name of its own in each mode; a table's own columns, whatever they are called, are values and aren't taken."""
 
-    INDEXES = {"table": "_row_index", "rows": "row_index", "tiles": "tile_index"}
+    INDEXES = {"table": "_row_index", "rows": "row_index", "pixels": "pixel_index", "tiles": "tile_index"}
 
     def pushFilters(self, filters: list[Filter]):
         name = self.INDEXES.get(self.options.get("mode", "table"))

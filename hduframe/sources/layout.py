@@ -98,15 +98,20 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 def files(path: str) -> list[str]:
     """The file, or those of the folder in order; hidden ones and those that begin with _ are no data."""
+    return [name for name, _ in sized_files(path)]
+
+
+def sized_files(path: str) -> list[tuple[str, int]]:
+    """The same with their sizes in bytes, from one listing."""
     fs, name = filesystem(path)
     info = fs.get_file_info(name)
     if info.type == pafs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     if info.type == pafs.FileType.NotFound:
         raise InvalidFormat(f"no such file: {path}")
     found = fs.get_file_info(pafs.FileSelector(name, recursive=True))
     head = path[: len(path.rstrip("/")) - len(name.rstrip("/"))] if "://" in path or path.startswith("file:") else ""
-    return sorted(head + f.path for f in found if f.type == pafs.FileType.File and f.base_name[0] not in "._")
+    return sorted((head + f.path, f.size) for f in found if f.type == pafs.FileType.File and f.base_name[0] not in "._")
 
 
 def index(source: Source, strict: bool = False) -> Iterator[Hdu]:
