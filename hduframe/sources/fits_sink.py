@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -175,9 +175,11 @@ class FitsWriter(DataSourceArrowWriter):
         there = fs.get_file_info(path).type
         if there != pafs.FileType.NotFound and not self.overwrite and self.single:
             raise InvalidTable(f"{self.path} exists")
+        if self.options.get("parts", "false").lower() == "true":
+            with fs.open_output_stream(path) as out:  # for FitsBuilder, which joins them
+                out.write(json.dumps({"work": work, "pieces": [asdict(p) for p in pieces]}).encode())
+            return
         if self.single:
-            if self.kind == "image":
-                pieces = sorted((p for p in pieces if p.nrows), key=lambda p: p.first)
             own = f"{work}/whole"
             with fs.open_output_stream(own) as out:
                 self._join(fs, out, pieces)
@@ -192,14 +194,17 @@ class FitsWriter(DataSourceArrowWriter):
                 fs.move(p.path, f"{path}/{p.path.rsplit('/', 1)[1].removesuffix('.fits')}-{tag}.fits")
         fs.delete_dir(work)
 
-    def _join(self, fs, out, pieces: list[Piece]) -> None:
+    def _join(self, fs, out, pieces: list[Piece], begins: bool = True) -> None:
+        """One HDU of the pieces, behind an empty primary HDU if the file begins with it."""
+        if self.kind == "image":
+            pieces = sorted((p for p in pieces if p.nrows), key=lambda p: p.first)
         n, rows, heap = sum(p.nrows for p in pieces), sum(p.body for p in pieces), sum(p.heap for p in pieces)
         if self.kind == "image" and rows != (expected := int(np.prod(self.axes)) * abs(self.bitpix) // 8):
             raise SizeMismatch(f"pixels of {rows} bytes, the axes need {expected}")
         fill = b" " if self.kind == "ascii" else b"\0"
         pad = fill * (padded(rows + heap) - rows - heap)
         is_primary = self.kind == "image" and self.options.get("primary", "false").lower() == "true"
-        if not is_primary:
+        if begins and not is_primary:
             out.write(primary(self.sums))
         h = self._header(n, heap, np.max([p.most for p in pieces], axis=0) if pieces else np.zeros(len(self.places), np.int64))
         if self.sums:
@@ -275,10 +280,12 @@ def write(df: DataFrame, path: str, **options) -> None:
     from .fits_source import register
 
     register(df.sparkSession)
-    w = df.write.format("fits").mode("overwrite")
-    for k, v in options.items():
-        w = w.option(k, json.dumps(v) if isinstance(v, list) else str(v).lower() if isinstance(v, bool) else str(v))
-    w.save(path)
+    df.write.format("fits").mode("overwrite").options(**as_text(options)).save(path)
+
+
+def as_text(options: dict) -> dict[str, str]:
+    """Options as Spark takes them."""
+    return {k.lower(): json.dumps(v) if isinstance(v, list) else str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
 
 
 class FitsBuilder:
@@ -306,7 +313,7 @@ class FitsBuilder:
         return self
 
     def save(self, path: str, checksum: bool = False) -> None:
-        """Each HDU is written by its own job; then the HDUs are copied one behind the other."""
+        """Each HDU's parts are written by its own job; then all parts are copied, once, one HDU behind the other."""
         fs, name = filesystem(path)
         own = f"{name}.building-{uuid.uuid4().hex}"
         head = path[: len(path) - len(name)]
@@ -316,12 +323,12 @@ class FitsBuilder:
                 out.write(primary(checksum))
             for k, (df, options) in enumerate(self.parts):
                 part = f"{own}.{k}"
-                write(df, head + part, single=True, checksum=checksum, **options)
+                options = {"single": True, "parts": True, "checksum": checksum, **options}
+                write(df, head + part, **options)
                 with fs.open_input_stream(part) as src:
-                    if not options.get("primary"):
-                        src.read(len(primary(checksum)))
-                    while raw := src.read(CHUNK):
-                        out.write(raw)
+                    made = json.loads(src.read())
+                FitsWriter({"path": path, **as_text(options)}, df.schema, True)._join(fs, out, [Piece(**p) for p in made["pieces"]], begins=False)
+                fs.delete_dir(made["work"])
                 fs.delete_file(part)
         there = fs.get_file_info(name).type
         _remove(fs, name, there)
