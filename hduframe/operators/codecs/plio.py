@@ -12,42 +12,42 @@ from ...errors import CompressionError
 
 
 def decode(words: np.ndarray, n: int) -> np.ndarray:
-    w = [int(x) for x in np.asarray(words, np.int64)]
+    w = np.asarray(words, np.int64)
     out = np.zeros(n, np.int64)
     if len(w) < 4:
-        if n and w:
+        if n and len(w):
             raise CompressionError("a PLIO_1 tile without a header")
         return out
     if w[2] > 0:
-        length, k = w[2], 3
+        length, first = int(w[2]), 3
     else:
         if len(w) < 7:
             raise CompressionError("a PLIO_1 tile without a header")
-        length, k = (w[4] << 15) + w[3], w[1]
+        length, first = (int(w[4]) << 15) + int(w[3]), int(w[1])
     if length > len(w):
         raise CompressionError("a PLIO_1 tile ends too early")
-    at, high = 0, 1
-    while k < length and at < n:
-        op, data = w[k] >> 12 & 0xF, w[k] & 0xFFF
-        k += 1
-        if op == 0:
-            at += data
-        elif op == 1:
-            if k >= length:
-                raise CompressionError("a PLIO_1 tile ends too early")
-            high = (w[k] << 12) + data
-            k += 1
-        elif op in (2, 3):
-            high += data if op == 2 else -data
-        elif op == 4:
-            out[at : at + data] = high
-            at += data
-        elif op == 5:
-            at += data
-            if 0 < at <= n and data:
-                out[at - 1] = high
-        elif op in (6, 7):
-            high += data if op == 6 else -data
-            out[at] = high
-            at += 1
+    w = w[first:length]
+    op, data = w >> 12 & 0xF, w & 0xFFF
+    # the word behind a 1 is a value, whatever it looks like
+    value = np.zeros(len(w), bool)
+    for k in np.flatnonzero(op == 1).tolist():
+        if not value[k]:
+            value[k + 1 : k + 2] = True
+    behind = np.append(w[1:], 0)
+    at = np.flatnonzero(~value)
+    op, data, behind = op[at], data[at], behind[at]
+    step = np.where((op == 0) | (op == 4) | (op == 5), data, (op == 6) | (op == 7))
+    end = np.cumsum(step)
+    begin = end - step
+    if len(op) and op[-1] == 1 and at[-1] == len(w) - 1 and begin[-1] < n:
+        raise CompressionError("a PLIO_1 tile ends too early")
+    # the high value: from the last word that set it, with all that raised or lowered it since
+    moved = np.cumsum(np.where((op == 2) | (op == 6), data, 0) - np.where((op == 3) | (op == 7), data, 0))
+    last = np.maximum.accumulate(np.where(op == 1, np.arange(len(op)), -1)) if len(op) else op
+    high = np.where(last >= 0, (behind[last] << 12) + data[last] - moved[last], 1) + moved if len(op) else op
+    run = np.flatnonzero((op == 4) & (begin < n))
+    size = np.minimum(end[run], n) - begin[run]
+    out[np.repeat(begin[run] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))] = np.repeat(high[run], size)
+    one = (op == 5) & (data > 0) & (end <= n) | ((op == 6) | (op == 7)) & (begin < n)
+    out[end[one] - 1] = high[one]
     return out

@@ -139,3 +139,41 @@ def test_what_isn_t_written():
     for how, axes in ((Compress(), ()), (Compress(tile=(2,)), (4, 4))):
         with pytest.raises(CompressionError):
             check(how, 16, axes)
+
+
+def test_plio_word_by_word():
+    """Random words against a walk through them."""
+    r = np.random.default_rng(6)
+
+    def walk(w, n):
+        out, at, high, k = [0] * n, 0, 1, 7
+        while k < len(w) and at < n:
+            op, d = w[k] >> 12 & 15, w[k] & 4095
+            if op in (0, 4, 5):
+                for j in range(at, min(n, at + d)):
+                    out[j] = high if op == 4 or op == 5 and j == at + d - 1 else 0
+                at += d
+            elif op == 1:
+                k += 1
+                high = (w[k] << 12) + d
+            elif op in (2, 3, 6, 7):
+                high += d if op in (2, 6) else -d
+                if op > 5:
+                    out[at], at = high, at + 1
+            k += 1
+        return out
+
+    for trial in range(400):
+        ops = r.integers(0, 8, 12) << 12 | r.integers(0, 30, 12)
+        words = [0, 7, -100, 20, 0, 0, 0, *ops.tolist(), 0x4003]
+        n = int(r.integers(1, 200))
+        assert plio.decode(np.array(words), n).tolist() == walk(words, n), trial
+
+
+def test_plio_encoder_uses_every_opcode():
+    from hduframe.plans.queries import plio_words
+
+    r = np.random.default_rng(7)
+    values = np.repeat(r.choice([0, 0, 1, 7, 300, 5000, 20000], 400), r.integers(1, 5, 400)).tolist()
+    words = plio_words(values)
+    assert plio.decode(np.array(words), len(values)).tolist() == values and {w >> 12 & 15 for w in words[7:]} >= set(range(8))
