@@ -583,17 +583,28 @@ def quantize_plain(spark, sf_dir):
     return tile_pixels(ints, o.geometry)
 
 
-@query("SELECT n // 100 AS line, true AS close FROM (SELECT row_number() OVER () - 1 AS n, count(*) OVER () AS c FROM lineitem) WHERE n < c - c % 100 GROUP BY 1")
+DITHERED = """WITH RECURSIVE s(k, seed) AS (SELECT 1, 16807::BIGINT UNION ALL SELECT k + 1, seed * 16807 % 2147483647 FROM s WHERE k < 10000),
+ t AS (SELECT list((seed / 2147483647.0::DOUBLE)::FLOAT ORDER BY k) AS t FROM s),
+ v AS (SELECT n // 100 AS line, n % 100 AS x, l_quantity::DOUBLE AS v FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS n, count(*) OVER () AS c FROM lineitem) WHERE n < c - c % 100),
+ m AS (SELECT line, CASE WHEN max(v) > min(v) THEN (max(v) - min(v)) / 262144 ELSE 1 END AS scale, sum(v) / 100 AS zero, any_value(floor(t[(line + 2) % 10000 + 1] * 500::FLOAT)::INT) AS first FROM v, t GROUP BY line),
+ d AS (SELECT line, x, t[first + x + 1]::DOUBLE AS r, (v - zero) / scale + t[first + x + 1]::DOUBLE - 0.5 AS q, scale, zero FROM v JOIN m USING (line), t),
+ i AS (SELECT *, trunc(q) + CASE WHEN abs(q - trunc(q)) >= 0.5 THEN sign(q) ELSE 0 END AS whole FROM d)
+ SELECT line * 100 + x AS pixel_index, whole::INT AS stored, round((whole - r + 0.5) * scale + zero, 6) AS value FROM i"""
+
+
+@query(DITHERED)
 def quantize_dither_error(spark, sf_dir):
-    lines = lineitem_lines(spark, sf_dir, "cast(l_extendedprice AS double)")
+    """Dithered integers as they are stored, by the standard's random numbers, and the floats that come back."""
+    from ..operators.tiles import compressed_options, decompress, with_options
+
+    lines = lineitem_lines(spark, sf_dir, "cast(l_quantity AS double)")
     n = lines.count()
     path = scratch(spark, "d.fits")
     write_compressed(lines, path, -64, [WIDTH, n], Compress("GZIP_2", None, 4.0, quant.DITHER_1, 3))
-    tiles = read_compressed(spark, path).select(F.col("tile_index").alias("line"), F.col("values").alias("back"))
-    scales = read(spark, path, mode="tiles").select(F.col("tile_index").alias("line"), "zscale")
-    both = lines.withColumnRenamed("row_index", "line").join(tiles, "line").join(scales, "line")
-    worst = F.array_max(F.zip_with("values", "back", lambda a, b: F.abs(a - b)))
-    return both.select("line", (worst <= F.col("zscale") * 0.5 + 1e-9).alias("close"))
+    o, k = compressed_options(path)
+    stored = tile_pixels(decompress(read(spark, path, mode="tiles", hdu=k), with_options(o, bitpix=32)), o.geometry)
+    back = tile_pixels(read_compressed(spark, path), o.geometry)
+    return stored.withColumnRenamed("value", "stored").join(back, "pixel_index").select("pixel_index", "stored", F.round("value", 6).alias("value"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'nan' WHEN l_linenumber = 2 THEN 'zero' ELSE 'value' END AS kind FROM lineitem")
