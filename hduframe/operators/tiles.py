@@ -385,6 +385,17 @@ def encode_integers(o: Options, tiles: list[np.ndarray], width: int) -> list[byt
     return [gz.encode(encode_pixels(t, code), width, o.codec == "GZIP_2") for t in tiles]
 
 
+def encode_values(o: Options, q: float | None, index: list[int], values: list[np.ndarray]) -> tuple[list[bytes], list[tuple[float, float]]]:
+    """The payloads of tiles and, for quantized floats, their scales and zeros."""
+    if o.integers:
+        return encode_integers(o, values, abs(o.bitpix) // 8), []
+    if q is None:
+        return [gz.encode(encode_pixels(v, o.bitpix), abs(o.bitpix) // 8, False) for v in values], []
+    pairs = [quant.scale_zero(v, q) for v in values]
+    ints = [quant.quantize(v, s, z, o.method, k, o.seed) for v, (s, z), k in zip(values, pairs, index, strict=True)]
+    return encode_integers(o, ints, 4), pairs
+
+
 def encode_tiles(tiles: DataFrame, o: Options, q: float | None) -> DataFrame:
     """tile_index, COMPRESSED_DATA and, for quantized floats, ZSCALE and ZZERO."""
     quantized = not o.integers and q is not None
@@ -402,16 +413,8 @@ def encode_tiles(tiles: DataFrame, o: Options, q: float | None) -> DataFrame:
                 ends = lists.offsets.to_numpy()
                 flat = lists.values.to_numpy(zero_copy_only=False)
                 values = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                out = [part.column("tile_index")]
-                if o.integers:
-                    payload = encode_integers(o, values, abs(o.bitpix) // 8)
-                elif not quantized:
-                    payload = [gz.encode(encode_pixels(v, o.bitpix), abs(o.bitpix) // 8, False) for v in values]
-                else:
-                    pairs = [quant.scale_zero(v, q) for v in values]
-                    ints = [quant.quantize(v, s, z, o.method, k, o.seed) for v, (s, z), k in zip(values, pairs, index, strict=True)]
-                    payload = encode_integers(o, ints, 4)
-                out.append(pa.array(payload, pa.binary()))
+                payload, pairs = encode_values(o, q, index, values)
+                out = [part.column("tile_index"), pa.array(payload, pa.binary())]
                 if quantized:
                     out += [pa.array([s for s, _ in pairs]), pa.array([z for _, z in pairs])]
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)

@@ -19,6 +19,7 @@ from ..functions import bits, cardexpr, scaling, wcs
 from ..functions.checksum import combine_expr, decode_expr, encode_checksums, words_checksum
 from ..operators import quantize as quant
 from ..operators.codecs import rice
+from ..operators.folders import compress_images, write_images
 from ..operators.rows import with_index
 from ..operators.tiles import Compress, Geometry, cut, encode_tiles, grid, read_compressed, tile_pixels, write_compressed
 from ..operators.tiles import check as options_for
@@ -659,6 +660,34 @@ def compressed_longest_cell(spark, sf_dir):
     return cards.agg(F.max(F.when(F.col("name") == "TTYPE1", F.col("v_str"))).alias("name"), F.max(F.when(F.col("name") == "TFORM1", F.col("v_str"))).alias("form"))
 
 
+FOLDER_PIXELS = "SELECT vec_id % 16 AS file, vec_id // 16 * len(embedding) + pos AS pixel_index, v::FLOAT::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings)"
+
+
+def image_folder(spark, sf_dir) -> str:
+    """Sixteen images, an embedding in each line, written by tasks."""
+    e = table(spark, sf_dir, "embeddings")
+    lines = e.select((F.col("vec_id") % 16).alias("file"), F.floor(F.col("vec_id") / 16).cast("long").alias("row_index"), F.col("embedding").cast("array<float>").alias("values"))
+    folder = scratch(spark, "images")
+    write_images(lines, folder, checksum=True).collect()  # a row for each file
+    return folder
+
+
+@query(FOLDER_PIXELS)
+def image_folder_scan(spark, sf_dir):
+    """All images of a folder, their pixels with the file's number."""
+    pixels = read(spark, image_folder(spark, sf_dir), mode="pixels", pathColumn="from")
+    return pixels.select(F.regexp_extract("from", r"(\d+)\.fits$", 1).cast("long").alias("file"), "pixel_index", F.col("value").cast("double").alias("value"))
+
+
+@query(FOLDER_PIXELS)
+def compressed_images_of_a_folder(spark, sf_dir):
+    """Each file compressed by the task that reads it, without loss, and all decoded again."""
+    source, folder = image_folder(spark, sf_dir), scratch(spark, "packed")
+    compress_images(spark, source, folder, Compress("GZIP_1", quantize=None), True).collect()  # a row for each file
+    pixels = tile_pixels(read_compressed(spark, folder))
+    return pixels.select(F.regexp_extract("path", r"(\d+)\.fits$", 1).cast("long").alias("file"), "pixel_index", F.col("value").cast("double").alias("value"))
+
+
 # ---- headers ------------------------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hduframe.functions import wcs
 from hduframe.operators import quantize as quant
 from hduframe.operators.codecs import rice
+from hduframe.operators.folders import compress_images, write_images
 from hduframe.operators.rows import with_index
 from hduframe.operators.scan import scan
 from hduframe.operators.tiles import Compress, read_compressed, tile_pixels, write_compressed
@@ -185,3 +186,42 @@ def test_names_do_not_clash(spark, tmp_path):
     assert (r._a, r._d, r._u, r._v, r.row) == (1, 2, 3, 4, "r") and abs(r.x - 5) < 1e-9 and abs(r.y - 6) < 1e-9
     rows = with_index(spark.createDataFrame([(2, "b"), (1, "a")], "_range int, row string"), ["_range"], f"{tmp_path}/w").collect()
     assert sorted((x._range, x.row, x.row_index) for x in rows) == [(1, "a", 0), (2, "b", 1)]
+
+
+@pytest.mark.parametrize("checksum", [False, True])
+def test_images_written_by_tasks(spark, tmp_path, checksum):
+    folder, want = f"file://{tmp_path}/images", {}
+    rows = []
+    for name, (w, h) in {"a": (4, 3), "b": (7, 1), "c": (1, 9), "d": (5, 40)}.items():
+        for y in range(h):
+            rows.append((name, y, [ord(name) * 100 + y * w + k for k in range(w)]))
+            want |= {(name, y * w + k): ord(name) * 100 + y * w + k for k in range(w)}
+    lines = spark.createDataFrame(rows, "file string, row_index long, values array<int>").repartition(5)
+    made = {r.path.rsplit("/", 1)[1]: r for r in write_images(lines, folder, checksum=checksum).collect()}
+    assert {n: r.lines for n, r in made.items()} == {"a.fits": 3, "b.fits": 1, "c.fits": 9, "d.fits": 40} and {r.bytes % 2880 for r in made.values()} == {0}
+    of = lambda rows, c: {(r[c].rsplit("/", 1)[1][0], r.pixel_index): r.value for r in rows}
+    assert of(read(spark, folder, mode="pixels", pathColumn="from").collect(), "from") == want
+    sums = read(spark, folder, mode="hdus", verify=True).collect()
+    assert {r.datasum_status for r in sums} == ({"ok"} if checksum else {"absent"}) and all(r.checksum_ok is (True if checksum else None) for r in sums)
+    for k, how in enumerate((Compress("RICE_1"), Compress("GZIP_2", (3, 2)), Compress("RICE_1", (1, 100)))):
+        to = f"file://{tmp_path}/packed{k}"
+        done = compress_images(spark, folder, to, how, checksum).collect()
+        assert len(done) == 4 and of(tile_pixels(read_compressed(spark, to)).collect(), "path") == want
+        sums = read(spark, to, mode="hdus", verify=True).where("hdu_index = 1").collect()
+        assert {r.datasum_status for r in sums} == ({"ok"} if checksum else {"absent"})
+    gap = spark.createDataFrame([("x", 0, [1]), ("x", 2, [3])], "file string, row_index long, values array<int>")
+    with pytest.raises(Exception, match="line 1"):
+        write_images(gap, f"file://{tmp_path}/gap").collect()
+
+
+def test_cubes_and_floats_compressed_by_tasks(spark, tmp_path):
+    """Tiles across planes, quantized as by the operator for one image."""
+    values = [[float(np.sin(k * 5 + j) * 100) for j in range(5)] for k in range(4 * 6)]
+    path, one = f"file://{tmp_path}/in/cube.fits", f"file://{tmp_path}/one.fits"
+    lines = spark.createDataFrame(list(enumerate(values)), "row_index long, values array<float>")
+    write(lines.coalesce(1), path, hdu="image", axes="5,4,6")
+    for how in (Compress("RICE_1", (3, 2, 4)), Compress("GZIP_1", (5, 4, 1), None)):
+        write_compressed(lines, one, -32, [5, 4, 6], how)
+        compress_images(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", how).collect()
+        a, b = (sorted((r.pixel_index, r.value) for r in tile_pixels(read_compressed(spark, p)).collect()) for p in (one, f"file://{tmp_path}/out"))
+        assert a == b and len(a) == 120
