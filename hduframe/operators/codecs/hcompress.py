@@ -26,13 +26,31 @@ def levels(n: int) -> int:
     return max(0, n - 1).bit_length()
 
 
+def _windows() -> tuple[np.ndarray, np.ndarray]:
+    """For each six bits the node that they begin with and the bits of its code; the codes cover all of them."""
+    value, length = np.zeros(64, np.uint8), np.zeros(64, np.int32)
+    for size, table in HUFFMAN.items():
+        for code, node in table.items():
+            first = code << (6 - size)
+            value[first : first + (1 << (6 - size))], length[first : first + (1 << (6 - size))] = node, size
+    return value, length
+
+
+_VALUE, _LENGTH = _windows()
+
+
 class Stream:
+    """Bits, and for each of them the node whose code would begin there and where the next one would."""
+
     def __init__(self, raw: bytes):
         self.bits = np.unpackbits(np.frombuffer(raw, np.uint8))
         self.at = 0
-        self.codes = [{} for _ in range(7)]
-        for size, table in HUFFMAN.items():
-            self.codes[size] = table
+        padded = np.append(self.bits, np.zeros(6, np.uint8))
+        six = np.zeros(len(self.bits), np.uint8)
+        for k in range(6):
+            six |= padded[k : k + len(self.bits)] << np.uint8(5 - k)
+        self.value = _VALUE[six].tobytes()
+        self.next = memoryview((np.arange(len(six)) + _LENGTH[six]).astype(np.int64))
 
     def take(self, n: int) -> int:
         if self.at + n > len(self.bits):
@@ -50,13 +68,18 @@ class Stream:
         self.at += 4 * n
         return (four @ np.array([8, 4, 2, 1], np.uint8)).astype(np.int64)
 
-    def node(self) -> int:
-        code = self.take(3)
-        for size in (3, 4, 5, 6):
-            if code in self.codes[size]:
-                return self.codes[size][code]
-            code = code << 1 | self.take(1)
-        raise CompressionError("no code of HCOMPRESS_1")
+    def nodes(self, n: int) -> np.ndarray:
+        out, at, value, following = bytearray(n), self.at, self.value, self.next
+        try:
+            for k in range(n):
+                out[k] = value[at]
+                at = following[at]
+        except IndexError as e:
+            raise CompressionError("an HCOMPRESS_1 tile ends too early") from e
+        if at > len(self.bits):
+            raise CompressionError("an HCOMPRESS_1 tile ends too early")
+        self.at = at
+        return np.frombuffer(bytes(out), np.uint8)
 
     def align(self) -> None:
         self.at = -(-self.at // 8) * 8
@@ -97,11 +120,11 @@ def quadrant(s: Stream, nx: int, ny: int, planes: int) -> np.ndarray:
         if kind == 0:
             nodes = s.nybbles(half[0] * half[1]).reshape(half)
         elif kind == 0xF:
-            nodes = np.full((1, 1), s.node())
+            nodes = s.nodes(1).astype(np.int64).reshape(1, 1)
             for x, y in sides[1:-1]:
                 nodes = spread(nodes, x, y).reshape(-1)
-                for k in np.flatnonzero(nodes)[::-1].tolist():
-                    nodes[k] = s.node()
+                there = np.flatnonzero(nodes)[::-1]
+                nodes[there] = s.nodes(len(there))
                 nodes = nodes.reshape(x, y)
         else:
             raise CompressionError(f"bit plane format {kind} of HCOMPRESS_1")
