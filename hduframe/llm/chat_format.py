@@ -8,7 +8,7 @@ A conversation is one row of the result, so its turns come together in one row b
 turn, then role, then text, and repeated rows stay.  Null texts and roles count as empty; a null conv_id is a
 conversation of its own.  Conversations that break the order of turns are formatted too, with ``valid`` false and
 ``bad_turn`` the place (from 0) of the first turn that the machine doesn't accept (the number of turns if it ends early; -1 if
-all is well).
+all is well).  Texts of any length are kept whole.  An empty table gives no rows; columns other than conv_id, turn, role and text aren't read.
 """
 
 from __future__ import annotations

@@ -1,8 +1,10 @@
 """Stupid-backoff scores of every document under n-gram counts of the whole corpus, computed as a partitioned hash join.
 
 S(w | context) = c(context w) / c(context) where the n-gram is in the table, else BACKOFF * S(w | shorter context), and
-c(w) / N for single words.  Tables hold the n-grams that occur LEAST times or more in the corpus; single words all.  Scores
-are natural logarithms summed over a document's words; contexts don't reach over its beginning.
+c(w) / N for single words.  Tables hold the n-grams that occur LEAST times or more in the corpus; single words all.  With LEAST = 2 an n-gram
+that comes once counts as absent: it is known from the scored document alone, and with it every text's own n-grams would be certain.  Scores
+are natural logarithms summed over a document's words, so that longer documents have lower ones; mean_score compares
+documents of different lengths.  Contexts don't reach over a document's beginning.
 
 n-grams are 64-bit hashes.  Documents are gathered into blocks; a block explodes its n-grams, adds up equal ones and
 sends them, sorted, to the shard that their hash names: a row for each block and shard, packed, instead of a row for each
@@ -12,8 +14,9 @@ Common n-grams reach a shard once for each block, so none is hot; the number of
 corpus, so that no task holds more than a bounded part.  Shards are dealt with in WAVES, one after another, so that only
 a part of all n-grams lies on disk at a time.  Nothing but the number of words goes to the driver.
 
-Null and empty texts have no words and get a score of 0 over 0 words; equal rows are scored alike, each for itself;
-words are runs without white space.  A null doc_id stays null.
+Null and empty texts have no words and get a score of 0 over 0 words; equal rows are scored alike, each for itself, and are counted
+each; words are runs without white space.  A null doc_id stays null.  A text longer than a block is a block of its own, read whole.  An empty
+table gives no rows; columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations

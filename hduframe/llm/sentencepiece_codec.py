@@ -7,7 +7,9 @@ and steps back where none is left; a bit field holds the positions from which no
 tried twice.  Pieces hold the space mark only in front, and some characters in no piece at all, so texts
 fall into chunks whose encodings are independent; chunks repeat, and a bounded cache holds their ids.
 
-Null and empty texts give no ids and decode to "".  Extra columns are kept; columns named like the results are replaced.
+Null and empty texts give no ids and decode to "".  Texts of any length are encoded whole, a long chunk in time in proportion to its length and
+without being kept in the cache.  Each row gets its own result, repeated rows equal ones; doc_id isn't looked at.  Extra columns are kept;
+columns named like the results are replaced.  An empty table gives no rows.
 """
 
 from __future__ import annotations

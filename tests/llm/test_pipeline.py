@@ -71,6 +71,30 @@ def test_stages(spark, tables):
     assert sorted(r.doc_id for r in cp.run(spark, path).select("doc_id").collect()) == sorted(kept["sentencepiece"])
 
 
+def test_rows_are_told_apart(spark, tmp_path):
+    """One id with two texts, repeated rows, null ids and texts, and columns that stages could use for themselves."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (None, c), (None, c), (None, None), (2, ""), (2, ""), (3, b + " more"), (4, "two words")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS).selectExpr("*", "0.9D AS score", "'mine' AS leaks", "7 AS key", "8 AS rows", "9 AS mine")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(cp.STAGES[:4]):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/out{k}")
+        docs = spark.read.parquet(f"{tmp_path}/out{k}")
+        assert docs.columns == [f.name for f in DOCS.fields] + ["score", "leaks", "key", "rows", "mine"]
+    want = [(1, a), (1, b), (None, c), (None, None), (2, ""), (2, ""), (4, "two words")]
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr) == sorted(want, key=repr)
+    assert {(r.score, r.leaks, r.key) for r in docs.collect()} == {(0.9, "mine", 7)}
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], DOCS).write.parquet(f"{empty}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{empty}/{name}.parquet")
+    assert cp.run(spark, str(empty)).count() == 0
+
+
 def test_what_is_registered():
     import __spark_entry__
 
