@@ -26,8 +26,9 @@ an empty benchmark finds nothing.  Words are lower-cased runs of letters, digits
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, Scratch, keep_fields, slices
+from .common import Scratch, keep_fields, slices
 
 WORDS = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
@@ -51,7 +52,7 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def ids_of(text: str | None, known) -> np.ndarray:
+def ids_of(text: str | None, numbers: Callable[[list[str]], Iterable[int]]) -> np.ndarray:
     """The number of each word, by part so that a very long text never is a list of strings."""
     text, at, out = (text or "").lower(), 0, [np.empty(0, np.int64)]
     while at < len(text):
@@ -59,9 +60,15 @@ def ids_of(text: str | None, known) -> np.ndarray:
         if end < len(text) and (m := WORDS.match(text, end)) and WORDS.match(text[end - 1]):
             end = m.end()  # not within a word
         words = WORDS.findall(text, at, end)
-        out.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+        out.append(np.fromiter(numbers(words), np.int64, len(words)))
         at = end
-    return np.concatenate(out)
+    return out[-1] if len(out) < 3 else np.concatenate(out)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
 def runs(words: list, size: int) -> set[tuple]:
@@ -112,13 +119,13 @@ class Index:
 
     def __init__(self, rows: list[tuple[int, str | None]], corpus: Callable[[list[str]], tuple[np.ndarray, int, int]] | None = None):
         self.vocabulary: dict[str, int] = {}
-        number = Cache(lambda w: self.vocabulary.setdefault(w, len(self.vocabulary)), 1 << 62, 1 << 62)
+        numbers = lambda words: (self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words)
         self.item_ids, self.cuts, flat, starts = [], [], [], [0]  # items with words
         for item_id, text in rows:
             last = next((w for w in map(words_of, reversed(SENTENCE.split(text or ""))) if w), None)
             if last is None:
                 continue
-            ids = ids_of(text, number).astype(np.int32)
+            ids = ids_of(text, numbers).astype(np.int32)
             n = len(ids)
             self.item_ids.append(item_id)
             self.cuts.append(n - len(last) if len(last) < n else max(1, 2 * n // 3))
@@ -147,9 +154,14 @@ class Index:
         start = np.flatnonzero(np.diff(at_block, prepend=-1))
         #: Block maxima in the order of terms and blocks: term * n_blocks + block; of each term the first of its own.
         self.block, self.block_most = at_block[start], np.maximum.reduceat(self.share, start) if n else np.empty(0, np.float32)
+        self.block_of = self.block % max(1, self.n_blocks)
         self.first = np.searchsorted(self.block, np.arange(n_terms + 1) * self.n_blocks)
         self.most = np.maximum.reduceat(self.block_most, self.first[:-1]) if n else np.empty(0, np.float32)
 
+    def numbers(self, words: list[str]) -> Iterable[int]:
+        """Of words; -1 for those that no item has."""
+        return map(self.vocabulary.get, words, repeat(-1))
+
     def item(self, k: int) -> Item:
         if k not in self.known:
             words = self.words[self.starts[k] : self.starts[k + 1]].tolist()
@@ -162,39 +174,69 @@ class Index:
     def retrieve(self, term: np.ndarray, piece: np.ndarray, n: int) -> list[tuple[int, int, float]]:
         """(first piece of the passage, segment, share) over the threshold; term and piece: known terms and the STEP words they lie in.
         A passage is a piece and the next one, for pieces up to n - 1; callers leave an empty piece between documents."""
-        low = np.float32(LEAST - 1e-4)
-        seen = np.unique(piece.astype(np.int64) * len(self.vocabulary) + term)
-        piece, term = seen // len(self.vocabulary), seen % len(self.vocabulary)
+        low, n_terms = np.float32(LEAST - 1e-4), len(self.vocabulary)
+        seen = distinct(piece.astype(np.int64) * n_terms + term)
+        piece, term = seen // n_terms, seen % n_terms
         bound = np.bincount(piece, self.most[term], n + 1)
         live = bound[:n] + bound[1 : n + 1] >= low  # passages that some segment could match
         # a row for each term of each live passage; a query term counts once
         rows = [(p[ok], term[ok]) for p in (piece, piece - 1) if (ok := (p >= 0) & (p < n) & live[np.clip(p, 0, n - 1)]).any()]
         if not rows:
             return []
-        key = np.unique(np.concatenate([p * len(self.vocabulary) + t for p, t in rows]))
-        passage, term = key // len(self.vocabulary), key % len(self.vocabulary)
+        key = distinct(np.concatenate([p * n_terms + t for p, t in rows]))
+        passage, term = key // n_terms, key % n_terms
         # of each passage the terms with the smallest maxima, while these stay under the threshold together, lead nowhere
         order = np.lexsort((self.most[term], passage))
-        total = np.cumsum(self.most[term[order]], dtype=np.float64)
+        most = self.most[term[order]].astype(np.float64)
+        total = np.cumsum(most)
         begin = np.flatnonzero(np.diff(passage, prepend=-1))
         n_terms = np.diff(np.append(begin, len(passage)))
-        total -= np.repeat(total[begin] - self.most[term[order][begin]], n_terms)
+        total -= np.repeat(total[begin] - most[begin], n_terms)
         leads = order[total >= low]
+        rest = np.zeros(n + 1)  # what the others of each passage can add
+        np.maximum.at(rest, passage[order[total < low]], total[total < low])
         of, at = spread(self.first[term[leads]], np.diff(self.first)[term[leads]])
-        found = np.unique(passage[leads][of] * self.n_blocks + self.block[at] % self.n_blocks)
+        # blocks that the leading terms name, without those in which their maxima and all the rest stay under the threshold
+        key = passage[leads][of] * self.n_blocks + self.block_of[at]
+        by_key = np.argsort(key, kind="stable")
+        key = key[by_key]
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        if not len(start):
+            return []
+        could = np.add.reduceat(self.block_most[at[by_key]].astype(np.float64), start) + rest[key[start] // self.n_blocks] >= low
+        found = key[start[could]]
         row_of = np.zeros(n + 1, np.int64)
         row_of[passage[begin]] = np.arange(len(begin))
-        out: list[tuple[int, int, float]] = []
+        # a passage's terms are added up over all of their blocks, or looked up for the named blocks, whichever are fewer
+        many = np.add.reduceat(np.diff(self.first)[term], begin)
+        named = np.bincount(row_of[found // self.n_blocks], minlength=len(begin))
+        over_all = many <= 4 * named * n_terms
+        rows, out = np.flatnonzero(over_all & (named > 0)), []
+        chunk = np.cumsum(np.maximum(many[rows], self.n_blocks)) >> 21
+        for r in np.split(rows, np.flatnonzero(np.diff(chunk)) + 1):
+            of, at = spread(begin[r], n_terms[r])
+            of_block, place = spread(self.first[term[at]], np.diff(self.first)[term[at]])
+            total = np.bincount(of[of_block] * self.n_blocks + self.block_of[place], self.block_most[place], len(r) * self.n_blocks)
+            hit = np.flatnonzero(total >= low)
+            out += self._scored(passage[begin[r]][hit // self.n_blocks], hit % self.n_blocks, term, begin, n_terms, row_of, low)
+        found = found[~over_all[row_of[found // self.n_blocks]]]
         for a in range(0, len(found), 1 << 14):
             p, block = found[a : a + (1 << 14)] // self.n_blocks, found[a : a + (1 << 14)] % self.n_blocks
             of, at = spread(begin[row_of[p]], n_terms[row_of[p]])
             ok = np.bincount(of, self._at(self.block, self.block_most, term[at] * self.n_blocks + block[of]), len(p)) >= low
-            p, block = np.repeat(p[ok], BLOCK), np.repeat(block[ok], BLOCK)
-            segment = block * BLOCK + np.tile(np.arange(BLOCK), int(ok.sum()))
-            of, at = spread(begin[row_of[p]], n_terms[row_of[p]])
-            share = np.bincount(of, self._at(self.place, self.share, term[at] * (self.n_blocks * BLOCK) + segment[of]), len(p))
+            out += self._scored(p[ok], block[ok], term, begin, n_terms, row_of, low)
+        return out
+
+    def _scored(self, p: np.ndarray, block: np.ndarray, term: np.ndarray, begin: np.ndarray, n_terms: np.ndarray, row_of: np.ndarray, low: float) -> list[tuple[int, int, float]]:
+        """The segments of some blocks that reach the threshold for their passages."""
+        out: list[tuple[int, int, float]] = []
+        for a in range(0, len(p), 1 << 11):
+            q = np.repeat(p[a : a + (1 << 11)], BLOCK)
+            segment = np.repeat(block[a : a + (1 << 11)] * BLOCK, BLOCK) + np.tile(np.arange(BLOCK), len(q) // BLOCK)
+            of, at = spread(begin[row_of[q]], n_terms[row_of[q]])
+            share = np.bincount(of, self._at(self.place, self.share, term[at] * (self.n_blocks * BLOCK) + segment[of]), len(q))
             hit = share >= low
-            out += zip(p[hit].tolist(), segment[hit].tolist(), share[hit].tolist(), strict=True)
+            out += zip(q[hit].tolist(), segment[hit].tolist(), share[hit].tolist(), strict=True)
         return out
 
     @staticmethod
@@ -273,9 +315,8 @@ def _scan(docs: DataFrame, shared, leaks: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        known = Cache(lambda w: index.vocabulary.get(w, -1))
         for part in slices(batches, 256):
-            words = [ids_of(t.as_py(), known) for t in part.column("text")]
+            words = [ids_of(t.as_py(), index.numbers) for t in part.column("text")]
             size = np.array([len(w) for w in words])
             pieces = -(-size // STEP) + 1  # and an empty one, so that no passage holds words of two texts
             first = np.concatenate([[0], np.cumsum(pieces)])

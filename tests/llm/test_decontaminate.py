@@ -58,7 +58,7 @@ def test_retrieval_against_brute_force(n_items):
     hits = 0
     for t in texts:
         w = dc.words_of(t)
-        known = dc.ids_of(t, dc.Cache(lambda x: index.vocabulary.get(x, -1)))
+        known = dc.ids_of(t, index.numbers)
         at = np.flatnonzero(known >= 0)
         n = -(-len(w) // dc.STEP) + 1
         got = {(p, s): x for p, s, x in index.retrieve(known[at], at // dc.STEP, n)}
@@ -127,12 +127,11 @@ def test_long_texts_in_parts(spark, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(items)), ITEMS)
     one = sorted(dc.leaked(spark, documents(spark, texts), bench).collect())
     assert [(x.doc_id, x.item_id) for x in one] == [(k // 2, j) for k in range(0, 28, 2) for j in (k, k + 1)]
-    known = dc.Cache(len)
     for size in (3, 17, 1000):
         monkeypatch.setattr(dc, "TEXT_PART", size)
-        assert dc.ids_of(texts[0], known).tolist() == [len(w) for w in dc.words_of(texts[0])]
+        assert dc.ids_of(texts[0], lambda words: map(len, words)).tolist() == [len(w) for w in dc.words_of(texts[0])]
     index = next(dc.indexes(spark, bench))
-    w = dc.ids_of(texts[3], dc.Cache(lambda x: index.vocabulary.get(x, -1)))
+    w = dc.ids_of(texts[3], index.numbers)
     assert len(w) > 4 * dc.STEP
     monkeypatch.setattr(dc, "WINDOW", 4)
 
@@ -194,7 +193,7 @@ def test_large_benchmark_is_one_small_index():
     assert sum(len(t) for _, t in items) < dc.SHARD_CHARS
     index = dc.Index(items)
     assert len(pickle.dumps(index)) < 150 << 20
-    w = dc.ids_of("before it " + items[77][1], dc.Cache(lambda x: index.vocabulary.get(x, -1)))
+    w = dc.ids_of("before it " + items[77][1], index.numbers)
     found = index.retrieve(w[w >= 0], np.flatnonzero(w >= 0) // dc.STEP, -(-len(w) // dc.STEP) + 1)
     assert {x["item_id"] for x in index.confirm(w, found, 0)} == {77}
 
