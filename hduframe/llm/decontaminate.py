@@ -43,7 +43,7 @@ SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 SEGMENT = STEP = 32
 LEAST, OVERLAP, RUN = 0.6, 0.5, 5
 LONG, ALIGN, SLACK = 14, 0.75, 2  # parts of LONG words have ten runs, of which one edit leaves half
-SHARD_CHARS, BLOCK = 24 << 20, 8
+SHARD_CHARS, BLOCK = 32 << 20, 8
 WINDOW, TEXT_PART = 8192, 1 << 20  # passages, and characters of a text, that are dealt with at a time
 K1, B = 1.2, 0.75
 
@@ -154,7 +154,7 @@ class Index:
         start = np.flatnonzero(np.diff(at_block, prepend=-1))
         #: Block maxima in the order of terms and blocks: term * n_blocks + block; of each term the first of its own.
         self.block, self.block_most = at_block[start], np.maximum.reduceat(self.share, start) if n else np.empty(0, np.float32)
-        self.block_of = self.block % max(1, self.n_blocks)
+        self.block_of = (self.block % max(1, self.n_blocks)).astype(np.int32)
         self.first = np.searchsorted(self.block, np.arange(n_terms + 1) * self.n_blocks)
         self.most = np.maximum.reduceat(self.block_most, self.first[:-1]) if n else np.empty(0, np.float32)
 
