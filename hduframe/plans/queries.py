@@ -376,10 +376,21 @@ def datasum_partial_combine(spark, sf_dir):
     return parts.agg(combine_expr("part").alias("datasum"))
 
 
-@query("SELECT o_orderkey, o_orderkey * 7919 AS value FROM orders")
+#: The standard's text of a checksum: each byte in quarters as four characters from '0' on, moved apart in pairs until none is
+#: punctuation; the bytes' characters interleaved and turned by one place.
+CHECKSUM_TEXT = """WITH b AS (SELECT o_orderkey, o_orderkey * 7919 AS value, unnest(range(4)) AS col FROM orders),
+ q AS (SELECT o_orderkey, value, col, (value >> (24 - 8 * col)::INT) & 255 AS x FROM b),
+ t AS (SELECT *, x // 4 + 48 AS q, x % 4 AS r, [58, 59, 60, 61, 62, 63, 64, 91, 92, 93, 94, 95, 96] AS p FROM q),
+ m AS (SELECT *, list_filter(range(16), lambda k: NOT list_contains(p, q + r + k) AND NOT list_contains(p, q - k))[1] AS one, list_filter(range(16), lambda k: NOT list_contains(p, q + k) AND NOT list_contains(p, q - k))[1] AS two FROM t),
+ c AS (SELECT o_orderkey, value, col, unnest(range(4)) AS place, unnest([q + r + one, q - one, q + two, q - two]) AS code FROM m)
+ SELECT o_orderkey, value, string_agg(chr(code::INT), '' ORDER BY (place * 4 + col + 1) % 16) AS text FROM c GROUP BY o_orderkey, value"""
+
+
+@query(CHECKSUM_TEXT)
 def checksum_decode(spark, sf_dir):
+    """Checksums as text, and as numbers again."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919).alias("v"))
-    return encode_checksums(o, "v", "t").select("o_orderkey", decode_expr("t").alias("value"))
+    return encode_checksums(o, "v", "text").select("o_orderkey", decode_expr("text").alias("value"), "text")
 
 
 @query("SELECT * FROM (VALUES ('good', 'ok', true), ('bad', 'mismatch', false)) t(file, status, valid)")
