@@ -357,6 +357,16 @@ def raster_u16(spark, sf_dir):
     return scaling.raster(read(spark, path, mode="pixels").select("pixel_index", "value"), 16, 0.25, 100.0).drop("value")
 
 
+@query(PIXELS.format("(2126 * (l_partkey % 256) + 7152 * (l_suppkey % 256) + 722 * l_quantity::INT) // 10000 * 257").replace("AS value", "AS grey"))
+def raster_import(spark, sf_dir):
+    """Colours of 8 bits as grey levels of 16, written as unsigned pixels and read as levels again."""
+    li = table(spark, sf_dir, "lineitem").select(*ORDER, F.col("l_suppkey"), F.col("l_quantity").cast("int").alias("q"))
+    grey = scaling.luma(F.col("l_partkey") % 256, F.col("l_suppkey") % 256, "q")
+    pixel, scale, zero = scaling.from_raster(grey, 16)
+    path, _ = image_file(spark, lines_of(li, ORDER, pixel), cards=[("BSCALE", scale, None), ("BZERO", zero, None)])
+    return scaling.raster(read(spark, path, mode="pixels").select("pixel_index", "value"), 16, scale, zero).select("pixel_index", F.col("grey").cast("long").alias("grey"))
+
+
 # ---- checksums ----------------------------------------------------------------------------------------------------
 
 FOLD = "CASE WHEN s = 0 THEN 0 ELSE (s - 1) % 4294967295 + 1 END"
