@@ -298,11 +298,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(DENOMINATOR * same >= NUMERATOR * (len(both) - same))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_x = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
-    with_y = with_x.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
+    with_x = pairs.join(grown(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))), "a")
+    with_y = with_x.join(grown(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))), "b")
     return with_y.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A table that grows with the documents: it is joined by a shuffle whatever its size, so that plans are the same at every size."""
+    return df.hint("merge")
+
+
 def order() -> Column:
     """Of documents: the least of a component is kept."""
     return F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key", "row")
@@ -313,16 +318,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "near-dedup")
     f = scratch.write(features(docs), "features")
     classes = f.where("n_shingles > 0").groupBy("fp").agg(F.min(order()).alias("m")).select("fp", F.col("m.row").alias("rep"), F.col("m.doc_id").alias("rep_id"))
-    named = hot_join(f.where("n_shingles > 0").select("row", "doc_id", "text_key", "n_shingles", "fp"), classes, "fp").drop("fp")
+    named = hot_join(f.where("n_shingles > 0").select("row", "doc_id", "text_key", "n_shingles", "fp"), grown(classes), "fp").drop("fp")
     alone = f.where("n_shingles = 0").select("row", "doc_id", "text_key", "n_shingles", F.col("row").alias("rep"), F.col("doc_id").alias("rep_id"))
     member = scratch.write(named.unionByName(alone), "member")
     firsts = member.where("row = rep and n_shingles > 0").select("row", "doc_id", "text_key")
-    reps = f.join(firsts.select("row"), "row", "left_semi")
-    entries = scratch.write(keys(reps.select("row", "idx")), "keys")
+    entries = scratch.write(keys(f.select("row", "idx").join(grown(firsts.select("row")), "row", "left_semi")), "keys")
     count = scratch.write(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    shared = scratch.write(hot_join(entries, count, "key", "inner", count), "shared")
+    shared = scratch.write(hot_join(entries, grown(count), "key", "inner", count), "shared")
     scratch.drop("keys")
-    known = reps.select(F.col("row").alias("doc"), F.col("n_shingles").alias("n"), "est", "idx").join(shared.select("doc").distinct(), "doc", "left_semi")
+    known = f.select(F.col("row").alias("doc"), F.col("n_shingles").alias("n"), "est", "idx").join(grown(shared.select("doc").distinct()), "doc", "left_semi")
     known = scratch.write(known, "known")
 
     def blocks(rows: DataFrame, mine: Column, others: Column, *more: str) -> DataFrame:
@@ -333,7 +337,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     many = F.ceil(F.col("size") / BLOCK)
     mine = F.pmod(F.xxhash64("doc"), many)
     hub = F.when(F.col("mine") == 0, F.sequence(F.lit(0).cast("long"), many - 1)).otherwise(F.array(F.lit(0).cast("long"), F.col("mine").cast("long")))
-    first = blocks(shared.withColumn("comp", F.col("doc")), mine, hub).join(known.drop("idx"), "doc")
+    first = blocks(shared.withColumn("comp", F.col("doc")), mine, hub).join(grown(known.drop("idx")), "doc")
     first = scratch.write(_grouped(first, forest), "pairs-1")
     # what later pairs can ask for lies among the documents that are like another, or in a key of several blocks
     likely = first.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(shared.where(many > 1).select("doc")).distinct()
@@ -344,9 +348,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sure = scratch.write(confirmed(first, whole), "links-1")
     comps = components(scratch, sure, "comps-1")
 
-    labelled = shared.select("way", "key", "doc").join(likely, "doc", "left_semi")
-    labelled = labelled.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    labelled = scratch.write(labelled.join(known, "doc"), "labelled")
+    labelled = shared.select("way", "key", "doc").join(grown(likely), "doc", "left_semi")
+    labelled = labelled.join(grown(comps.select(F.col("node").alias("doc"), "comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    labelled = scratch.write(labelled.join(grown(known), "doc"), "labelled")
     # Keys of several components.  Their largest component needs no pairs within itself, so its blocks meet only those of the
     # others; blocks are bounded in rows and in the bytes of full sets.
     parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
@@ -356,7 +360,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     of_major = F.col("comp") == F.col("major")
     mine = F.when(of_major, F.col("minor_blocks") + F.pmod(F.xxhash64("doc"), F.col("major_blocks"))).otherwise(F.pmod(F.xxhash64("doc"), F.col("minor_blocks")))
     others = F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") + F.when(of_major, F.lit(0).cast("long")).otherwise(F.col("major_blocks")) - 1)
-    opened = blocks(hot_join(labelled, open_keys, "key", "inner"), mine, others, "n", "est", "idx").join(whole, "doc")
+    opened = blocks(hot_join(labelled, open_keys, "key", "inner"), mine, others, "n", "est", "idx").join(grown(whole), "doc")
     more = scratch.write(_grouped(opened, links).select(F.col("a").alias("u"), F.col("b").alias("v")), "links-2")
     if more.isEmpty():
         final = comps
@@ -374,7 +378,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ids = scratch.write(final.join(firsts.withColumnRenamed("row", "node"), "node"), "ids")
     least = ids.withColumnRenamed("node", "row").groupBy("comp").agg(F.min(order()).alias("m")).select("comp", F.col("m.doc_id").alias("component_id"), F.col("m.row").alias("first"))
     linked = hot_join(ids.select("comp", F.col("node").alias("rep")), least, "comp").drop("comp")
-    out = hot_join(member, linked, "rep")
+    out = hot_join(member, grown(linked), "rep")
     return out.select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("rep_id")).otherwise(F.col("component_id")).alias("component_id"), (F.col("row") == F.coalesce("first", "rep")).alias("kept"), F.col("rep_id").alias("rep"), "text_key")
 
 
