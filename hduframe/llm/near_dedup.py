@@ -44,6 +44,8 @@ INDEXED, LONG = CHUNKS * WIDTH, 256
 #: Least share of equal symbols of the longer signature: 0.75 less five deviations of a binomial of LONG draws.
 LEAST = 0.75 - 5 * (0.75 * 0.25 / LONG) ** 0.5
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Documents that are like another are found among the texts by broadcast up to so many (32 bytes each), beyond by a shuffle.
+WANTED_MOST = 1_000_000
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 32, INDEXED + LONG, dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, INDEXED + LONG, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -342,7 +344,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # what later pairs can ask for lies among the documents that are like another, or in a key of several blocks
     likely = first.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(shared.where(many > 1).select("doc")).distinct()
     likely = scratch.write(likely, "likely")
-    wanted = likely.join(firsts.select(F.col("row").alias("doc"), F.col("doc_id").alias("id"), F.col("text_key").alias("of")), "doc")
+    wanted = scratch.write(likely.join(firsts.select(F.col("row").alias("doc"), F.col("doc_id").alias("id"), F.col("text_key").alias("of")), "doc"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= WANTED_MOST else grown(wanted)  # else all texts are shuffled once
     texts = docs.select(F.col("doc_id").cast("long").alias("mine"), "text", text_key().alias("key")).join(wanted, F.col("mine").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of")))
     whole = scratch.write(sets(texts).dropDuplicates(["doc"]), "sets")  # repeated rows give a set each
     sure = scratch.write(confirmed(first, whole), "links-1")
