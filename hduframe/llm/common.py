@@ -7,11 +7,12 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but space and \t \n \v \f \r.
@@ -78,6 +79,32 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", siz
     return left.where(~is_hot).join(right, key, how).unionByName(few)
 
 
+#: Least number of a filter's bits for each key.
+BITS_EACH = 16
+
+
+def may_hold(keys: DataFrame, key: str, room: int) -> Callable[[Column], Column]:
+    """A condition that is true for each value of ``keys`` (a written table) and false for most others, whatever their number.
+
+    It is a bitmap of bounded size at hashed places, so that rows of a large table that join nothing are left out where they lie, and only the
+    others are shuffled to the exact join.  With more keys than ``room`` it lets more others pass and never leaves out a key.
+    """
+    shift = 64 - max(6, (BITS_EACH * min(room, keys.count())).bit_length())
+    at = F.shiftrightunsigned(F.xxhash64(key), shift)
+    words = keys.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({key}), {shift}) & 63 as int))").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (64 - shift - 6), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    sent = keys.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    def held(hashes: pa.Array) -> pa.Array:
+        place = hashes.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(shift)
+        return pa.array((sent.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    of = F.arrow_udf(held, "boolean")
+    return lambda column: of(F.xxhash64(column))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nobody holds any more; else it does so when the driver happens to collect garbage."""
     gc.collect()

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, Scratch, hot_join, slices
+from .common import HOT, HOT_LEAST, Cache, Scratch, hot_join, may_hold, slices
 from .components import components
 
 SIZE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -44,8 +44,8 @@ INDEXED, LONG = CHUNKS * WIDTH, 256
 #: Least share of equal symbols of the longer signature: 0.75 less five deviations of a binomial of LONG draws.
 LEAST = 0.75 - 5 * (0.75 * 0.25 / LONG) ** 0.5
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
-#: Documents that are like another are found among the texts by broadcast up to so many (32 bytes each), beyond by a shuffle.
-WANTED_MOST = 1_000_000
+#: Texts that are needed again are told from the others by a filter with room for so many (16 to 32 bits each, sent to all tasks).
+WANTED_MOST = 5_000_000
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 32, INDEXED + LONG, dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, INDEXED + LONG, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -92,6 +92,11 @@ def text_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
+def tag(doc_id: str, key: Column) -> Column:
+    """doc_id (a long or null) and text_key in one, never null."""
+    return F.concat(key, F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """row (a number of its own), doc_id, text_key, n_shingles, fp (128-bit digest of the set), idx (INDEXED symbols), est (LONG bytes).
     Rows are numbered by partition and place, which holds once the result is written."""
@@ -344,10 +349,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # what later pairs can ask for lies among the documents that are like another, or in a key of several blocks
     likely = first.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(shared.where(many > 1).select("doc")).distinct()
     likely = scratch.write(likely, "likely")
-    wanted = scratch.write(likely.join(firsts.select(F.col("row").alias("doc"), F.col("doc_id").alias("id"), F.col("text_key").alias("of")), "doc"), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= WANTED_MOST else grown(wanted)  # else all texts are shuffled once
-    texts = docs.select(F.col("doc_id").cast("long").alias("mine"), "text", text_key().alias("key")).join(wanted, F.col("mine").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of")))
-    whole = scratch.write(sets(texts).dropDuplicates(["doc"]), "sets")  # repeated rows give a set each
+    wanted = scratch.write(likely.join(firsts.select(F.col("row").alias("doc"), tag("doc_id", F.col("text_key")).alias("tag")), "doc"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(tag("doc_id", text_key()).alias("tag"), "text")
+    texts = texts.where(may_hold(wanted, "tag", WANTED_MOST)("tag")).groupBy("tag").agg(F.first("text").alias("text"))  # one of repeated rows
+    whole = scratch.write(sets(texts.join(grown(wanted), "tag")), "sets")
     sure = scratch.write(confirmed(first, whole), "links-1")
     comps = components(scratch, sure, "comps-1")
 
@@ -388,12 +393,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def survivors(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns; of rows with the same doc_id and text one, unless the text has no words."""
     scratch = Scratch(spark, "survivors")
-    seen = near_dedup(spark, docs).where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    marked = scratch.write(seen.where("not kept or rows > 1").withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "of"), "marked")
-    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("mine"), text_key().alias("key"))
-    same = F.col("mine").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of"))
-    out = whole.join(marked, same, "left_anti")
+    seen = near_dedup(spark, docs).where("n_shingles > 0").groupBy(tag("doc_id", F.col("text_key")).alias("tag")).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    marked = scratch.write(seen.where("not kept or rows > 1"), "marked")
+    tagged = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("mine")).select("doc", tag("mine", text_key("doc.text")).alias("tag"))
+    may = may_hold(marked, "tag", WANTED_MOST)
+    some = tagged.where(may("tag"))  # only these are shuffled: the marked ones and a few others
+    rows = marked.agg(F.sum("rows")).first()[0] or 0
+    hot = marked.where(F.col("rows") > max(rows // HOT, HOT_LEAST)).select("tag")  # fewer than HOT
+    out = tagged.where(~may("tag")).unionByName(some.join(F.broadcast(hot), "tag", "left_anti").join(grown(marked), "tag", "left_anti"))
     again = marked.where("kept")
     if not again.isEmpty():
-        out = out.unionByName(whole.join(again, same, "left_semi").dropDuplicates(["mine", "key"]))
+        out = out.unionByName(some.groupBy("tag").agg(F.first("doc").alias("doc")).join(grown(again), "tag", "left_semi").select("doc", "tag"))
     return out.select("doc.*")
