@@ -1,25 +1,26 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is the classifier that is fitted: on whole texts of documents labelled good, at most TRAIN_MOST of them and
-TRAIN_WORDS words together, taken by the hash of their doc_id, long texts after the others; texts that don't fit are left out
-one by one.  It is made of count tables dealt to shards by n-gram hash, in DataFrames: trigram
-counts, continuation counts of bigrams and words, three discounts for each order from the counts of counts, and for each
-context the sums that give a probability's weight and the weight of what it backs off to, joined to the n-grams by
-their context and to the shorter n-grams that they back off to.  So a table of an order has for each n-gram its whole probability and for
-each context its weight, as logarithms.  Documents' n-grams are exploded, joined to the tables of the three orders and
-summed by document.  The bound on the sample bounds the tables (no more rows than half of TRAIN_CHARS), so these joins broadcast them and nothing but
-a sum for each document is shuffled.
+The model is the classifier that is fitted: on the whole texts of all documents labelled good but a fifth of them by the hash of their
+doc_id (KEPT_BACK), which gives the cutoffs.  ``classify`` can be asked for a bounded sample instead.
+
+Texts are gathered into packed blocks of about BLOCK_WORDS words.  A block sends its distinct trigrams, and how often the model's
+documents in it have them, to the shard that the trigram's middle word names: packed, a row for each block and shard.  A trigram shares its
+middle word with its context (the first two words) and its bigram (the last two), so a shard can add up the trigrams' counts, the
+continuation counts of bigrams, and for both orders' contexts the total and the numbers of n-grams with counts 1, 2, 3 and more.  It
+joins these back to each block's trigrams.  Words' continuation counts are summed over these and joined to each block's words in shards by word.
+With the discounts, from the counts of counts, a block then has all parts of its words' probabilities and sums up logarithms by
+document.  Shards are dealt with in WAVES, and so is the last join, so that only a part lies on disk twice.  The driver gets eight numbers
+of each shard.  A shard has all trigrams around its words, so the most common word's trigrams are the least that a task gets.
 
 All documents are scored on whole texts.  The cutoff of a language is the QUANTILE of the perplexities of its labelled good
 documents that the model has not seen, and at most the largest of these but ODD_MOST; a language (null is one too) with fewer than LEAST of them uses that of all languages.  Null and
-empty texts have no perplexity and are not kept.  Without good documents nothing is rejected but these.  Texts of any length are scored whole,
-CHUNK words a row; each row of the documents gets its own perplexity, so repeated rows and ids get one each, and a doc_id's label holds for all its rows.
+empty texts have no perplexity and are not kept.  Without good documents nothing is rejected but these.  A text longer than a block is a block
+of its own, read whole; each row of the documents gets its own perplexity, so repeated rows and ids get one each, and a doc_id's label holds for all its rows.
 An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,45 +33,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import Cache, Scratch, keep_fields, slices
-from .near_dedup import mix
+from .common import Cache, Scratch, free_shuffles, keep_fields, slices
+from .lm_score import pack, pack_words, shard_of, unpack
 
 TRAIN_MOST, TRAIN_WORDS, QUANTILE, LEAST, LANGUAGES_MOST = 2000, 800_000, 0.995, 30, 10_000
 ODD_MOST = 2  # so many of a stratum's held-out documents may be mislabelled or odd without setting its cutoff
 KEPT_BACK = 5  # one of so many good documents, by hash, is never fitted on, so that cutoffs always have some
-STEP = np.uint64(0x9E3779B97F4A7C15)
 BEGIN = np.uint64(0x5BD1E995)
 
 
-def texts_grams(texts: list[str | None], cache: Cache) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """Words of each text, and for each word of all texts its hash, that of the bigram and of the trigram it ends, and those
-    of the two words' contexts; two marks stand before a text."""
-    words = [(t or "").encode().split() for t in texts]
-    size = np.array([len(w) for w in words], np.int64)
-    flat = np.full(int(size.sum()) + 2 * len(words), BEGIN, np.uint64)
-    real = np.ones(len(flat), bool)
-    first = np.cumsum(size + 2) - (size + 2)
-    real[first] = real[first + 1] = False
-    flat[real] = np.fromiter((cache[x] for w in words for x in w), np.uint64, int(size.sum()))
-    one = mix(flat + np.uint64(1))
-    two, three = np.zeros_like(one), np.zeros_like(one)
-    two[1:] = mix(one[:-1] * STEP + mix(flat[1:] + np.uint64(2)))
-    three[1:] = mix(two[:-1] * STEP + mix(flat[1:] + np.uint64(3)))
-    at = np.flatnonzero(real)
-    return size, (one[at], two[at], three[at], one[at - 1], two[at - 1])
-
-
 def word_cache() -> Cache:
     return Cache(lambda w: xxhash.xxh64_intdigest(w), 300_000)
 
 
-# ---- fitting ------------------------------------------------------------------------------------------------------
+# ---- documents to fit on ------------------------------------------------------------------------------------------------------
+
+
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the good documents that a model may be fitted on."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().where(F.pmod(F.xxhash64("doc_id"), F.lit(KEPT_BACK)) != 0)
 
 
 def training_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id of the bounded sample of good documents."""
-    good = labels.where("quality = 1").select("doc_id").distinct().where(F.pmod(F.xxhash64("doc_id"), F.lit(KEPT_BACK)) != 0)
-    chars = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(good, "doc_id").groupBy("doc_id").agg(F.sum("n").alias("chars"))
+    """doc_id of a bounded sample of good documents, for callers who want a small model."""
+    chars = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(good_ids(labels), "doc_id").groupBy("doc_id").agg(F.sum("n").alias("chars"))
     # long texts come last, so that a few of them never make up the sample; one that doesn't fit excludes no other
     first = chars.where(F.col("chars") <= TRAIN_CHARS).orderBy(F.col("chars") > TRAIN_CHARS // LONG_PART, F.xxhash64("doc_id"), "doc_id").limit(TRAIN_MOST)
     taken, left = [], TRAIN_CHARS
@@ -86,130 +72,340 @@ TRAIN_CHARS = 6 * TRAIN_WORDS
 LONG_PART = 20  # a text of more than one in so many of these characters is long
 
 
-def positions(docs: DataFrame) -> DataFrame:
-    """A row for each word of the sample: its trigram and what that is made of."""
+def discounts(n: list[int]) -> np.ndarray:
+    """Of modified Kneser-Ney, from the numbers of n-grams with counts 1 to 4; usual values where these are too few."""
+    if not all(n):
+        return np.array([0.5, 0.75, 0.9])
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+    return np.array([min(max(x, 0.05), k) for k, x in zip((0.95, 1.95, 2.95), d, strict=True)])
+
+
+# ---- blocks -------------------------------------------------------------------------------------------------------
+
+BLOCK_WORDS, SHARD_WORDS, WAVES = 1_000_000, 1_000_000, 8
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(block, docs, lens, words): documents of about BLOCK_WORDS words together; docs has their columns but text, words are 64-bit hashes."""
+    names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache()
-        for part in slices(batches, 64):
-            _, (one, two, three, c1, c2) = texts_grams(part.column(0).to_pylist(), cache)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (three, c2, two, c1, one)], names=["tri", "ctx2", "bi", "ctx1", "uni"])
+        cache, part, k = word_cache(), TaskContext.get().partitionId(), 0
+        rows: list = []
+        words: list[np.ndarray] = []
+        held, kind = 0, None
+
+        def out() -> pa.RecordBatch:
+            packed = pack_words(np.concatenate(words) if held else np.empty(0, np.uint64))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part << 32 | k], pa.int64()), pa.array([rows], pa.list_(kind)), pa.array([[len(w) for w in words]], pa.list_(pa.int32())), pa.array([packed], pa.binary())],
+                names=["block", "docs", "lens", "words"],
+            )
+
+        for batch in slices(batches, 64):
+            kind = pa.struct([batch.schema.field(n) for n in names])
+            for row, t in zip(batch.select(names).to_pylist(), batch.column("text").to_pylist(), strict=True):
+                w = (t or "").encode().split()
+                w = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
+                if held and held + len(w) > BLOCK_WORDS:
+                    yield out()
+                    rows, words, held, k = [], [], 0, k + 1
+                rows.append(row)
+                words.append(w)
+                held += len(w)
+        if rows:
+            yield out()
+
+    one = T.StructType([docs.schema[n] for n in names])
+    return docs.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(one)), T.StructField("lens", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType())]))
+
+
+def places(lens: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct words, sorted, and for each of its words the numbers of the word two before it, of that before it and of itself;
+    two marks stand before a text."""
+    head = 8 + int.from_bytes(raw[:8], "little")
+    own, rank = unpack(raw[8:head], "<u8"), unpack(raw[head:], "<u4")
+    distinct = np.unique(np.append(own, BEGIN))
+    number = np.searchsorted(distinct, own).astype(np.uint64)
+    flat = np.full(int(lens.sum()) + 2 * len(lens), np.searchsorted(distinct, BEGIN), np.uint64)
+    real = np.ones(len(flat), bool)
+    first = np.cumsum(lens + 2) - (lens + 2)
+    real[first] = real[first + 1] = False
+    flat[real] = number[rank]
+    at = np.flatnonzero(real)
+    return distinct, flat[at - 2], flat[at - 1], flat[at]
 
-    return docs.select("text").mapInArrow(run, "tri long, ctx2 long, bi long, ctx1 long, uni long")
 
+def trigrams(n: int, left: np.ndarray, mid: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words numbered below n: the distinct contexts as mid * n + left, in order; of each distinct trigram, ordered by its context and
+    last word, the context's place and the last word; and the trigram's place for each given one."""
+    n = np.uint64(max(1, n))
+    contexts, at = np.unique(mid * n + left, return_inverse=True)
+    distinct, place = np.unique(at.astype(np.uint64) * n + right, return_inverse=True)
+    return contexts, (distinct // n).astype(np.int64), distinct % n, place
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Of modified Kneser-Ney, from the numbers of n-grams with counts 1 to 4; usual values where these are too few."""
-    n = [0, *counts.agg(*(F.sum((F.col("c") == k).cast("long")) for k in (1, 2, 3, 4))).first()]
-    if not all(n[1:]):
-        return 0.5, 0.75, 0.9
-    y = n[1] / (n[1] + 2 * n[2])
-    d = [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
-    return tuple(min(max(x, 0.05), k) for k, x in zip((0.95, 1.95, 2.95), d, strict=True))
 
+def _differences(a: np.ndarray) -> bytes:
+    return pack(np.diff(a, prepend=a.dtype.type(0)))
 
-def weights(counts: DataFrame, gram: str, ctx: str) -> tuple[DataFrame, DataFrame]:
-    """(gram, alpha) and (context, gamma): the discounted share of each n-gram in its context and the share left."""
-    d1, d2, d3 = discounts(counts)
-    d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-    sums = counts.groupBy(ctx).agg(F.sum("c").alias("total"), F.sum(d).alias("taken"))
-    alpha = counts.join(sums.select(ctx, "total"), ctx).select(F.col(gram).alias("key"), ((F.col("c") - d) / F.col("total")).alias("value"))
-    return alpha, sums.select(F.col(ctx).alias("key"), (F.col("taken") / F.col("total")).alias("value"))
 
+def _summed(raw: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(unpack(raw, kind), dtype=kind)
 
-@dataclass
-class Model:
-    """Natural logarithms: logp of n-grams (null where only the context is known), bow of contexts (null where there is none)."""
 
-    uni: DataFrame  # key, logp, bow
-    bi: DataFrame  # key, logp, bow
-    tri: DataFrame  # key, logp
-    unseen: float  # of a word that the sample lacks
+def trained_bits(blocks: DataFrame, seen: DataFrame) -> DataFrame:
+    """(block, trained): a bit for each document of a block, set where its doc_id is in seen."""
 
+    def bits(table):
+        at = np.zeros(table.column("n")[0].as_py(), bool)
+        at[table.column("place").to_numpy()] = True
+        return pa.table({"block": table.column("block").slice(0, 1), "trained": pa.array([np.packbits(at).tobytes()], pa.binary())})
 
-def fit(scratch: Scratch, sample: DataFrame) -> Model | None:
-    tri = scratch.write(positions(sample).groupBy("tri", "ctx2", "bi", "ctx1", "uni").agg(F.count("*").alias("c")), "trigrams")
-    bi = scratch.write(tri.groupBy("bi", "ctx1", "uni").agg(F.count("*").alias("c")), "bigrams")
-    uni = scratch.write(bi.groupBy("uni").agg(F.count("*").alias("c")).withColumn("all", F.lit(0)), "words")
-    if uni.isEmpty():
-        return None
-    (a1, g1), (a2, g2), (a3, g3) = (weights(c, g, x) for c, g, x in ((uni, "uni", "all"), (bi, "bi", "ctx1"), (tri, "tri", "ctx2")))
-    unseen = g1.first().value / (uni.count() + 1)
-    p1 = scratch.write(a1.select("key", (F.col("value") + unseen).alias("p")), "p1")
-
-    def above(counts: DataFrame, alpha: DataFrame, gamma: DataFrame, lower: DataFrame, gram: str, ctx: str, short: str) -> DataFrame:
-        """(key, p): the share of each n-gram and, weighted by its context, the probability of the shorter one."""
-        of = counts.select(F.col(gram).alias("key"), F.col(ctx).alias("ctx"), F.col(short).alias("short"))
-        parts = of.join(alpha, "key").join(gamma.select(F.col("key").alias("ctx"), F.col("value").alias("left")), "ctx")
-        return parts.join(lower.select(F.col("key").alias("short"), F.col("p").alias("q")), "short").select("key", (F.col("value") + F.col("left") * F.col("q")).alias("p"))
-
-    def logs(p: DataFrame, gamma: DataFrame) -> DataFrame:
-        return p.join(gamma.withColumnRenamed("value", "left"), "key", "full").select("key", F.log("p").alias("logp"), F.log("left").alias("bow"))
-
-    p2 = scratch.write(above(bi, a2, g2, p1, "bi", "ctx1", "uni"), "p2")
-    model = Model(
-        scratch.write(logs(p1, g2), "model-1"),
-        scratch.write(logs(p2, g3), "model-2"),
-        scratch.write(above(tri, a3, g3, p2, "tri", "ctx2", "bi").select("key", F.log("p").alias("logp")), "model-3"),
-        math.log(unseen),
-    )
-    for name in ("trigrams", "bigrams", "words", "p1", "p2"):
-        scratch.drop(name)
-    return model
+    each = blocks.select("block", F.size("lens").alias("n"), F.posexplode("docs.doc_id").alias("place", "doc_id"))
+    return each.join(seen, "doc_id").select("block", "n", "place").groupBy("block").applyInArrow(bits, "block long, trained binary")
+
+
+# ---- counting -----------------------------------------------------------------------------------------------------
+
+
+def sent(blocks: DataFrame, low: int, high: int, shards: int) -> DataFrame:
+    """(shard, block, scored, words, left, mid, right, counts) of the shards from low to high - 1: each block's distinct trigrams and how often its documents of the
+    model have them.  blocks: also trained (a bit for each document) and scored (whether answers are wanted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(k, 1).drop_columns(["docs"]).to_pylist()[0] for k in range(batch.num_rows)):
+                lens = np.array(row["lens"], np.int64)
+                distinct, left, mid, right = places(lens, row["words"])
+                shard = shard_of(distinct, shards).astype(np.int64)
+                trained = np.zeros(len(lens), bool)
+                if row["trained"]:
+                    trained = np.unpackbits(np.frombuffer(row["trained"], np.uint8), count=len(lens)).astype(bool)
+                trained = np.repeat(trained, lens)
+                mine = (shard[mid.astype(np.int64)] >= low) & (shard[mid.astype(np.int64)] < high) & (row["scored"] | trained)
+                if not mine.any():
+                    continue
+                n = np.uint64(len(distinct))
+                contexts, context, right, place = trigrams(len(distinct), left[mine], mid[mine], right[mine])
+                counts = np.bincount(place, trained[mine], len(context)).astype(np.uint32)
+                mid, left = contexts[context] // n, contexts[context] % n
+                of = shard[mid.astype(np.int64)]
+                cuts = np.flatnonzero(np.diff(of)) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
+                    used, local = np.unique(np.concatenate([left[a:b], mid[a:b], right[a:b]]), return_inverse=True)
+                    x, y, z = np.split(local.astype(np.uint32), 3)
+                    values = [_differences(distinct[used.astype(np.int64)]), _differences(x), _differences(y), pack(z), pack(counts[a:b])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(of[a])], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([row["scored"]]), *(pa.array([v], pa.binary()) for v in values)],
+                        names=["shard", "block", "scored", "words", "left", "mid", "right", "counts"],
+                    )
+
+    return blocks.mapInArrow(run, "shard int, block long, scored boolean, words binary, left binary, mid binary, right binary, counts binary")
+
+
+def _sums(place: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """For each of n contexts the sum of its n-grams' counts and how many have 1, 2, 3 and more."""
+    return np.stack([np.bincount(place, w, n) for w in (counts, counts == 1, counts == 2, counts >= 3)]).astype(np.uint64)
+
+
+ANSWER = "block long, shard int, tri binary, ctx2 binary, bi binary, ctx1 binary"
+
+
+def answers_table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "shard", "tri", "ctx2", "bi", "ctx1"])
+
+
+def counted(sent: DataFrame) -> DataFrame:
+    """(block, shard, tri, ctx2, bi, ctx1): counts of each block's trigrams, contexts, bigrams and their contexts, in the order of the block; and a row of each
+    shard, without block: its words, their continuation counts within it, and in ctx1 how many trigrams and bigrams have counts 1 to 4."""
+
+    def merge(table):
+        table = table.sort_by("block")
+        rows = table.to_pylist()
+        each = [_summed(r["words"], "<u8") for r in rows]
+        words, number = np.unique(np.concatenate(each), return_inverse=True)
+        number = np.split(number.astype(np.uint64), np.cumsum([len(e) for e in each])[:-1])
+        left, mid, right = ([number[k][f(r[c])] for k, r in enumerate(rows)] for c, f in (("left", lambda x: _summed(x, "<u4")), ("mid", lambda x: _summed(x, "<u4")), ("right", lambda x: unpack(x, "<u4"))))
+        ends = np.cumsum([len(x) for x in mid])
+        n = np.uint64(len(words))
+        contexts, context, last, place = trigrams(len(words), np.concatenate(left), np.concatenate(mid), np.concatenate(right))
+        del left, mid, right
+        counts = np.bincount(place, np.concatenate([unpack(r["counts"], "<u4") for r in rows]), len(context)).astype(np.uint64)
+        middle = contexts // n
+        of_contexts = _sums(context, counts, len(contexts))
+        bigrams, bigram = np.unique(middle[context] * n + last, return_inverse=True)
+        continued = np.bincount(bigram, counts > 0, len(bigrams)).astype(np.uint64)
+        before, after = (bigrams // n).astype(np.int64), (bigrams % n).astype(np.int64)
+        of_words = _sums(before, continued, len(words))
+        out: list = []
+        for r, at in zip(rows, np.split(place, ends[:-1]), strict=True):
+            if r["scored"]:
+                c, m = np.unique(context[at]), np.unique(middle[context[at]]).astype(np.int64)
+                answers = counts[at], of_contexts[:, c].ravel(), continued[np.unique(bigram[at])], of_words[:, m].ravel()
+                out.append((r["block"], r["shard"], *(pack(a) for a in answers)))
+        ends_in = np.bincount(after, continued > 0, len(words)).astype(np.uint64)
+        few = np.array([(x == k).sum() for x in (counts, continued) for k in (1, 2, 3, 4)], np.uint64)
+        out.append((None, rows[0]["shard"], pack(words[ends_in > 0]) if ends_in.any() else b"", b"", pack(ends_in[ends_in > 0]) if ends_in.any() else b"", pack(few)))
+        return answers_table(out)
+
+    return sent.groupBy("shard").applyInArrow(merge, ANSWER)
+
+
+def _pieces(words: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Of sorted words: each shard that has some, and where they are."""
+    of = shard_of(words, shards)
+    cuts = np.flatnonzero(np.diff(of)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
+        if b > a:
+            yield int(of[a]), slice(a, b)
+
+
+#: Added to the shards of answers for words, which so come before those for trigrams.
+OF_WORDS = -(1 << 30)
+
+
+def words_counted(blocks: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+    """Like ``counted``, shards below 0, in tri: the continuation counts of each block's distinct words, the number of distinct bigrams that end in them.  A row of
+    each shard, without block, has in ctx1 the number of words with some, the sum, and how many have 1 to 4."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lens, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "lens", "words")), strict=True):
+                distinct = places(np.array(lens, np.int64), raw)[0]
+                each = list(_pieces(distinct, shards))
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in each], pa.int32()), pa.array([block] * len(each), pa.int64()), pa.array([_differences(distinct[at]) for _, at in each], pa.binary()), pa.array([b""] * len(each), pa.binary())], names=["shard", "block", "words", "counts"])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if w:
+                    w, c = unpack(w, "<u8"), unpack(c, "<u8").astype(np.uint32)
+                    each = list(_pieces(w, shards))
+                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in each], pa.int32()), pa.nulls(len(each), pa.int64()), pa.array([_differences(w[at]) for _, at in each], pa.binary()), pa.array([pack(c[at]) for _, at in each], pa.binary())], names=["shard", "block", "words", "counts"])
+
+    def merge(table):
+        rows, shard = table.to_pylist(), table.column("shard")[0].as_py() + OF_WORDS
+        own = [r for r in rows if r["block"] is None]
+        words, place = np.unique(np.concatenate([np.empty(0, np.uint64), *(_summed(r["words"], "<u8") for r in own)]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([np.empty(0, np.uint32), *(unpack(r["counts"], "<u4") for r in own)]), len(words)).astype(np.uint64)
+        out = [(None, shard, b"", b"", b"", pack(np.array([len(words), total.sum(), *((total == k).sum() for k in (1, 2, 3, 4))], np.uint64)))]
+        for r in rows:
+            if r["block"] is not None:
+                w = _summed(r["words"], "<u8")
+                at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
+                found = np.where(words[at] == w, total[at], np.uint64(0)) if len(words) else np.zeros(len(w), np.uint64)
+                out.append((r["block"], shard, pack(found), b"", b"", b""))
+        return answers_table(out)
+
+    kind = "shard int, block long, words binary, counts binary"
+    rows = blocks.select("block", "lens", "words").mapInArrow(asked, kind).unionByName(answers.where("block is null").select("tri", "bi").mapInArrow(known, kind))
+    return rows.repartition(min(shards, 20_000), "shard").groupBy("shard").applyInArrow(merge, ANSWER)
 
 
 # ---- scoring ------------------------------------------------------------------------------------------------------
 
 
-CHUNK, BATCH_WORDS = 1 << 14, 1 << 18
-GRAMS = ("one", "two", "three", "c1", "c2")
+@dataclass
+class Model:
+    """Blocks of the texts that it is fitted on; they are counted together with those that ask."""
 
+    blocks: DataFrame
 
-def grams(docs: DataFrame, row: str) -> DataFrame:
-    """The columns of docs but text, a number for each row of docs, and its words' n-gram and context hashes, CHUNK words a row."""
-    names = [c for c in docs.columns if c != "text"]
-    fields = pa.struct([(g, pa.int64()) for g in GRAMS])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, number = word_cache(), TaskContext.get().partitionId() << 36
-        for part in slices(batches, 64):
-            size, hashes = texts_grams(part.column("text").to_pylist(), cache)
-            pieces = np.maximum(1, -(-size // CHUNK))
-            of = np.repeat(np.arange(len(size)), pieces)
-            at = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * CHUNK + np.repeat(np.cumsum(size) - size, pieces)
-            at = np.append(at, int(size.sum()))
-            k = 0
-            while k < len(of):  # some pieces at a time
-                end = max(k + 1, int(np.searchsorted(at, at[k] + BATCH_WORDS, "right")) - 1)
-                words = pa.StructArray.from_arrays([pa.array(h[at[k] : at[end]].view(np.int64)) for h in hashes], fields=list(fields))
-                lists = pa.ListArray.from_arrays(pa.array((at[k : end + 1] - at[k]).astype(np.int32)), words)
-                take = pa.array(of[k:end])
-                yield pa.RecordBatch.from_arrays([*(part.column(n).take(take) for n in names), pa.array(of[k:end] + number), lists], names=[*names, row, "grams"])
-                k = end
-            number += part.num_rows
-
-    words = T.ArrayType(T.StructType([T.StructField(g, T.LongType()) for g in GRAMS]))
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[n] for n in names), T.StructField(row, T.LongType()), T.StructField("grams", words)]))
+def fit(scratch: Scratch, sample: DataFrame) -> Model | None:
+    own = scratch.write(blocks(sample.select("text", F.lit(0).alias("_"))), "model")
+    if own.where(F.exists("lens", lambda n: n > 0)).isEmpty():
+        return None
+    return Model(own.select("block", "lens", "words", F.unhex(F.expr("repeat('ff', (size(lens) + 7) div 8)")).alias("trained")))
+
+
+def shares(counts: np.ndarray, total: np.ndarray | float, d: np.ndarray) -> np.ndarray:
+    """The discounted share of each n-gram in its context; none of one that the model lacks."""
+    c = counts.astype(np.float64)
+    return np.where(c > 0, c - d[np.clip(counts, 1, 3).astype(np.int64) - 1], 0.0) / np.maximum(total, 1)
+
+
+def left_over(sums: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The share that each context leaves to shorter n-grams; all, of one that the model lacks."""
+    return np.where(sums[0] > 0, d @ sums[1:].astype(np.float64), 1.0) / np.maximum(sums[0], 1)
+
+
+def scores(blocks: DataFrame, answers: DataFrame, d2: np.ndarray, d3: np.ndarray, d1: np.ndarray, total: int, unseen: float, trained: bool) -> DataFrame:
+    """The blocks' documents with n_words and perplexity."""
+    one = blocks.schema["docs"].dataType.elementType
+
+    def of_block(left, right):
+        right = right.sort_by("shard")
+        sums, lens_out = [], []
+        for lens, raw in zip(left.column("lens").to_pylist(), left.column("words").to_pylist(), strict=True):
+            lens = np.array(lens, np.int64)
+            lens_out.append(lens)
+            distinct, a, mid, b = places(lens, raw)
+            if not len(b) or not trained:
+                sums.append(np.zeros(len(lens)))
+                continue
+            n = np.uint64(len(distinct))
+            contexts, context, last, place = trigrams(len(distinct), a, mid, b)
+            middle = contexts // n
+            got = right.to_pydict()
+            first = sum(x < 0 for x in got["shard"])  # answers for words come before those for trigrams
+            shorter = np.concatenate([unpack(x, "<u8") for x in got["tri"][:first]])
+            tri, bi = (np.concatenate([unpack(x, "<u8") for x in got[c][first:]]) for c in ("tri", "bi"))
+            ctx2, ctx1 = (np.concatenate([unpack(x, "<u8").reshape(4, -1) for x in got[c][first:]], axis=1) for c in ("ctx2", "ctx1"))
+            bigram = np.unique(middle[context] * n + last, return_inverse=True)[1]
+            word = np.unique(middle, return_inverse=True)[1][context]
+            p1 = shares(shorter, total, d1)[last.astype(np.int64)] + unseen
+            p2 = shares(bi[bigram], ctx1[0][word], d2) + left_over(ctx1, d2)[word] * p1
+            p3 = shares(tri, ctx2[0][context], d3) + left_over(ctx2, d3)[context] * p2
+            sums.append(np.bincount(np.repeat(np.arange(len(lens)), lens), np.log(p3)[place], len(lens)))
+        size, total_log = np.concatenate(lens_out), np.concatenate(sums)
+        value = pa.array(np.exp(-total_log / np.maximum(size, 1)), mask=size == 0)
+        docs = left.column("docs").combine_chunks().flatten()
+        return pa.table([*docs.flatten(), pa.array(size), value], names=[*(f.name for f in one.fields), "n_words", "perplexity"])
+
+    kind = T.StructType([*one.fields, T.StructField("n_words", T.LongType()), T.StructField("perplexity", T.DoubleType())])
+    return blocks.select("block", "docs", "lens", "words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(of_block, kind)
+
+
+def score(scratch: Scratch, asked: DataFrame, every: DataFrame) -> DataFrame:
+    """The documents of the blocks asked, with n_words and perplexity, under the model of every: (block, docs, lens, words, trained, scored), written."""
+    n_words = int(every.select(F.explode("lens").alias("n")).agg(F.sum("n")).first()[0] or 0)
+    shards = max(1, -(-n_words // SHARD_WORDS))
+    edges, answers = sorted({shards * k // WAVES for k in range(WAVES + 1)}), None
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = scratch.write(counted(sent(every, low, high, shards).repartition(min(high - low, 20_000), "shard")), f"answers-{k}")
+        answers = part if answers is None else answers.unionByName(part)
+        free_shuffles(scratch.spark)
+    of_words = scratch.write(words_counted(asked, answers, shards), "answers-words")
+    summed = lambda rows, n: sum((unpack(r.ctx1, "<u8").astype(np.int64) for r in rows.where("block is null").select("ctx1").collect()), np.zeros(n, np.int64)).tolist()
+    few, (n, total, *ones) = summed(answers, 8), summed(of_words, 6)
+    d1, d2, d3 = discounts(ones), discounts(few[4:]), discounts(few[:4])
+    unseen = float(d1 @ [ones[0], ones[1], n - ones[0] - ones[1]]) / max(total, 1) / (n + 1)
+    answers = answers.unionByName(of_words).where("block is not null")
+    free_shuffles(scratch.spark)
+    out = None
+    for k in range(WAVES):
+        mine = F.pmod(F.xxhash64("block"), F.lit(WAVES)) == k
+        part = scratch.write(scores(asked.where(mine), answers.where(mine), d2, d3, d1, total, unseen, n > 0), f"scored-{k}")
+        out = part if out is None else out.unionByName(part)
+        free_shuffles(scratch.spark)
+    for name in ("blocks", "trained", "answers-words", *(f"answers-{k}" for k in range(WAVES))):
+        scratch.drop(name)
+    return out
 
 
 def perplexity(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
-    """Adds n_words and perplexity (null without words) of each whole text; the text itself goes."""
+    """Adds n_words and perplexity (null without words; 1 without a model) of each whole text; the text itself goes."""
+    scratch = Scratch(spark, "perplexity")
     keep = [f.name for f in keep_fields(docs.schema, ("text", "n_words", "perplexity"))]
-    mine = [f"_{k}" for k in range(len(keep))]  # so that no column of docs clashes with those of the joins
-    exploded = grams(docs.select(*(F.col(c).alias(m) for c, m in zip(keep, mine, strict=True)), "text"), "row")
-    rows = exploded.select(*mine, "row", F.inline_outer("grams"))
-    if model is None:
-        p = F.lit(0.0)
-    else:
-        of = lambda t, key, *more: F.broadcast(t.select(F.col("key").alias(key), *more))
-        rows = rows.join(of(model.tri, "three", F.col("logp").alias("p3")), "three", "left")
-        rows = rows.join(of(model.bi, "two", F.col("logp").alias("p2")), "two", "left").join(of(model.bi, "c2", F.col("bow").alias("b2")), "c2", "left")
-        rows = rows.join(of(model.uni, "one", F.col("logp").alias("p1")), "one", "left").join(of(model.uni, "c1", F.col("bow").alias("b1")), "c1", "left")
-        none = F.lit(0.0)
-        p = F.coalesce("p3", F.coalesce("b2", none) + F.coalesce("p2", F.coalesce("b1", none) + F.coalesce("p1", F.lit(model.unseen))))
-    sums = rows.groupBy(*mine, "row").agg(F.count("three").alias("n_words"), F.sum(F.when(F.col("three").isNotNull(), p)).alias("total"))
-    value = F.when(F.col("n_words") > 0, F.exp(-F.col("total") / F.col("n_words")))
-    return sums.select(*(F.col(m).alias(c) for c, m in zip(keep, mine, strict=True)), "n_words", value.alias("perplexity"))
+    asked = scratch.write(blocks(docs.select(*keep, "text")), "blocks")
+    mine = asked.select("block", "docs", "lens", "words", F.lit(None).cast("binary").alias("trained"), F.lit(True).alias("scored"))
+    if model is not None:
+        own = model.blocks.select((-1 - F.col("block")).alias("block"), F.lit(None).cast(asked.schema["docs"].dataType).alias("docs"), "lens", "words", "trained", F.lit(False).alias("scored"))
+        mine = mine.unionByName(own)
+    return score(scratch, asked, mine)
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, seen: DataFrame) -> DataFrame:
@@ -226,12 +422,14 @@ def cutoffs(scored: DataFrame, labels: DataFrame, seen: DataFrame) -> DataFrame:
     return each.select("stratum", threshold, F.lit(False).alias("all")).unionByName(pooled.select(F.lit(None).cast("string").alias("stratum"), threshold, F.lit(True).alias("all")))
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """op7: doc_id, lang, n_words, perplexity, threshold, kept."""
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: bool = False) -> DataFrame:
+    """op7: doc_id, lang, n_words, perplexity, threshold, kept.  sample: the model is fitted on a bounded sample only."""
     scratch = Scratch(spark, "kneser-ney")
-    seen = scratch.write(training_ids(docs, labels), "sample")
-    model = fit(scratch, docs.join(F.broadcast(seen), "doc_id", "left_semi"))  # at most TRAIN_MOST ids
-    scored = scratch.write(perplexity(spark, docs.select("doc_id", "lang", "text"), model), "scored")
+    seen = scratch.write(training_ids(docs, labels) if sample else good_ids(labels), "seen")
+    asked = scratch.write(blocks(docs.select("doc_id", "lang", "text")), "blocks")
+    marks = scratch.write(trained_bits(asked, seen), "trained")
+    every = asked.join(F.broadcast(marks), "block", "left").withColumn("scored", F.lit(True))  # a bit for each document
+    scored = score(scratch, asked, every)
     cut = scratch.write(cutoffs(scored, labels, seen), "cutoffs")
     few = cut.limit(LANGUAGES_MOST + 1).count() <= LANGUAGES_MOST
     own = cut.where("not all").select("stratum", F.col("threshold").alias("own"))
