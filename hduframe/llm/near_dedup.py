@@ -10,10 +10,10 @@ index, with a probability of about one in a million (binomial tails), and less a
 Rows of a key are compared in blocks of bounded size by a longer signature of 8-bit symbols, vectorised; pairs five
 deviations below the threshold can't be links.  The pairs of a key are never all put out: first each block is compared with itself
 and with the key's first block (a hub), which is linear in the key's rows, and a spanning forest of the likeliest links is
-confirmed on the full sets; then the keys that still hold several components get the full sets of their rows.  There all
-rows but those of the key's largest component are compared with all others, pairs between different components are confirmed
-in place, each under the first key that it shares, and only links come out.  So no link that could join two components stays
-unconfirmed, and neither copies nor near copies of one text are expanded into pairs.
+confirmed on the full sets; then the keys that still hold several components are compared again.  There all rows but those
+of the key's largest component meet all others, a pair of different components under the first key that it shares; only the rows
+of likely pairs get their full sets, pairs are confirmed in place, and only links come out.  So no link that could join two
+components stays unconfirmed, and neither copies nor near copies of one text are expanded into pairs.
 
 Each input row is a document of its own, numbered when its features are written; texts are found again by doc_id and the MD5 of
 the text.  Rows may share a doc_id or have none: each gets a row in the result, and one row of a component is kept, that with
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT, HOT_LEAST, Cache, Scratch, hot_join, may_hold, slices
+from .common import HOT, HOT_LEAST, Cache, Scratch, free_shuffles, hot_join, may_hold, slices
 from .components import components
 
 SIZE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -189,9 +189,30 @@ def forest(g: Groups, rows: int) -> Iterator[pa.RecordBatch]:
         yield from _named(g.t["doc"][a], g.t["doc"][b])
 
 
+def first_shared(g: Groups, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The likely pairs of the first rows that share no earlier key; some at a time."""
+    idx, way = g.t["idx"], g.t["way"]
+    for a, b, _ in g.likely(rows):
+        same = idx[a] == idx[b]
+        shared = np.logical_and.reduce([same[:, [w[k] for w in WAYS]] for k in range(WIDTH - ERRORS)])
+        first = shared.argmax(1) == way[a]  # a pair is looked at under the first key that it shares
+        yield a[first], b[first]
+
+
+PARTNERED = "key long, way int, bi int, bj int, mine int, doc long, comp long"
+
+
+def partnered(g: Groups, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of pairs that are to be confirmed: linear in the group's rows, whatever their pairs."""
+    asked = np.zeros(rows, bool)
+    for a, b in first_shared(g, rows):
+        asked[a] = asked[b] = True
+    names = [c.split()[0] for c in PARTNERED.split(", ")]
+    yield pa.RecordBatch.from_arrays([pa.array(g.t[c][:rows][asked]) for c in names], names=names)
+
+
 def links(g: Groups, rows: int) -> Iterator[pa.RecordBatch]:
     """The links between different components, except within what they have joined by then."""
-    idx, way = g.t["idx"], g.t["way"]
     root = np.arange(rows)
 
     def find(x: int) -> int:
@@ -200,12 +221,7 @@ def links(g: Groups, rows: int) -> Iterator[pa.RecordBatch]:
             x = root[x]
         return int(x)
 
-    pairs = []
-    for a, b, _ in g.likely(rows):
-        same = idx[a] == idx[b]
-        shared = np.logical_and.reduce([same[:, [w[k] for w in WAYS]] for k in range(WIDTH - ERRORS)])
-        first = shared.argmax(1) == way[a]  # a pair is looked at under the first key that it shares
-        pairs.append((a[first], b[first]))
+    pairs = list(first_shared(g, rows))
     if not pairs:
         return
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
@@ -233,7 +249,7 @@ def links(g: Groups, rows: int) -> Iterator[pa.RecordBatch]:
         yield from _named(docs[x], docs[y])
 
 
-def _grouped(rows: DataFrame, of_groups) -> DataFrame:
+def _grouped(rows: DataFrame, of_groups, kind: str = "a long, b long") -> DataFrame:
     """of_groups over rows (key, bi, bj, ...), each group in one partition; some whole groups at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +267,7 @@ def _grouped(rows: DataFrame, of_groups) -> DataFrame:
         if held is not None and held.num_rows:
             yield from of_groups(Groups(held), held.num_rows)
 
-    return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(run, kind)
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,6 +349,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     count = scratch.write(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = scratch.write(hot_join(entries, grown(count), "key", "inner", count), "shared")
     scratch.drop("keys")
+    free_shuffles(spark)
     known = f.select(F.col("row").alias("doc"), F.col("n_shingles").alias("n"), "est", "idx").join(grown(shared.select("doc").distinct()), "doc", "left_semi")
     known = scratch.write(known, "known")
 
@@ -345,7 +362,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("doc"), many)
     hub = F.when(F.col("mine") == 0, F.sequence(F.lit(0).cast("long"), many - 1)).otherwise(F.array(F.lit(0).cast("long"), F.col("mine").cast("long")))
     first = blocks(shared.withColumn("comp", F.col("doc")), mine, hub).join(grown(known.drop("idx")), "doc")
-    first = scratch.write(_grouped(first, forest), "pairs-1")
+    first = scratch.write(_grouped(first, forest).distinct(), "pairs-1")
+    free_shuffles(spark)
     # what later pairs can ask for lies among the documents that are like another, or in a key of several blocks
     likely = first.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(shared.where(many > 1).select("doc")).distinct()
     likely = scratch.write(likely, "likely")
@@ -353,12 +371,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(tag("doc_id", text_key()).alias("tag"), "text")
     texts = texts.where(may_hold(wanted, "tag", WANTED_MOST)("tag")).groupBy("tag").agg(F.first("text").alias("text"))  # one of repeated rows
     whole = scratch.write(sets(texts.join(grown(wanted), "tag")), "sets")
+    free_shuffles(spark)
     sure = scratch.write(confirmed(first, whole), "links-1")
+    free_shuffles(spark)
     comps = components(scratch, sure, "comps-1")
 
     labelled = shared.select("way", "key", "doc").join(grown(likely), "doc", "left_semi")
     labelled = labelled.join(grown(comps.select(F.col("node").alias("doc"), "comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    labelled = scratch.write(labelled.join(grown(known), "doc"), "labelled")
+    labelled = scratch.write(labelled.join(grown(known.select("doc", "n")), "doc"), "labelled")
+    free_shuffles(spark)
     # Keys of several components.  Their largest component needs no pairs within itself, so its blocks meet only those of the
     # others; blocks are bounded in rows and in the bytes of full sets.
     parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
@@ -368,8 +389,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     of_major = F.col("comp") == F.col("major")
     mine = F.when(of_major, F.col("minor_blocks") + F.pmod(F.xxhash64("doc"), F.col("major_blocks"))).otherwise(F.pmod(F.xxhash64("doc"), F.col("minor_blocks")))
     others = F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") + F.when(of_major, F.lit(0).cast("long")).otherwise(F.col("major_blocks")) - 1)
-    opened = blocks(hot_join(labelled, open_keys, "key", "inner"), mine, others, "n", "est", "idx").join(grown(whole), "doc")
-    more = scratch.write(_grouped(opened, links).select(F.col("a").alias("u"), F.col("b").alias("v")), "links-2")
+    opened = blocks(hot_join(labelled, grown(open_keys), "key", "inner"), mine, others).join(grown(known), "doc")
+    opened = scratch.write(_grouped(opened, partnered, PARTNERED), "opened")
+    free_shuffles(spark)
+    more = scratch.write(_grouped(opened.join(grown(known), "doc").join(grown(whole), "doc"), links).distinct().select(F.col("a").alias("u"), F.col("b").alias("v")), "links-2")
     if more.isEmpty():
         final = comps
     else:
@@ -381,7 +404,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         lone = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))
         every = scratch.write(comps.unionByName(lone), "comps-all")
         final = scratch.write(hot_join(every, over, "comp").select("node", F.coalesce("top", "comp").alias("comp")), "final")
-    for name in ("features", "shared", "known", "pairs-1", "sets", "links-1", "labelled"):  # the result doesn't read these
+    free_shuffles(spark)
+    for name in ("features", "shared", "known", "pairs-1", "sets", "links-1", "labelled", "opened"):  # the result doesn't read these
         scratch.drop(name)
     ids = scratch.write(final.join(firsts.withColumnRenamed("row", "node"), "node"), "ids")
     least = ids.withColumnRenamed("node", "row").groupBy("comp").agg(F.min(order()).alias("m")).select("comp", F.col("m.doc_id").alias("component_id"), F.col("m.row").alias("first"))
