@@ -7,7 +7,7 @@ Texts are gathered into packed blocks of about BLOCK_WORDS words.  A block sends
 documents in it have them, to the shard that the trigram's middle word names: packed, a row for each block and shard.  A trigram shares its
 middle word with its context (the first two words) and its bigram (the last two), so a shard can add up the trigrams' counts, the
 continuation counts of bigrams, and for both orders' contexts the total and the numbers of n-grams with counts 1, 2, 3 and more.  It
-joins these back to each block's trigrams.  Words' continuation counts are summed over these and joined to each block's words in shards by word.
+joins these back to each block's trigrams.  Words' continuation counts are summed over these and joined to each block's words in shards by word, in waves too.
 With the discounts, from the counts of counts, a block then has all parts of its words' probabilities and sums up logarithms by
 document.  Shards are dealt with in WAVES, and so is the last join, so that only a part lies on disk twice.  The driver gets eight numbers
 of each shard.  A shard has all trigrams around its words, so the most common word's trigrams are the least that a task gets.
@@ -121,13 +121,24 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(one)), T.StructField("lens", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType())]))
 
 
+def ordered(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct words and the mark before texts, sorted, and for each of its words, as they are packed, the place there."""
+    own = unpack(raw[8 : 8 + int.from_bytes(raw[:8], "little")], "<u8")
+    order = np.argsort(own)
+    distinct, number = own[order], np.empty(len(own), np.uint64)
+    number[order] = np.arange(len(own), dtype=np.uint64)
+    mark = int(np.searchsorted(distinct, BEGIN))
+    if mark == len(distinct) or distinct[mark] != BEGIN:
+        distinct = np.insert(distinct, mark, BEGIN)
+        number[number >= mark] += np.uint64(1)
+    return distinct, number
+
+
 def places(lens: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A block's distinct words, sorted, and for each of its words the numbers of the word two before it, of that before it and of itself;
     two marks stand before a text."""
-    head = 8 + int.from_bytes(raw[:8], "little")
-    own, rank = unpack(raw[8:head], "<u8"), unpack(raw[head:], "<u4")
-    distinct = np.unique(np.append(own, BEGIN))
-    number = np.searchsorted(distinct, own).astype(np.uint64)
+    distinct, number = ordered(raw)
+    rank = unpack(raw[8 + int.from_bytes(raw[:8], "little") :], "<u4")
     flat = np.full(int(lens.sum()) + 2 * len(lens), np.searchsorted(distinct, BEGIN), np.uint64)
     real = np.ones(len(flat), bool)
     first = np.cumsum(lens + 2) - (lens + 2)
@@ -192,10 +203,15 @@ def sent(blocks: DataFrame, low: int, high: int, shards: int) -> DataFrame:
                 mid, left = contexts[context] // n, contexts[context] % n
                 of = shard[mid.astype(np.int64)]
                 cuts = np.flatnonzero(np.diff(of)) + 1
+                here, local = np.zeros(len(distinct), bool), np.empty(len(distinct), np.uint32)
                 for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
-                    used, local = np.unique(np.concatenate([left[a:b], mid[a:b], right[a:b]]), return_inverse=True)
-                    x, y, z = np.split(local.astype(np.uint32), 3)
-                    values = [_differences(distinct[used.astype(np.int64)]), _differences(x), _differences(y), pack(z), pack(counts[a:b])]
+                    each = [c[a:b].astype(np.int64) for c in (left, mid, right)]
+                    for c in each:
+                        here[c] = True
+                    used = np.flatnonzero(here)
+                    here[used], local[used] = False, np.arange(len(used), dtype=np.uint32)
+                    x, y, z = (local[c] for c in each)
+                    values = [_differences(distinct[used]), _differences(x), _differences(y), pack(z), pack(counts[a:b])]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(of[a])], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([row["scored"]]), *(pa.array([v], pa.binary()) for v in values)],
                         names=["shard", "block", "scored", "words", "left", "mid", "right", "counts"],
@@ -253,12 +269,12 @@ def counted(sent: DataFrame) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(merge, ANSWER)
 
 
-def _pieces(words: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
-    """Of sorted words: each shard that has some, and where they are."""
+def _pieces(words: np.ndarray, low: int, high: int, shards: int) -> Iterator[tuple[int, slice]]:
+    """Of sorted words: each shard from low to high - 1 that has some, and where they are."""
     of = shard_of(words, shards)
     cuts = np.flatnonzero(np.diff(of)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
-        if b > a:
+        if b > a and low <= of[a] < high:
             yield int(of[a]), slice(a, b)
 
 
@@ -266,15 +282,15 @@ def _pieces(words: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
 OF_WORDS = -(1 << 30)
 
 
-def words_counted(blocks: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
-    """Like ``counted``, shards below 0, in tri: the continuation counts of each block's distinct words, the number of distinct bigrams that end in them.  A row of
+def words_counted(blocks: DataFrame, answers: DataFrame, low: int, high: int, shards: int) -> DataFrame:
+    """Like ``counted``, of the shards from low to high - 1, named below 0, in tri: the continuation counts of each block's distinct words, the number of distinct bigrams that end in them.  A row of
     each shard, without block, has in ctx1 the number of words with some, the sum, and how many have 1 to 4."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lens, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "lens", "words")), strict=True):
-                distinct = places(np.array(lens, np.int64), raw)[0]
-                each = list(_pieces(distinct, shards))
+            for block, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "words")), strict=True):
+                distinct = ordered(raw)[0]
+                each = list(_pieces(distinct, low, high, shards))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in each], pa.int32()), pa.array([block] * len(each), pa.int64()), pa.array([_differences(distinct[at]) for _, at in each], pa.binary()), pa.array([b""] * len(each), pa.binary())], names=["shard", "block", "words", "counts"])
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +298,7 @@ def words_counted(blocks: DataFrame, answers: DataFrame, shards: int) -> DataFra
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if w:
                     w, c = unpack(w, "<u8"), unpack(c, "<u8").astype(np.uint32)
-                    each = list(_pieces(w, shards))
+                    each = list(_pieces(w, low, high, shards))
                     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in each], pa.int32()), pa.nulls(len(each), pa.int64()), pa.array([_differences(w[at]) for _, at in each], pa.binary()), pa.array([pack(c[at]) for _, at in each], pa.binary())], names=["shard", "block", "words", "counts"])
 
     def merge(table):
@@ -300,8 +316,8 @@ def words_counted(blocks: DataFrame, answers: DataFrame, shards: int) -> DataFra
         return answers_table(out)
 
     kind = "shard int, block long, words binary, counts binary"
-    rows = blocks.select("block", "lens", "words").mapInArrow(asked, kind).unionByName(answers.where("block is null").select("tri", "bi").mapInArrow(known, kind))
-    return rows.repartition(min(shards, 20_000), "shard").groupBy("shard").applyInArrow(merge, ANSWER)
+    rows = blocks.select("block", "words").mapInArrow(asked, kind).unionByName(answers.where("block is null").select("tri", "bi").mapInArrow(known, kind))
+    return rows.repartition(min(high - low, 20_000), "shard").groupBy("shard").applyInArrow(merge, ANSWER)
 
 
 # ---- scoring ------------------------------------------------------------------------------------------------------
@@ -378,7 +394,11 @@ def score(scratch: Scratch, asked: DataFrame, every: DataFrame) -> DataFrame:
         part = scratch.write(counted(sent(every, low, high, shards).repartition(min(high - low, 20_000), "shard")), f"answers-{k}")
         answers = part if answers is None else answers.unionByName(part)
         free_shuffles(scratch.spark)
-    of_words = scratch.write(words_counted(asked, answers, shards), "answers-words")
+    of_words = None
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = scratch.write(words_counted(asked, answers, low, high, shards), f"answers-words-{k}")
+        of_words = part if of_words is None else of_words.unionByName(part)
+        free_shuffles(scratch.spark)
     summed = lambda rows, n: sum((unpack(r.ctx1, "<u8").astype(np.int64) for r in rows.where("block is null").select("ctx1").collect()), np.zeros(n, np.int64)).tolist()
     few, (n, total, *ones) = summed(answers, 8), summed(of_words, 6)
     d1, d2, d3 = discounts(ones), discounts(few[4:]), discounts(few[:4])
@@ -391,7 +411,7 @@ def score(scratch: Scratch, asked: DataFrame, every: DataFrame) -> DataFrame:
         part = scratch.write(scores(asked.where(mine), answers.where(mine), d2, d3, d1, total, unseen, n > 0), f"scored-{k}")
         out = part if out is None else out.unionByName(part)
         free_shuffles(scratch.spark)
-    for name in ("blocks", "trained", "answers-words", *(f"answers-{k}" for k in range(WAVES))):
+    for name in ("blocks", "trained", *(f"answers-{x}{k}" for x in ("", "words-") for k in range(WAVES))):
         scratch.drop(name)
     return out
 
