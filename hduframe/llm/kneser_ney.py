@@ -3,14 +3,17 @@
 The model is the classifier that is fitted: on the whole texts of all documents labelled good but a fifth of them by the hash of their
 doc_id (KEPT_BACK), which gives the cutoffs.  ``classify`` can be asked for a bounded sample instead.
 
-Texts are gathered into packed blocks of about BLOCK_WORDS words.  A block sends its distinct trigrams, and how often the model's
-documents in it have them, to the shard that the trigram's middle word names: packed, a row for each block and shard.  A trigram shares its
+The texts to fit on are gathered into packed blocks of about BLOCK_WORDS words.  A block sends the distinct trigrams of the model's documents in it, and
+how often they have them, to the shard that the trigram's middle word names: packed, a row for each block and shard.  A trigram shares its
 middle word with its context (the first two words) and its bigram (the last two), so a shard can add up the trigrams' counts, the
-continuation counts of bigrams, and for both orders' contexts the total and the numbers of n-grams with counts 1, 2, 3 and more.  It
-joins these back to each block's trigrams.  Words' continuation counts are summed over these and joined to each block's words in shards by word, in waves too.
-With the discounts, from the counts of counts, a block then has all parts of its words' probabilities and sums up logarithms by
-document.  Shards are dealt with in WAVES, and so is the last join, so that only a part lies on disk twice.  The driver gets eight numbers
-of each shard.  A shard has all trigrams around its words, so the most common word's trigrams are the least that a task gets.
+continuation counts of bigrams, and for both orders' contexts the total and the numbers of n-grams with counts 1, 2, 3 and more.  The model
+is a row for each shard, its distinct trigrams with their counts, and shards of words with their continuation counts.  Shards are counted in
+MODEL_WAVES.  The driver gets eight numbers of each and has the discounts from them, the counts of counts.
+
+Then the documents are scored in at most WAVES parts, by a hash of what they hold, one after another: a part's blocks are written, their distinct trigrams and words
+meet the model's shards, the answers go back to the blocks, which then have all parts of their words' probabilities and sum up logarithms by document, and blocks, requests
+and answers are gone before the next part's.  So beside the model only a part lies on disk; the documents are scanned once for each part, and must read alike each time.
+A shard has all trigrams around its words, so the most common word's trigrams are the least that a task gets.
 
 All documents are scored on whole texts.  The cutoff of a language is the QUANTILE of the perplexities of its labelled good
 documents that the model has not seen, and at most the largest of these but ODD_MOST; a language (null is one too) with fewer than LEAST of them uses that of all languages.  Null and
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import Cache, Scratch, free_shuffles, keep_fields, slices
+from .common import Cache, Scratch, free_shuffles, keep_fields, may_hold, slices
 from .lm_score import pack, pack_words, shard_of, unpack
 
 TRAIN_MOST, TRAIN_WORDS, QUANTILE, LEAST, LANGUAGES_MOST = 2000, 800_000, 0.995, 30, 10_000
@@ -83,15 +87,31 @@ def discounts(n: list[int]) -> np.ndarray:
 
 # ---- blocks -------------------------------------------------------------------------------------------------------
 
-BLOCK_WORDS, SHARD_WORDS, WAVES = 1_000_000, 1_000_000, 8
+BLOCK_WORDS, SHARD_WORDS, WAVES, MODEL_WAVES = 1_000_000, 3_000_000, 12, 4
+WORD_BYTES = 6  # of a word and the space after it, to know the number of words before they are read
+SEEN_MOST = 1 << 24  # ids for which the filter of documents to fit on has room; of more, others pass it and are left out later
+
+
+def words_about(docs: DataFrame) -> int:
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // WORD_BYTES
+
+
+def waves_of(n_words: int) -> int:
+    return max(1, min(WAVES, -(-n_words // SHARD_WORDS)))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(block, docs, lens, words): documents of about BLOCK_WORDS words together; docs has their columns but text, words are 64-bit hashes."""
+def blocks(docs: DataFrame, wave: int | None = None, waves: int = 1) -> DataFrame:
+    """(block, docs, lens, words): documents of about BLOCK_WORDS words together; docs has their columns but text, words are 64-bit hashes.
+    Documents are dealt to waves by what they hold: those of one wave, or of all, a wave after another."""
+    if wave is None:
+        waves = waves_of(words_about(docs))
+        return reduce(DataFrame.unionByName, (blocks(docs, k, waves) for k in range(waves)))
+    if waves > 1:
+        docs = docs.where(F.pmod(F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns)), F.lit(waves)) == wave)
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, k = word_cache(), TaskContext.get().partitionId(), 0
+        cache, part, k = word_cache(), TaskContext.get().partitionId() << 8 | wave, 0
         rows: list = []
         words: list[np.ndarray] = []
         held, kind = 0, None
@@ -152,11 +172,24 @@ def trigrams(n: int, left: np.ndarray, mid: np.ndarray, right: np.ndarray) -> tu
     """Of words numbered below n: the distinct contexts as mid * n + left, in order; of each distinct trigram, ordered by its context and
     last word, the context's place and the last word; and the trigram's place for each given one."""
     n = np.uint64(max(1, n))
+    if int(n) ** 3 < 1 << 64:  # one sort instead of two
+        distinct, place = np.unique((mid * n + left) * n + right, return_inverse=True)
+        pair = distinct // n
+        new = _changes(pair)
+        return pair[new], np.cumsum(new) - 1, distinct - pair * n, place
     contexts, at = np.unique(mid * n + left, return_inverse=True)
     distinct, place = np.unique(at.astype(np.uint64) * n + right, return_inverse=True)
     return contexts, (distinct // n).astype(np.int64), distinct % n, place
 
 
+def _changes(a: np.ndarray) -> np.ndarray:
+    """Where a value of a sorted array comes first."""
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    return new
+
+
+
 def _differences(a: np.ndarray) -> bytes:
     return pack(np.diff(a, prepend=a.dtype.type(0)))
 
@@ -180,26 +213,24 @@ def trained_bits(blocks: DataFrame, seen: DataFrame) -> DataFrame:
 # ---- counting -----------------------------------------------------------------------------------------------------
 
 
-def sent(blocks: DataFrame, low: int, high: int, shards: int) -> DataFrame:
-    """(shard, block, scored, words, left, mid, right, counts) of the shards from low to high - 1: each block's distinct trigrams and how often its documents of the
-    model have them.  blocks: also trained (a bit for each document) and scored (whether answers are wanted)."""
+def sent(blocks: DataFrame, low: int, high: int, shards: int, trained: bool) -> DataFrame:
+    """(shard, block, words, left, mid, right, counts) of the shards from low to high - 1: each block's distinct trigrams.  trained: only of the documents that the model is of,
+    by blocks' column trained (a bit for each document), with how often they have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in (batch.slice(k, 1).drop_columns(["docs"]).to_pylist()[0] for k in range(batch.num_rows)):
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 lens = np.array(row["lens"], np.int64)
                 distinct, left, mid, right = places(lens, row["words"])
                 shard = shard_of(distinct, shards).astype(np.int64)
-                trained = np.zeros(len(lens), bool)
-                if row["trained"]:
-                    trained = np.unpackbits(np.frombuffer(row["trained"], np.uint8), count=len(lens)).astype(bool)
-                trained = np.repeat(trained, lens)
-                mine = (shard[mid.astype(np.int64)] >= low) & (shard[mid.astype(np.int64)] < high) & (row["scored"] | trained)
+                mine = (shard[mid.astype(np.int64)] >= low) & (shard[mid.astype(np.int64)] < high)
+                if trained:
+                    mine &= np.repeat(np.unpackbits(np.frombuffer(row["trained"], np.uint8), count=len(lens)).astype(bool), lens)
                 if not mine.any():
                     continue
                 n = np.uint64(len(distinct))
                 contexts, context, right, place = trigrams(len(distinct), left[mine], mid[mine], right[mine])
-                counts = np.bincount(place, trained[mine], len(context)).astype(np.uint32)
+                counts = np.bincount(place).astype(np.uint32) if trained else None
                 mid, left = contexts[context] // n, contexts[context] % n
                 of = shard[mid.astype(np.int64)]
                 cuts = np.flatnonzero(np.diff(of)) + 1
@@ -211,13 +242,13 @@ def sent(blocks: DataFrame, low: int, high: int, shards: int) -> DataFrame:
                     used = np.flatnonzero(here)
                     here[used], local[used] = False, np.arange(len(used), dtype=np.uint32)
                     x, y, z = (local[c] for c in each)
-                    values = [_differences(distinct[used]), _differences(x), _differences(y), pack(z), pack(counts[a:b])]
+                    values = [_differences(distinct[used]), _differences(x), _differences(y), pack(z), pack(counts[a:b]) if trained else b""]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(of[a])], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([row["scored"]]), *(pa.array([v], pa.binary()) for v in values)],
-                        names=["shard", "block", "scored", "words", "left", "mid", "right", "counts"],
+                        [pa.array([int(of[a])], pa.int32()), pa.array([row["block"]], pa.int64()), *(pa.array([v], pa.binary()) for v in values)],
+                        names=["shard", "block", "words", "left", "mid", "right", "counts"],
                     )
 
-    return blocks.mapInArrow(run, "shard int, block long, scored boolean, words binary, left binary, mid binary, right binary, counts binary")
+    return blocks.select("block", "lens", "words", *(["trained"] if trained else [])).mapInArrow(run, "shard int, block long, words binary, left binary, mid binary, right binary, counts binary")
 
 
 def _sums(place: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -233,48 +264,95 @@ def answers_table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "shard", "tri", "ctx2", "bi", "ctx1"])
 
 
+def _triples(row: dict) -> tuple[np.ndarray, ...]:
+    """Words, and the places there of each trigram's left, middle and right one."""
+    return _summed(row["words"], "<u8"), _summed(row["left"], "<u4"), _summed(row["mid"], "<u4"), unpack(row["right"], "<u4")
+
+
 def counted(sent: DataFrame) -> DataFrame:
-    """(block, shard, tri, ctx2, bi, ctx1): counts of each block's trigrams, contexts, bigrams and their contexts, in the order of the block; and a row of each
-    shard, without block: its words, their continuation counts within it, and in ctx1 how many trigrams and bigrams have counts 1 to 4."""
+    """The model, a row for each shard: (shard, words, left, mid, right, counts) like those sent, of all blocks together; in ends for each of its words how many of the
+    shard's distinct bigrams end in it; and in few how many trigrams and bigrams have counts 1 to 4."""
 
     def merge(table):
-        table = table.sort_by("block")
         rows = table.to_pylist()
-        each = [_summed(r["words"], "<u8") for r in rows]
-        words, number = np.unique(np.concatenate(each), return_inverse=True)
-        number = np.split(number.astype(np.uint64), np.cumsum([len(e) for e in each])[:-1])
-        left, mid, right = ([number[k][f(r[c])] for k, r in enumerate(rows)] for c, f in (("left", lambda x: _summed(x, "<u4")), ("mid", lambda x: _summed(x, "<u4")), ("right", lambda x: unpack(x, "<u4"))))
-        ends = np.cumsum([len(x) for x in mid])
+        each = [_triples(r) for r in rows]
+        words, number = np.unique(np.concatenate([e[0] for e in each]), return_inverse=True)
+        number = np.split(number.astype(np.uint64), np.cumsum([len(e[0]) for e in each])[:-1])
+        left, mid, right = (np.concatenate([at[e[c]] for at, e in zip(number, each, strict=True)]) for c in (1, 2, 3))
+        del each, number
         n = np.uint64(len(words))
-        contexts, context, last, place = trigrams(len(words), np.concatenate(left), np.concatenate(mid), np.concatenate(right))
+        contexts, context, last, place = trigrams(len(words), left, mid, right)
         del left, mid, right
-        counts = np.bincount(place, np.concatenate([unpack(r["counts"], "<u4") for r in rows]), len(context)).astype(np.uint64)
-        middle = contexts // n
-        of_contexts = _sums(context, counts, len(contexts))
-        bigrams, bigram = np.unique(middle[context] * n + last, return_inverse=True)
-        continued = np.bincount(bigram, counts > 0, len(bigrams)).astype(np.uint64)
-        before, after = (bigrams // n).astype(np.int64), (bigrams % n).astype(np.int64)
-        of_words = _sums(before, continued, len(words))
-        out: list = []
-        for r, at in zip(rows, np.split(place, ends[:-1]), strict=True):
-            if r["scored"]:
-                c, m = np.unique(context[at]), np.unique(middle[context[at]]).astype(np.int64)
-                answers = counts[at], of_contexts[:, c].ravel(), continued[np.unique(bigram[at])], of_words[:, m].ravel()
-                out.append((r["block"], r["shard"], *(pack(a) for a in answers)))
-        ends_in = np.bincount(after, continued > 0, len(words)).astype(np.uint64)
+        counts = np.bincount(place, np.concatenate([unpack(r["counts"], "<u4") for r in rows]), len(context)).astype(np.uint32)
+        mid = contexts[context] // n
+        bigrams, continued = np.unique(mid * n + last, return_counts=True)
+        ends = np.bincount((bigrams % n).astype(np.int64), minlength=len(words)).astype(np.uint32)
         few = np.array([(x == k).sum() for x in (counts, continued) for k in (1, 2, 3, 4)], np.uint64)
-        out.append((None, rows[0]["shard"], pack(words[ends_in > 0]) if ends_in.any() else b"", b"", pack(ends_in[ends_in > 0]) if ends_in.any() else b"", pack(few)))
+        left = (contexts[context] - mid * n).astype(np.uint32)
+        values = [_differences(words), _differences(left), _differences(mid.astype(np.uint32)), pack(last.astype(np.uint32)), pack(counts), pack(ends), pack(few)]
+        return pa.table([table.column("shard").slice(0, 1), *(pa.array([v], pa.binary()) for v in values)], names=["shard", "words", "left", "mid", "right", "counts", "ends", "few"])
+
+    return sent.groupBy("shard").applyInArrow(merge, "shard int, words binary, left binary, mid binary, right binary, counts binary, ends binary, few binary")
+
+
+def _found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The place of each one asked in sorted keys, len(keys) of those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    at = np.searchsorted(keys, asked)
+    return np.where(keys[np.minimum(at, len(keys) - 1)] == asked, at, len(keys))
+
+
+def _and_none(a: np.ndarray) -> np.ndarray:
+    """With a column of zeros for what isn't found."""
+    return np.concatenate([a, np.zeros((*a.shape[:-1], 1), a.dtype)], axis=-1)
+
+
+def answered(sent: DataFrame, model: DataFrame, parts: int) -> DataFrame:
+    """(block, shard, tri, ctx2, bi, ctx1): the model's counts of each block's trigrams, contexts, bigrams and their contexts, in the order of the block."""
+
+    def merge(table):
+        rows = table.to_pylist()
+        asks = [r for r in rows if r["block"] is not None]
+        if not asks:
+            return answers_table([(None, 0, b"", b"", b"", b"")]).slice(0, 0)
+        own = [r for r in rows if r["block"] is None]  # one at most
+        words, left, mid, right = _triples(own[0]) if own else (np.empty(0, np.uint64), *[np.empty(0, np.uint32)] * 3)
+        counts = unpack(own[0]["counts"], "<u4").astype(np.uint64) if own else np.empty(0, np.uint64)
+        n = np.uint64(len(words) + 1)  # the last number is of words that the model lacks
+        pair = mid.astype(np.uint64) * n + left
+        new = _changes(pair)
+        contexts, context = pair[new], np.cumsum(new) - 1
+        keys = context.astype(np.uint64) * n + right
+        of_contexts = _and_none(_sums(context, counts, len(contexts)))
+        bigrams, continued = np.unique(mid.astype(np.uint64) * n + right, return_counts=True)
+        of_words = _and_none(_sums((bigrams // n).astype(np.int64), continued, len(words)))
+        counts, continued = _and_none(counts), _and_none(continued.astype(np.uint64))
+        del pair, new, context, left, mid, right
+        out = []
+        for r in asks:
+            w, x, y, z = _triples(r)
+            to = _found(words, w).astype(np.uint64)
+            new = _changes(x) | _changes(y)
+            c = _found(contexts, to[y[new]] * n + to[x[new]])
+            tri = _found(keys, c[np.cumsum(new) - 1].astype(np.uint64) * n + to[z])
+            pairs = np.unique(y.astype(np.uint64) * np.uint64(len(w)) + z)
+            before = pairs // np.uint64(len(w))
+            bi = _found(bigrams, to[before] * n + to[pairs - before * np.uint64(len(w))])
+            answers = counts[tri], of_contexts[:, c].ravel(), continued[bi], of_words[:, to[y[_changes(y)]].astype(np.int64)].ravel()
+            out.append((r["block"], r["shard"], *(pack(a) for a in answers)))
         return answers_table(out)
 
-    return sent.groupBy("shard").applyInArrow(merge, ANSWER)
+    own = model.select("shard", F.lit(None).cast("long").alias("block"), "words", "left", "mid", "right", "counts")
+    return sent.unionByName(own).repartition(parts, "shard").groupBy("shard").applyInArrow(merge, ANSWER)
 
 
-def _pieces(words: np.ndarray, low: int, high: int, shards: int) -> Iterator[tuple[int, slice]]:
-    """Of sorted words: each shard from low to high - 1 that has some, and where they are."""
+def _pieces(words: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Of sorted words: each shard that has some, and where they are."""
     of = shard_of(words, shards)
     cuts = np.flatnonzero(np.diff(of)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
-        if b > a and low <= of[a] < high:
+        if b > a:
             yield int(of[a]), slice(a, b)
 
 
@@ -282,42 +360,50 @@ def _pieces(words: np.ndarray, low: int, high: int, shards: int) -> Iterator[tup
 OF_WORDS = -(1 << 30)
 
 
-def words_counted(blocks: DataFrame, answers: DataFrame, low: int, high: int, shards: int) -> DataFrame:
-    """Like ``counted``, of the shards from low to high - 1, named below 0, in tri: the continuation counts of each block's distinct words, the number of distinct bigrams that end in them.  A row of
-    each shard, without block, has in ctx1 the number of words with some, the sum, and how many have 1 to 4."""
+def words_counted(model: DataFrame, shards: int) -> DataFrame:
+    """(shard, words, counts, few): the model's words and their continuation counts, the number of distinct bigrams that end in them; in few how many
+    words have some, the sum, and how many have 1 to 4."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w, c = _summed(w, "<u8"), unpack(c, "<u4")
+                w, c = w[c > 0], c[c > 0]
+                each = list(_pieces(w, shards))
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in each], pa.int32()), pa.array([_differences(w[at]) for _, at in each], pa.binary()), pa.array([pack(c[at]) for _, at in each], pa.binary())], names=["shard", "words", "counts"])
+
+    def merge(table):
+        rows = table.to_pylist()
+        words, place = np.unique(np.concatenate([_summed(r["words"], "<u8") for r in rows]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([unpack(r["counts"], "<u4") for r in rows]), len(words)).astype(np.uint64)
+        few = np.array([len(words), total.sum(), *((total == k).sum() for k in (1, 2, 3, 4))], np.uint64)
+        return pa.table([table.column("shard").slice(0, 1), *(pa.array([v], pa.binary()) for v in (_differences(words), pack(total), pack(few)))], names=["shard", "words", "counts", "few"])
+
+    rows = model.select("words", "ends").mapInArrow(known, "shard int, words binary, counts binary")
+    return rows.repartition(min(shards, 20_000), "shard").groupBy("shard").applyInArrow(merge, "shard int, words binary, counts binary, few binary")
+
+
+def words_answered(blocks: DataFrame, words: DataFrame, shards: int) -> DataFrame:
+    """Like ``answered``, in shards named below 0, in tri: the continuation counts of each block's distinct words."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "words")), strict=True):
                 distinct = ordered(raw)[0]
-                each = list(_pieces(distinct, low, high, shards))
+                each = list(_pieces(distinct, shards))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in each], pa.int32()), pa.array([block] * len(each), pa.int64()), pa.array([_differences(distinct[at]) for _, at in each], pa.binary()), pa.array([b""] * len(each), pa.binary())], names=["shard", "block", "words", "counts"])
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if w:
-                    w, c = unpack(w, "<u8"), unpack(c, "<u8").astype(np.uint32)
-                    each = list(_pieces(w, low, high, shards))
-                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in each], pa.int32()), pa.nulls(len(each), pa.int64()), pa.array([_differences(w[at]) for _, at in each], pa.binary()), pa.array([pack(c[at]) for _, at in each], pa.binary())], names=["shard", "block", "words", "counts"])
-
     def merge(table):
         rows, shard = table.to_pylist(), table.column("shard")[0].as_py() + OF_WORDS
-        own = [r for r in rows if r["block"] is None]
-        words, place = np.unique(np.concatenate([np.empty(0, np.uint64), *(_summed(r["words"], "<u8") for r in own)]), return_inverse=True)
-        total = np.bincount(place, np.concatenate([np.empty(0, np.uint32), *(unpack(r["counts"], "<u4") for r in own)]), len(words)).astype(np.uint64)
-        out = [(None, shard, b"", b"", b"", pack(np.array([len(words), total.sum(), *((total == k).sum() for k in (1, 2, 3, 4))], np.uint64)))]
-        for r in rows:
-            if r["block"] is not None:
-                w = _summed(r["words"], "<u8")
-                at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
-                found = np.where(words[at] == w, total[at], np.uint64(0)) if len(words) else np.zeros(len(w), np.uint64)
-                out.append((r["block"], shard, pack(found), b"", b"", b""))
-        return answers_table(out)
+        own = [r for r in rows if r["block"] is None]  # one at most
+        known, total = (_summed(own[0]["words"], "<u8"), unpack(own[0]["counts"], "<u8")) if own else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+        total = _and_none(total)
+        out = [(r["block"], shard, pack(total[_found(known, _summed(r["words"], "<u8"))]), b"", b"", b"") for r in rows if r["block"] is not None]
+        return answers_table(out or [(None, shard, b"", b"", b"", b"")]).slice(0, len(out))
 
-    kind = "shard int, block long, words binary, counts binary"
-    rows = blocks.select("block", "words").mapInArrow(asked, kind).unionByName(answers.where("block is null").select("tri", "bi").mapInArrow(known, kind))
-    return rows.repartition(min(high - low, 20_000), "shard").groupBy("shard").applyInArrow(merge, ANSWER)
+    rows = blocks.select("block", "words").mapInArrow(asked, "shard int, block long, words binary, counts binary")
+    own = words.select("shard", F.lit(None).cast("long").alias("block"), "words", "counts")
+    return rows.unionByName(own).repartition(min(shards, 20_000), "shard").groupBy("shard").applyInArrow(merge, ANSWER)
 
 
 # ---- scoring ------------------------------------------------------------------------------------------------------
@@ -331,7 +417,7 @@ class Model:
 
 
 def fit(scratch: Scratch, sample: DataFrame) -> Model | None:
-    own = scratch.write(blocks(sample.select("text", F.lit(0).alias("_"))), "model")
+    own = scratch.write(blocks(sample.select("text", F.lit(0).alias("_")), 0), "model")
     if own.where(F.exists("lens", lambda n: n > 0)).isEmpty():
         return None
     return Model(own.select("block", "lens", "words", F.unhex(F.expr("repeat('ff', (size(lens) + 7) div 8)")).alias("trained")))
@@ -371,7 +457,7 @@ def scores(blocks: DataFrame, answers: DataFrame, d2: np.ndarray, d3: np.ndarray
             tri, bi = (np.concatenate([unpack(x, "<u8") for x in got[c][first:]]) for c in ("tri", "bi"))
             ctx2, ctx1 = (np.concatenate([unpack(x, "<u8").reshape(4, -1) for x in got[c][first:]], axis=1) for c in ("ctx2", "ctx1"))
             bigram = np.unique(middle[context] * n + last, return_inverse=True)[1]
-            word = np.unique(middle, return_inverse=True)[1][context]
+            word = (np.cumsum(_changes(middle)) - 1)[context]
             p1 = shares(shorter, total, d1)[last.astype(np.int64)] + unseen
             p2 = shares(bi[bigram], ctx1[0][word], d2) + left_over(ctx1, d2)[word] * p1
             p3 = shares(tri, ctx2[0][context], d3) + left_over(ctx2, d3)[context] * p2
@@ -385,33 +471,38 @@ def scores(blocks: DataFrame, answers: DataFrame, d2: np.ndarray, d3: np.ndarray
     return blocks.select("block", "docs", "lens", "words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(of_block, kind)
 
 
-def score(scratch: Scratch, asked: DataFrame, every: DataFrame) -> DataFrame:
-    """The documents of the blocks asked, with n_words and perplexity, under the model of every: (block, docs, lens, words, trained, scored), written."""
-    n_words = int(every.select(F.explode("lens").alias("n")).agg(F.sum("n")).first()[0] or 0)
-    shards = max(1, -(-n_words // SHARD_WORDS))
-    edges, answers = sorted({shards * k // WAVES for k in range(WAVES + 1)}), None
+def score(scratch: Scratch, docs: DataFrame, own: DataFrame) -> DataFrame:
+    """The documents with n_words and perplexity, under the model of own: (block, lens, words, trained), written."""
+    n_asked, n_own = words_about(docs), int(own.agg(F.sum(F.expr("aggregate(lens, 0L, (a, n) -> a + n)"))).first()[0] or 0)
+    waves, shards = waves_of(n_asked), max(1, -(-max(n_asked, n_own) // SHARD_WORDS))
+    edges, model = sorted({shards * k // MODEL_WAVES for k in range(MODEL_WAVES + 1)}), None
     for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        part = scratch.write(counted(sent(every, low, high, shards).repartition(min(high - low, 20_000), "shard")), f"answers-{k}")
-        answers = part if answers is None else answers.unionByName(part)
+        part = scratch.write(counted(sent(own, low, high, shards, True).repartition(min(high - low, 20_000), "shard")), f"model-{k}")
+        model = part if model is None else model.unionByName(part)
         free_shuffles(scratch.spark)
-    of_words = None
-    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        part = scratch.write(words_counted(asked, answers, low, high, shards), f"answers-words-{k}")
-        of_words = part if of_words is None else of_words.unionByName(part)
-        free_shuffles(scratch.spark)
-    summed = lambda rows, n: sum((unpack(r.ctx1, "<u8").astype(np.int64) for r in rows.where("block is null").select("ctx1").collect()), np.zeros(n, np.int64)).tolist()
-    few, (n, total, *ones) = summed(answers, 8), summed(of_words, 6)
+    known = scratch.write(words_counted(model, shards), "model-words")
+    for name in ("own", "trained"):
+        scratch.drop(name)
+    free_shuffles(scratch.spark)
+    summed = lambda rows, n: sum((unpack(r.few, "<u8").astype(np.int64) for r in rows.select("few").collect()), np.zeros(n, np.int64)).tolist()
+    few, (n, total, *ones) = summed(model, 8), summed(known, 6)
     d1, d2, d3 = discounts(ones), discounts(few[4:]), discounts(few[:4])
     unseen = float(d1 @ [ones[0], ones[1], n - ones[0] - ones[1]]) / max(total, 1) / (n + 1)
-    answers = answers.unionByName(of_words).where("block is not null")
-    free_shuffles(scratch.spark)
     out = None
-    for k in range(WAVES):
-        mine = F.pmod(F.xxhash64("block"), F.lit(WAVES)) == k
-        part = scratch.write(scores(asked.where(mine), answers.where(mine), d2, d3, d1, total, unseen, n > 0), f"scored-{k}")
+    for k in range(waves):
+        mine = scratch.write(blocks(docs, k, waves), f"blocks-{k}")
+        answers = scratch.spark.createDataFrame([], ANSWER)
+        if n:
+            answers = scratch.write(words_answered(mine, known, shards), f"answers-words-{k}")
+            free_shuffles(scratch.spark)
+            answers = answers.unionByName(scratch.write(answered(sent(mine, 0, shards, shards, False), model, min(shards, 20_000)), f"answers-{k}"))
+            free_shuffles(scratch.spark)
+        part = scratch.write(scores(mine, answers, d2, d3, d1, total, unseen, n > 0), f"scored-{k}")
         out = part if out is None else out.unionByName(part)
+        for name in (f"blocks-{k}", f"answers-words-{k}", f"answers-{k}"):
+            scratch.drop(name)
         free_shuffles(scratch.spark)
-    for name in ("blocks", "trained", *(f"answers-{x}{k}" for x in ("", "words-") for k in range(WAVES))):
+    for name in ("model-words", *(f"model-{k}" for k in range(MODEL_WAVES))):
         scratch.drop(name)
     return out
 
@@ -420,12 +511,8 @@ def perplexity(spark: SparkSession, docs: DataFrame, model: Model | None) -> Dat
     """Adds n_words and perplexity (null without words; 1 without a model) of each whole text; the text itself goes."""
     scratch = Scratch(spark, "perplexity")
     keep = [f.name for f in keep_fields(docs.schema, ("text", "n_words", "perplexity"))]
-    asked = scratch.write(blocks(docs.select(*keep, "text")), "blocks")
-    mine = asked.select("block", "docs", "lens", "words", F.lit(None).cast("binary").alias("trained"), F.lit(True).alias("scored"))
-    if model is not None:
-        own = model.blocks.select((-1 - F.col("block")).alias("block"), F.lit(None).cast(asked.schema["docs"].dataType).alias("docs"), "lens", "words", "trained", F.lit(False).alias("scored"))
-        mine = mine.unionByName(own)
-    return score(scratch, asked, mine)
+    none = spark.createDataFrame([], "block long, lens array<int>, words binary, trained binary")
+    return score(scratch, docs.select(*keep, "text"), none if model is None else model.blocks)
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, seen: DataFrame) -> DataFrame:
@@ -446,10 +533,11 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: bo
     """op7: doc_id, lang, n_words, perplexity, threshold, kept.  sample: the model is fitted on a bounded sample only."""
     scratch = Scratch(spark, "kneser-ney")
     seen = scratch.write(training_ids(docs, labels) if sample else good_ids(labels), "seen")
-    asked = scratch.write(blocks(docs.select("doc_id", "lang", "text")), "blocks")
-    marks = scratch.write(trained_bits(asked, seen), "trained")
-    every = asked.join(F.broadcast(marks), "block", "left").withColumn("scored", F.lit(True))  # a bit for each document
-    scored = score(scratch, asked, every)
+    docs = docs.select("doc_id", "lang", "text")
+    may = may_hold(seen.select(F.col("doc_id").try_cast(docs.schema["doc_id"].dataType).alias("doc_id")), "doc_id", SEEN_MOST)
+    own = scratch.write(blocks(docs.where(may(F.col("doc_id"))).select("doc_id", "text"), 0), "own")
+    marks = scratch.write(trained_bits(own, seen), "trained")
+    scored = score(scratch, docs, own.join(F.broadcast(marks), "block").select("block", "lens", "words", "trained"))  # a bit for each document
     cut = scratch.write(cutoffs(scored, labels, seen), "cutoffs")
     few = cut.limit(LANGUAGES_MOST + 1).count() <= LANGUAGES_MOST
     own = cut.where("not all").select("stratum", F.col("threshold").alias("own"))
