@@ -168,12 +168,17 @@ def places(lens: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
     return distinct, flat[at - 2], flat[at - 1], flat[at]
 
 
-def trigrams(n: int, left: np.ndarray, mid: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def trigrams(n: int, left: np.ndarray, mid: np.ndarray, right: np.ndarray, placed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     """Of words numbered below n: the distinct contexts as mid * n + left, in order; of each distinct trigram, ordered by its context and
-    last word, the context's place and the last word; and the trigram's place for each given one."""
+    last word, the context's place and the last word; and, if placed, the trigram's place for each given one."""
     n = np.uint64(max(1, n))
     if int(n) ** 3 < 1 << 64:  # one sort instead of two
-        distinct, place = np.unique((mid * n + left) * n + right, return_inverse=True)
+        keys = (mid * n + left) * n + right
+        if placed:
+            distinct, place = np.unique(keys, return_inverse=True)
+        else:
+            distinct, place = np.sort(keys), None
+            distinct = distinct[_changes(distinct)]
         pair = distinct // n
         new = _changes(pair)
         return pair[new], np.cumsum(new) - 1, distinct - pair * n, place
@@ -229,7 +234,7 @@ def sent(blocks: DataFrame, low: int, high: int, shards: int, trained: bool) ->
                 if not mine.any():
                     continue
                 n = np.uint64(len(distinct))
-                contexts, context, right, place = trigrams(len(distinct), left[mine], mid[mine], right[mine])
+                contexts, context, right, place = trigrams(len(distinct), left[mine], mid[mine], right[mine], trained)
                 counts = np.bincount(place).astype(np.uint32) if trained else None
                 mid, left = contexts[context] // n, contexts[context] % n
                 of = shard[mid.astype(np.int64)]
@@ -336,7 +341,8 @@ def answered(sent: DataFrame, model: DataFrame, parts: int) -> DataFrame:
             new = _changes(x) | _changes(y)
             c = _found(contexts, to[y[new]] * n + to[x[new]])
             tri = _found(keys, c[np.cumsum(new) - 1].astype(np.uint64) * n + to[z])
-            pairs = np.unique(y.astype(np.uint64) * np.uint64(len(w)) + z)
+            pairs = np.sort(y.astype(np.uint64) * np.uint64(len(w)) + z)  # faster here than np.unique, which hashes
+            pairs = pairs[_changes(pairs)]
             before = pairs // np.uint64(len(w))
             bi = _found(bigrams, to[before] * n + to[pairs - before * np.uint64(len(w))])
             answers = counts[tri], of_contexts[:, c].ravel(), continued[bi], of_words[:, to[y[_changes(y)]].astype(np.int64)].ravel()
