@@ -136,7 +136,7 @@ def compress_file(source: Source, to, how: Compress, checksum: bool = False) ->
         rows.append(matrix.tobytes())
         heap.append(more)
         n, size, most = n + len(values), size + len(more), max(most, *map(len, payload))
-    writer._file(to, n, b"".join(rows), b"".join(heap), [most])
+    writer._file(to, n, rows, heap, [most])
     return o
 
 
